@@ -96,12 +96,14 @@ def ratio_candidates(
     on: list[str] | None = None,
     condition: Column | None = None,
     hot: int = _HOT_KEY_ROWS,
+    word_order: bool = True,
 ) -> DataFrame:
     """Every pair whose sequence ratio can reach ``threshold``, as ``l_*``/``r_*`` columns.
 
     With M matching characters and lengths m, n a ratio of t needs M >= t(m+n)/2. Hence: the texts share
     at least t/(2-t) of each side's characters (join keys), M cannot exceed the shared multiset, and the
     edit distance cannot exceed (1-t)(m+n). All three hold for the exact score, none is an approximation.
+    ``word_order=False`` skips the edit-distance test, for scores that reorder words.
     """
     on = on or []
     share = threshold / (2.0 - threshold)
@@ -132,7 +134,8 @@ def ratio_candidates(
     near = F.call_function("levenshtein", a, b, limit) >= 0
     kept = fits & first_key if condition is None else fits & condition & first_key
     pairs = _grid_join(prepare(left, "l"), prepare(right, "r"), [*on, "_k1", "_k2"], kept, hot)
-    return pairs.filter(enough).filter(near).drop(
+    pairs = pairs.filter(enough).filter(near) if word_order else pairs.filter(enough)
+    return pairs.drop(
         "_k1", "_k2", "l_tokens", "r_tokens", "l_prefix", "r_prefix", "l_uid", "r_uid"
     )
 
