@@ -228,3 +228,11 @@ def best_geocoder_feature(features: DataFrame) -> DataFrame:
     return usable.groupBy("query").agg(
         F.min_by(F.struct(*columns), F.struct(priority, "ord")).alias("_f")
     ).select("query", "_f.*")
+
+
+def path_fingerprints(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Order-sensitive fingerprint of each path, so equal geometry is found without building coordinate lists."""
+    return points.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_points"),
+        F.concat_ws(":", F.count(F.lit(1)), F.bit_xor(F.xxhash64("seq", "lat", "lon")).cast("string")).alias("path_id"),
+    )
