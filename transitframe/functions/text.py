@@ -62,17 +62,23 @@ def collapse(value: Column | str) -> Column:
     return F.btrim(F.regexp_replace(_col(value), r"\s+", " "), F.lit(WHITESPACE))
 
 
+def _beyond_ascii(text: Column) -> Column:
+    """Cheap test that spares plain texts the character-by-character pass."""
+    return F.octet_length(text) > F.length(text)
+
+
 def fold_accents(value: Column | str) -> Column:
     """Compatibility fold: base letters only, marks removed (one ``translate`` pass)."""
     text = _col(value)
     expanded = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), EXPANSIONS.items(), text)
     guarded = F.when(text.rlike(_EXPANSION_CLASS), expanded).otherwise(text)
-    return F.translate(guarded, FOLD_SOURCE + MARKS, FOLD_TARGET)
+    return F.when(_beyond_ascii(text), F.translate(guarded, FOLD_SOURCE + MARKS, FOLD_TARGET)).otherwise(text)
 
 
 def fold_accents_canonical(value: Column | str) -> Column:
     """Canonical fold: accents go, compatibility characters such as the ordinal sign stay."""
-    return F.translate(_col(value), CANON_SOURCE + MARKS, CANON_TARGET)
+    text = _col(value)
+    return F.when(_beyond_ascii(text), F.translate(text, CANON_SOURCE + MARKS, CANON_TARGET)).otherwise(text)
 
 
 def norm_index(value: Column | str) -> Column:
@@ -135,9 +141,8 @@ def core_name(normalised: Column, prefixes: tuple[str, ...]) -> Column:
 def accent_score(value: Column | str) -> Column:
     """how many characters carry an accent or another compatibility form."""
     text = _col(value)
-    return F.length(text) - F.length(
-        F.translate(text, FOLD_SOURCE + MARKS + "".join(EXPANSIONS), "")
-    )
+    plain = F.translate(text, FOLD_SOURCE + MARKS + "".join(EXPANSIONS), "")
+    return F.when(_beyond_ascii(text), F.length(text) - F.length(plain)).otherwise(F.lit(0))
 
 
 def strip_parentheses(value: Column | str) -> Column:

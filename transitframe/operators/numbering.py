@@ -102,7 +102,7 @@ def ignoring_accents(df: DataFrame, column: str) -> DataFrame:
 
 
 def top_with_rest(df: DataFrame, order: list, n: int) -> DataFrame:
-    """SO6: first ``n`` rows overall, each with the number of rows left out."""
-    ranked = df.orderBy(*order).limit(n).withColumn("_k", F.lit(1))
-    total = df.agg(F.greatest(F.count(F.lit(1)) - n, F.lit(0)).alias("more")).withColumn("_k", F.lit(1))
-    return ranked.join(total, "_k").drop("_k")
+    """SO6: the first ``n`` rows, then one row whose ``more`` counts the rows left out."""
+    top = df.orderBy(*order).limit(n).withColumn("more", F.lit(None).cast("long"))
+    rest = df.agg(F.greatest(F.count(F.lit(1)) - n, F.lit(0)).alias("more")).filter("more > 0")
+    return top.unionByName(rest, allowMissingColumns=True)

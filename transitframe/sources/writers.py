@@ -61,7 +61,7 @@ def geojson_fragments(points: DataFrame) -> DataFrame:
     ``points(line_id, line_name, direction, seq, lat, lon)`` with dense ``seq`` from 0.
     """
     keys = ["line_name", "line_id", "direction"]
-    first = points.groupBy().agg(F.min(F.struct(*keys)).alias("_first"))
+    first = points.agg(F.min(F.struct(*keys)).alias("k")).first()["k"]  # one row
     properties = F.to_json(F.struct(
         F.col("line_id").alias("linha_id"), F.col("line_name").alias("linha_nome"), F.col("direction").alias("sentido")
     ))
@@ -70,11 +70,10 @@ def geojson_fragments(points: DataFrame) -> DataFrame:
     )
     vertex = F.concat(F.lit("["), F.col("lon").cast("string"), F.lit(","), F.col("lat").cast("string"), F.lit("]"))
     body = _fragments(points, keys, [*keys, "seq"], head, vertex, F.lit("]}}"), ",")
-    one = F.broadcast(first)  # a single row: the opening feature needs no comma
-    marked = body.join(one, F.lit(True)).withColumn(
-        "fragment",
-        F.when((F.col("seq") == 0) & (F.struct(*keys) != F.col("_first")), F.concat(F.lit(",\n"), "fragment")).otherwise(F.col("fragment")),
-    ).drop("_first")
+    opens_later = (F.col("seq") == 0) if first is None else (F.col("seq") == 0) & ~(
+        (F.col("line_name") == first["line_name"]) & (F.col("line_id") == first["line_id"]) & (F.col("direction") == first["direction"])
+    )
+    marked = body.withColumn("fragment", F.when(opens_later, F.concat(F.lit(",\n"), "fragment")).otherwise(F.col("fragment")))
     spark = points.sparkSession
     opening = spark.createDataFrame([("", "", "", -1, '{"type":"FeatureCollection","features":[\n')], "line_name string, line_id string, direction string, seq long, fragment string")
     closing = spark.createDataFrame([("\U0010ffff", "", "", 0, "\n]}\n")], opening.schema)
@@ -83,9 +82,8 @@ def geojson_fragments(points: DataFrame) -> DataFrame:
 
 def write_fragments(fragments: DataFrame, order: list[str], path: str) -> None:
     """Write ordered fragments as plain text; concatenated part files are the document."""
-    fragments.repartitionByRange(*order).sortWithinPartitions(*order).select("fragment").write.mode("errorifexists").option(
-        "lineSep", "⁠"
-    ).text(path)
+    ordered = fragments.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered.select("fragment").write.mode("errorifexists").text(path)
 
 
 def _style(style_id: str, colour: str, size: float, kind: str) -> str:
