@@ -68,3 +68,22 @@ def test_containment_join_loses_nothing(spark):
     got = [(x.l_t, x.r_t) for x in containment_join(l, r, "t").collect()]
     assert len(got) == len(set(got))
     assert set(got) == expected
+
+
+def test_grouped_joins_agree_for_small_and_large_groups(spark, monkeypatch):
+    from transitframe.operators import candidates
+
+    texts = names(7, 90)
+    rows = [(i % 3, t, sorted(set(t.split()))) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "g int, t string, w array<string>")
+    results = []
+    for limit in (128, 10):
+        monkeypatch.setattr(candidates, "_SMALL_GROUP", limit)
+        ratio = {(r.g, r.l_t, r.r_t) for r in ratio_join(df, df, "t", 0.7, on=["g"]).collect()}
+        overlap = {(r.g, r.l_t, r.r_t) for r in jaccard_join(df, df, "w", 0.4, on=["g"]).collect()}
+        results.append((ratio, overlap))
+    assert results[0] == results[1]
+    expected = {
+        (ga, a, b) for ga, a, _ in rows for gb, b, _ in rows if ga == gb and SequenceMatcher(None, a, b).ratio() >= 0.7
+    }
+    assert results[0][0] == expected

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -46,7 +47,6 @@ def fold_tables(form: str = "NFKD") -> tuple[str, str, str, dict[str, str]]:
 
 FOLD_SOURCE, FOLD_TARGET, MARKS, EXPANSIONS = fold_tables("NFKD")
 CANON_SOURCE, CANON_TARGET, _, _ = fold_tables("NFD")
-_EXPANSION_CLASS = "[" + "".join(EXPANSIONS) + "]"
 
 
 def _col(value: Column | str) -> Column:
@@ -67,18 +67,24 @@ def _beyond_ascii(text: Column) -> Column:
     return F.octet_length(text) > F.length(text)
 
 
+def _is_plain(value: Column | str) -> bool:
+    """A bare column may be named several times; a computed value must appear once or it runs again."""
+    return isinstance(value, str) or re.fullmatch(r"Column<'[\w.`]+'>", str(value)) is not None
+
+
 def fold_accents(value: Column | str) -> Column:
     """Compatibility fold: base letters only, marks removed (one ``translate`` pass)."""
     text = _col(value)
     expanded = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), EXPANSIONS.items(), text)
-    guarded = F.when(text.rlike(_EXPANSION_CLASS), expanded).otherwise(text)
-    return F.when(_beyond_ascii(text), F.translate(guarded, FOLD_SOURCE + MARKS, FOLD_TARGET)).otherwise(text)
+    folded = F.translate(expanded, FOLD_SOURCE + MARKS, FOLD_TARGET)
+    return F.when(_beyond_ascii(text), folded).otherwise(text) if _is_plain(value) else folded
 
 
 def fold_accents_canonical(value: Column | str) -> Column:
     """Canonical fold: accents go, compatibility characters such as the ordinal sign stay."""
     text = _col(value)
-    return F.when(_beyond_ascii(text), F.translate(text, CANON_SOURCE + MARKS, CANON_TARGET)).otherwise(text)
+    folded = F.translate(text, CANON_SOURCE + MARKS, CANON_TARGET)
+    return F.when(_beyond_ascii(text), folded).otherwise(text) if _is_plain(value) else folded
 
 
 def norm_index(value: Column | str) -> Column:
@@ -141,8 +147,8 @@ def core_name(normalised: Column, prefixes: tuple[str, ...]) -> Column:
 def accent_score(value: Column | str) -> Column:
     """how many characters carry an accent or another compatibility form."""
     text = _col(value)
-    plain = F.translate(text, FOLD_SOURCE + MARKS + "".join(EXPANSIONS), "")
-    return F.when(_beyond_ascii(text), F.length(text) - F.length(plain)).otherwise(F.lit(0))
+    bare = F.translate(text, FOLD_SOURCE + MARKS + "".join(EXPANSIONS), "")
+    return F.when(_beyond_ascii(text), F.length(text) - F.length(bare)).otherwise(F.lit(0))
 
 
 def strip_parentheses(value: Column | str) -> Column:

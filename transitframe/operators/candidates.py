@@ -19,11 +19,14 @@ from pyspark.sql import functions as F
 
 from transitframe.functions.similarity import jaccard, sequence_ratio
 from transitframe.rules import CONTAIN_MIN_LENGTH, CONTAIN_SHARE
+from transitframe.session import cut_lineage
 
 # Common-to-rare order of characters in street names; any fixed order is correct, this one is selective.
 _COMMON_TO_RARE = " AEOSRINDMUTCLPVGHQBFZJXKWY1203456789"
 _SENTINEL = (1 << 60) + 1
 _HOT_KEY_ROWS = 20_000
+# a left row meets at most this many right rows directly; larger groups go through similarity keys
+_SMALL_GROUP = 128
 
 
 def _character_tokens(text: Column) -> Column:
@@ -77,7 +80,26 @@ def _grid_join(left: DataFrame, right: DataFrame, keys: list[str], condition: Co
     r = right.join(cells, keys, "left").withColumn("_cells", one)
     r = r.withColumn("_column", spread("r_uid")).withColumn("_row", every).drop("_cells")
     on = [*keys, "_row", "_column"]
-    return l.join(r, on).filter(condition).drop("_row", "_column")
+    # few bytes but much checking per key: keep every shuffle partition instead of merging small ones
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = l.repartition(parts, *on).join(r.repartition(parts, *on), on)
+    return joined.filter(condition).drop("_row", "_column")
+
+
+def _by_group_size(left: DataFrame, right: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Split both sides into groups (equal ``on``) with at most ``_SMALL_GROUP`` right rows and the others."""
+    large = right.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > _SMALL_GROUP).select(*on)
+    large = cut_lineage(large)
+    return (
+        left.join(large, on, "left_anti"), right.join(large, on, "left_anti"),
+        left.join(large, on, "left_semi"), right.join(large, on, "left_semi"),
+    )
+
+
+def _once(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Write both inputs once: they are read for key counts and again for the join."""
+    stored = cut_lineage(left)
+    return stored, stored if right is left else cut_lineage(right)
 
 
 def _side(df: DataFrame, prefix: str, text: str, on: list[str]) -> DataFrame:
@@ -107,17 +129,17 @@ def ratio_candidates(
     """
     on = on or []
     share = threshold / (2.0 - threshold)
+    left, right = _once(left, right)
 
     def prepare(df: DataFrame, p: str) -> DataFrame:
-        side = _side(df, p, text, on)
-        tokens = _character_tokens(F.col(f"{p}_{text}"))
+        return _side(df, p, text, on).withColumn(f"{p}_tokens", _character_tokens(F.col(f"{p}_{text}")))
+
+    def keyed(df: DataFrame, p: str) -> DataFrame:
         size = F.length(f"{p}_{text}")
-        needed = F.ceil(size * F.lit(share) - F.lit(1e-9))
+        kept = F.greatest((size - F.ceil(size * F.lit(share) - F.lit(1e-9)) + 2).cast("int"), F.lit(2))
         return (
-            side.withColumn(f"{p}_tokens", tokens)
-            .withColumn(
-                f"{p}_prefix", F.slice(f"{p}_tokens", F.lit(1), F.greatest((size - needed + 2).cast("int"), F.lit(2)))
-            )
+            prepare(df, p)
+            .withColumn(f"{p}_prefix", F.slice(f"{p}_tokens", F.lit(1), kept))
             .withColumn("_key", F.explode(_key_pairs(F.col(f"{p}_prefix"))))
             .withColumns({"_k1": F.col("_key.k1"), "_k2": F.col("_key.k2")})
             .drop("_key")
@@ -128,16 +150,23 @@ def ratio_candidates(
     common_prefix = F.array_intersect("l_prefix", "r_prefix")
     first_key = (F.get(common_prefix, 0) == F.col("_k1")) & (F.get(common_prefix, 1) == F.col("_k2"))
     fits = F.least(F.length(a), F.length(b)) * 2 >= F.lit(threshold) * total - F.lit(1e-9)
+    fits = fits if condition is None else fits & condition
     shared = F.size(F.array_intersect("l_tokens", "r_tokens")) - 1
     enough = shared * 2 >= F.lit(threshold) * total - F.lit(1e-9)
     limit = F.floor(F.lit(1.0 - threshold) * total + F.lit(1e-9)).cast("int")
     near = F.call_function("levenshtein", a, b, limit) >= 0
-    kept = fits & first_key if condition is None else fits & condition & first_key
-    pairs = _grid_join(prepare(left, "l"), prepare(right, "r"), [*on, "_k1", "_k2"], kept, hot)
+
+    def through_keys(l: DataFrame, r: DataFrame) -> DataFrame:
+        pairs = _grid_join(keyed(l, "l"), keyed(r, "r"), [*on, "_k1", "_k2"], fits & first_key, hot)
+        return pairs.drop("_k1", "_k2", "l_prefix", "r_prefix")
+
+    if on:
+        small_l, small_r, large_l, large_r = _by_group_size(left, right, on)
+        pairs = prepare(small_l, "l").join(prepare(small_r, "r"), on).filter(fits).unionByName(through_keys(large_l, large_r))
+    else:
+        pairs = through_keys(left, right)
     pairs = pairs.filter(enough).filter(near) if word_order else pairs.filter(enough)
-    return pairs.drop(
-        "_k1", "_k2", "l_tokens", "r_tokens", "l_prefix", "r_prefix", "l_uid", "r_uid"
-    )
+    return pairs.drop("l_tokens", "r_tokens", "l_uid", "r_uid")
 
 
 def ratio_join(
@@ -167,6 +196,7 @@ def jaccard_join(
 ) -> DataFrame:
     """Pairs whose word sets (array column ``words``) overlap by at least ``threshold`` (SM1)."""
     on = on or []
+    left, right = _once(left, right)
 
     def exploded(df: DataFrame) -> DataFrame:
         return df.select(F.explode(words).alias("_w"))
@@ -176,9 +206,7 @@ def jaccard_join(
     )
 
     def prepare(df: DataFrame, p: str) -> DataFrame:
-        side = df.select(
-            *[F.col(c) if c in on else F.col(c).alias(f"{p}_{c}") for c in df.columns],
-        ).withColumn(f"{p}_uid", F.to_json(F.struct(*[c if c in on else f"{p}_{c}" for c in df.columns])))
+        side = renamed(df, p).withColumn(f"{p}_uid", F.to_json(F.struct(*[c if c in on else f"{p}_{c}" for c in df.columns])))
         # rank the few words of each distinct set by global rarity; bounded by the words of one name
         sets = side.select(F.col(f"{p}_{words}").alias("_set")).distinct()
         ranked = (
@@ -199,12 +227,22 @@ def jaccard_join(
 
     first_key = F.get(F.array_intersect("l_prefix", "r_prefix"), 0) == F.col("_key")
     kept = first_key if condition is None else condition & first_key
-    pairs = _grid_join(prepare(left, "l"), prepare(right, "r"), [*on, "_key"], kept, hot)
-    return (
-        pairs.withColumn("score", jaccard(F.col(f"l_{words}"), F.col(f"r_{words}")))
-        .filter(F.col("score") >= threshold)
-        .drop("_key", "l_prefix", "r_prefix", "l_uid", "r_uid")
-    )
+
+    def through_keys(l: DataFrame, r: DataFrame) -> DataFrame:
+        pairs = _grid_join(prepare(l, "l"), prepare(r, "r"), [*on, "_key"], kept, hot)
+        return pairs.drop("_key", "l_prefix", "r_prefix", "l_uid", "r_uid")
+
+    def renamed(df: DataFrame, p: str) -> DataFrame:
+        return df.select(*[F.col(c) if c in on else F.col(c).alias(f"{p}_{c}") for c in df.columns])
+
+    if on:
+        small_l, small_r, large_l, large_r = _by_group_size(left, right, on)
+        direct = renamed(small_l, "l").join(renamed(small_r, "r"), on)
+        direct = direct if condition is None else direct.filter(condition)
+        pairs = direct.unionByName(through_keys(large_l, large_r))
+    else:
+        pairs = through_keys(left, right)
+    return pairs.withColumn("score", jaccard(F.col(f"l_{words}"), F.col(f"r_{words}"))).filter(F.col("score") >= threshold)
 
 
 _LONG = 20
@@ -234,6 +272,7 @@ def containment_join(
 ) -> DataFrame:
     """SM5: pairs where one text contains the other and is at most 1/0.7 as long; left has >= 8 characters."""
     on = on or []
+    left, right = _once(left, right)
     l = _side(left.filter(F.length(text) >= CONTAIN_MIN_LENGTH), "l", text, on)
     r = _side(right, "r", text, on)
     a, b = F.col(f"l_{text}"), F.col(f"r_{text}")

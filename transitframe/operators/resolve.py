@@ -117,9 +117,17 @@ def resolve_addresses(addresses: DataFrame, registry: DataFrame) -> DataFrame:
     official = registry.select(
         F.concat_ws(" ", "street_code", codes.expand(F.upper("street"), "address")).alias("text")
     ).distinct()
-    # both ratios are bounded by the shared characters; only the plain one by the edit distance
+    # both ratios are bounded by the shared characters; each by the edit distance of its own word order
     pairs = ratio_candidates(extracted.select("text").distinct(), official, "text", rules.ADDRESS_SCORE / 100.0, word_order=False)
-    scored = pairs.withColumn("score", weighted_ratio("l_text", "r_text")).filter(F.col("score") >= rules.ADDRESS_SCORE)
+    total = F.length("l_text") + F.length("r_text")
+    in_order = lambda c: F.array_join(F.array_sort(F.split(c, " ")), " ")
+    plain, by_words = rules.ADDRESS_SCORE / 100.0, rules.ADDRESS_SCORE / 95.0
+
+    def near(a, b, ratio):
+        return F.call_function("levenshtein", a, b, F.floor(F.lit(1.0 - ratio) * total + F.lit(1e-9)).cast("int")) >= 0
+
+    close = pairs.filter(near(F.col("l_text"), F.col("r_text"), plain) | near(in_order("l_text"), in_order("r_text"), by_words))
+    scored = close.withColumn("score", weighted_ratio("l_text", "r_text")).filter(F.col("score") >= rules.ADDRESS_SCORE)
     best = best_per_key(scored, ["l_text"], "score", ["r_text"], ["r_text"]).withColumnRenamed("l_text", "text")
     return extracted.join(best, "text", "left").select(
         "address",
@@ -355,27 +363,28 @@ def merge_with_system(manual: DataFrame, system: DataFrame) -> tuple[DataFrame,
 
     ``manual(line_code, line_name, direction, seq, street)``, ``system(line_code, direction, seq, street)``.
     """
-    m = manual.withColumn("street", codes.expand("street", "merge")).withColumn("key", tx.norm_key("street"))
-    s = system.withColumn("street", codes.expand("street", "merge")).withColumn("key", tx.norm_key("street"))
-    names = manual.select("line_code", "line_name").distinct()
-    s = s.join(names, "line_code")
     on = ["line_name", "direction"]
-    merged = m.select("line_code", "line_name", "direction", "seq", "street")
-    m_keys, s_keys = m.select(*on, "key").distinct(), s.select(*on, "key").distinct()
-    m_open = m.join(s_keys, [*on, "key"], "left_anti")
-    m_words = m_open.select("line_code", *on, "seq", "street", tx.relevant_words("street").alias("words"))
-    s_words = s.groupBy(*on, "street").agg(F.min("seq").alias("seq")).withColumn("words", tx.relevant_words("street"))
-    pairs = jaccard_join(m_words, s_words, "words", rules.MERGE_JACCARD, on=on)
+    spelled = lambda df: df.withColumn("street", codes.expand("street", "merge")).withColumn("key", tx.norm_key("street")).withColumn(
+        "words", F.array_distinct(F.filter(F.split("key", " "), lambda w: F.length(w) >= 3))
+    )
+    m = cut_lineage(spelled(manual.select("line_code", "line_name", "direction", "seq", "street")))
+    names = m.select("line_code", "line_name").distinct()
+    s = cut_lineage(spelled(system.select("line_code", "direction", "seq", "street").join(names, "line_code")))
+    merged = m.select("line_code", *on, "seq", "street")
+    m_open = m.join(s.select(*on, "key").distinct(), [*on, "key"], "left_anti")
+    s_words = s.groupBy(*on, "street").agg(F.min("seq").alias("seq"), F.first("words").alias("words"))
+    pairs = jaccard_join(m_open.drop("key"), s_words, "words", rules.MERGE_JACCARD, on=on)
     best = pairs.groupBy(F.col("l_line_code").alias("line_code"), *on, F.col("l_seq").alias("seq")).agg(
         F.min_by(
             F.struct(F.col("l_street").alias("manual"), F.col("r_street").alias("system"), "score"),
             F.struct(-F.col("score"), "r_seq"),
         ).alias("_b")
     ).select("line_code", *on, "seq", "_b.*")
-    s_open = s.join(m_keys, [*on, "key"], "left_anti")
-    all_manual = m.select(*on, tx.relevant_words("street").alias("words")).distinct()
-    s_side = s_open.select(*on, "seq", "street", tx.relevant_words("street").alias("words"))
-    reached = jaccard_join(s_side, all_manual, "words", rules.MERGE_JACCARD, on=on).select(*on, F.col("l_seq").alias("seq")).distinct()
+    s_open = s.join(m.select(*on, "key").distinct(), [*on, "key"], "left_anti")
+    all_manual = m.select(*on, "words").distinct()
+    reached = jaccard_join(s_open.select(*on, "seq", "words"), all_manual, "words", rules.MERGE_JACCARD, on=on).select(
+        *on, F.col("l_seq").alias("seq")
+    ).distinct()
     extras = s_open.join(reached, [*on, "seq"], "left_anti").select("line_code", *on, "seq", "street")
     return merged, best, extras
 
