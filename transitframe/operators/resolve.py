@@ -171,9 +171,12 @@ def closest(names: DataFrame, candidates: DataFrame, levels: tuple[float, ...] =
     """
     rest = names.select("name").distinct().withColumn("text", tx.norm_key("name"))
     pool = candidates.select("candidate").distinct().withColumn("text", tx.norm_key("candidate"))
-    pool = pool.groupBy("text").agg(F.min("candidate").alias("candidate"))
-    found = []
+    pool = cut_lineage(pool.groupBy("text").agg(F.min("candidate").alias("candidate")))
+    found = [pool.sparkSession.createDataFrame([], "name string, candidate string, score double")]
     for level in levels:
+        rest = cut_lineage(rest)
+        if not rest.take(1):
+            break
         pairs = ratio_join(rest, pool, "text", level)
         best = cut_lineage(
             pairs.groupBy(F.col("l_name").alias("name")).agg(
