@@ -105,13 +105,13 @@ def mg4_log(spark, sf):
 
 
 def mg5_outputs(spark, sf):
-    merged = d.manual_itinerary(spark, sf).select("line_code", "line_name", "direction", "seq", "street")
+    merged = d.manual_itinerary(spark, sf).select("line_code", "line_name", "direction", "seq", "street", F.col("line_key").alias("ord"))
     system = d.named_itinerary(spark, sf).select("line_id", "line_code", "direction", "seq", "street", "street_code", "match")
     return merge.apply_itineraries(merged, system, d.lines(spark, sf).filter("line_key % 10 <> 6").select("line_id", "line_name"))
 
 
 _MG5 = f"""w AS (SELECT line_code, line_name, line_key, count(DISTINCT direction) AS n FROM manual_itinerary WHERE line_code IS NOT NULL GROUP BY ALL HAVING count(DISTINCT direction) = 2),
-u AS (SELECT line_code, max(line_name) AS line_name FROM w WHERE line_code <> '0112' GROUP BY 1), t AS (SELECT line_id, line_code FROM lines WHERE line_code IS NOT NULL AND line_key % 10 <> 6),
+u AS (SELECT line_code, arg_max(line_name, line_key) AS line_name FROM w WHERE line_code <> '0112' GROUP BY 1), t AS (SELECT line_id, line_code FROM lines WHERE line_code IS NOT NULL AND line_key % 10 <> 6),
 fresh AS (SELECT t.line_id, direction, seq, street FROM manual_itinerary JOIN u USING (line_code, line_name) JOIN t USING (line_code)),
 cmp AS (SELECT line_id, bool_or(a IS DISTINCT FROM b) AS changed FROM (SELECT COALESCE(f.line_id, s.line_id) AS line_id, f.street AS a, s.street AS b FROM fresh f FULL JOIN (SELECT * FROM named_itinerary WHERE line_id IN (SELECT line_id FROM fresh)) s
   ON f.line_id = s.line_id AND f.direction = s.direction AND f.seq = s.seq) GROUP BY 1)"""

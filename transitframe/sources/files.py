@@ -31,22 +31,26 @@ ZONE_DOC = (
 )
 
 
-def read_map(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
-    """Entries of top-level JSON maps as rows (``ord``, key, ``value``), in document order."""
-    documents = spark.read.text(path, wholetext=True)
+def map_rows(documents: DataFrame, schema: str, key: str) -> DataFrame:
+    """Entries of JSON maps (column ``value``) as rows (``ord``, key, ``value``), in document order."""
     entries = documents.select(F.posexplode(F.map_entries(F.from_json("value", schema))).alias("ord", "e"))
     return entries.select("ord", F.col("e.key").alias(key), F.col("e.value").alias("value"))
 
 
-def _sides(df: DataFrame, side: Column | None = None) -> DataFrame:
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Whole files as JSON documents in column ``value``."""
+    return spark.read.text(path, wholetext=True)
+
+
+def _sides(df: DataFrame) -> DataFrame:
     return df.withColumn(
         "_side", F.explode(F.array(*[F.struct(F.lit(d).alias("direction"), F.col(f"value.{d}").alias("data")) for d in rules.DIRECTIONS]))
     ).select(*df.drop("value").columns, "_side.direction", "_side.data")
 
 
-def read_unified(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """SC1: the unified line map as (lines, points, itinerary)."""
-    raw = read_map(spark, path, UNIFIED_MAP, "line_name").withColumn("line_id", codes.line_id("line_name"))
+def read_unified(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """SC1: unified line maps as (lines, points, itinerary); ``documents`` from ``read_documents``."""
+    raw = map_rows(documents, UNIFIED_MAP, "line_name").withColumn("line_id", codes.line_id("line_name"))
     lines = raw.select("line_id", "line_name", codes.line_code("line_name").alias("line_code"), "ord")
     sides = _sides(raw)
     keep = ["line_id", "line_name", "ord", "direction"]
@@ -88,15 +92,15 @@ def line_doc_itinerary(docs: DataFrame) -> DataFrame:
     )
 
 
-def read_manual(spark: SparkSession, path: str) -> DataFrame:
+def read_manual(documents: DataFrame) -> DataFrame:
     """SC3: hand-made itineraries (line -> direction -> street names)."""
-    sides = _sides(read_map(spark, path, MANUAL_MAP, "line_name"))
+    sides = _sides(map_rows(documents, MANUAL_MAP, "line_name"))
     return sides.select("ord", "line_name", "direction", F.posexplode("data").alias("seq", "street"))
 
 
-def read_timetable(spark: SparkSession, path: str) -> DataFrame:
+def read_timetable(documents: DataFrame) -> DataFrame:
     """SC4: timetable map to one row per departure."""
-    raw = read_map(spark, path, TIMETABLE_MAP, "line_code")
+    raw = map_rows(documents, TIMETABLE_MAP, "line_code")
     slots = [
         raw.select("ord", "line_code", F.col("value.nome").alias("line_name"), F.lit(day).alias("day_type"), F.lit(d).alias("direction"),
                    F.posexplode(F.col(f"value.{day}.{d}")).alias("seq", "hhmm"))
