@@ -16,19 +16,32 @@ def _position() -> Column:
 
 
 def distinct_streets(itinerary: DataFrame) -> DataFrame:
-    """AG2: one row per comparison key: first spelling, first code, first match, occurrences."""
-    named = itinerary.withColumn("street", tx.strip("street")).filter(F.col("street") != "")
-    has_code = F.coalesce(F.length("street_code") > 0, F.lit(False))
-    return (
-        named.withColumns({"key": tx.norm_key("street"), "_p": _position()})
-        .groupBy("key")
+    """AG2: one row per comparison key: first spelling, first code, first match, occurrences.
+
+    Rows are combined per raw spelling first, so the key is computed once per spelling and a popular
+    street never travels whole.
+    """
+    coded = F.when(F.length("street_code") > 0, F.col("_p"))
+    per_spelling = (
+        itinerary.withColumn("_p", _position())
+        .groupBy("street")
         .agg(
-            F.min_by("street", "_p").alias("street"),
-            F.min_by("street_code", F.when(has_code, F.col("_p"))).alias("street_code"),
+            F.min("_p").alias("_p"),
             F.min_by("match", "_p").alias("match"),
+            F.min_by("street_code", coded).alias("street_code"),
+            F.min(coded).alias("_coded"),
             F.count(F.lit(1)).alias("occurrences"),
-            F.min("_p").alias("first_seen"),
         )
+        .withColumn("street", tx.strip("street"))
+        .filter(F.col("street") != "")
+        .withColumn("key", tx.norm_key("street"))
+    )
+    return per_spelling.groupBy("key").agg(
+        F.min_by("street", "_p").alias("street"),
+        F.min_by("street_code", "_coded").alias("street_code"),
+        F.min_by("match", "_p").alias("match"),
+        F.sum("occurrences").alias("occurrences"),
+        F.min("_p").alias("first_seen"),
     )
 
 

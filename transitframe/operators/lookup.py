@@ -93,6 +93,17 @@ def search_streets(index: DataFrame, query: str, limit: int | None = 100, trim_q
     return hits.select("line_id", "line_name", "direction", "norm_street", "street_code")
 
 
+def times_by_slot(departures: DataFrame, keys: list[str]) -> DataFrame:
+    """Sorted departure times per slot, repeats kept.
+
+    Equal minutes are counted before the shuffle, so a slot sends at most 1,440 rows however many
+    departures it has.
+    """
+    counted = departures.groupBy(*keys, "hhmm").agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    slots = F.array_sort(F.collect_list(F.struct("hhmm", "_n")))
+    return counted.groupBy(*keys).agg(F.flatten(F.transform(slots, lambda s: F.array_repeat(s["hhmm"], s["_n"]))).alias("times"))
+
+
 def search_streets_at(
     index: DataFrame,
     timetable: DataFrame,
@@ -113,11 +124,8 @@ def search_streets_at(
     target = hour * 60 + minute
     hits = search_streets(index, query, None if limit_after else limit)
     code = codes.code_dialect("line_name", "prefix4") if key == "prefix4" else codes.line_code("line_name")
-    near = (
-        timetable.filter((F.col("day_type") == day_type) & (F.abs(F.col("minute_of_day") - target) <= window))
-        .groupBy("line_code", "direction")
-        .agg(F.array_join(F.sort_array(F.collect_list("hhmm")), ",").alias("near_times"))
-    )
+    due = timetable.filter((F.col("day_type") == day_type) & (F.abs(F.col("minute_of_day") - target) <= window))
+    near = times_by_slot(due, ["line_code", "direction"]).withColumn("near_times", F.array_join("times", ",")).drop("times")
     found = hits.withColumn("line_code", code).filter(F.col("line_code") != "").join(near, ["line_code", "direction"])
     out = found.select("line_id", "line_name", "direction", "norm_street", "street_code", "near_times")
     if limit_after and limit is not None:
@@ -138,8 +146,7 @@ def line_timetable(lines: DataFrame, timetable: DataFrame, line_id: str | None =
     slots = chosen.withColumn("day_type", F.explode(F.array(*[F.lit(d) for d in DAY_TYPES]))).withColumn(
         "direction", F.explode(F.array(*[F.lit(d) for d in DIRECTIONS]))
     )
-    # departures of one line, day and direction: at most one per minute and vehicle, so a short list
-    times = timetable.groupBy("line_code", "day_type", "direction").agg(F.sort_array(F.collect_list("hhmm")).alias("times"))
+    times = times_by_slot(timetable, ["line_code", "day_type", "direction"])
     return slots.join(times, ["line_code", "day_type", "direction"], "left").select(
         "line_id", "day_type", "direction", F.coalesce("times", F.array().cast("array<string>")).alias("times")
     )

@@ -23,15 +23,14 @@ def number_rows(
     """Dense numbers per group in ``order``; ``block`` must be monotone in that order."""
     blocked = df.withColumn("_block", block)
     within = Window.partitionBy(*group, "_block").orderBy(*order)
-    whole = Window.partitionBy(*group, "_block")
-    local = blocked.withColumn("_local", F.row_number().over(within)).withColumn("_rows", F.count(F.lit(1)).over(whole))
-    offsets = _block_offsets(
-        local.filter(F.col("_local") == 1).select(*group, "_block", "_rows"), group, "_rows", "_offset"
-    )
+    local = blocked.withColumn("_local", F.row_number().over(within))
+    # counted map-side, so only one row per block is shuffled a second time
+    summary = blocked.groupBy(*group, "_block").agg(F.count(F.lit(1)).alias("_rows"))
+    offsets = _block_offsets(summary, group, "_rows", "_offset")
     return (
         local.join(offsets, [*group, "_block"])
         .withColumn(out, (F.col("_offset") + F.col("_local") + (start - 1)).cast("long"))
-        .drop("_block", "_local", "_rows", "_offset")
+        .drop("_block", "_local", "_offset")
     )
 
 

@@ -239,24 +239,25 @@ def similar_name_clusters(itinerary: DataFrame, threshold: float = rules.CLUSTER
             F.col("l_key").alias("earlier"), F.col("l_pos").alias("earlier_pos"), F.col("r_key").alias("later")
         )
     )
+    followers = edges.select(F.col("later").alias("key")).distinct().withColumn("_f", F.lit(True))
     settled = cut_lineage(
-        keys.join(edges.select(F.col("later").alias("key")).distinct(), "key", "left_anti").select("key", F.lit(True).alias("leads"))
+        keys.join(followers, "key", "left").select("key", F.when(F.col("_f").isNull(), F.lit(True)).alias("leads"))
     )
-    undecided = cut_lineage(edges.select(F.col("later").alias("key")).distinct())
-    while undecided.take(1):
+    while settled.filter("leads is null").take(1):
         state = settled.select(F.col("key").alias("earlier"), F.col("leads").alias("earlier_leads"))
         seen = (
-            edges.join(undecided.withColumnRenamed("key", "later"), "later", "left_semi")
-            .join(state, "earlier", "left")
+            edges.join(settled.filter("leads is null").select(F.col("key").alias("later")), "later", "left_semi")
+            .join(state, "earlier")
             .groupBy("later")
             .agg(
                 F.max(F.coalesce("earlier_leads", F.lit(False))).alias("led"),
                 F.min(F.col("earlier_leads").isNotNull()).alias("known"),
             )
         )
-        decided = cut_lineage(seen.filter("led or known").select(F.col("later").alias("key"), (~F.col("led")).alias("leads")))
-        settled = cut_lineage(settled.unionByName(decided))
-        undecided = cut_lineage(undecided.join(decided, "key", "left_anti"))
+        decision = F.when(F.col("led"), F.lit(False)).when(F.col("known"), F.lit(True))
+        settled = cut_lineage(
+            settled.join(seen.withColumnRenamed("later", "key"), "key", "left").select("key", F.coalesce("leads", decision).alias("leads"))
+        )
     leaders = settled.filter("leads")
     owned = (
         edges.join(leaders.select(F.col("key").alias("earlier")), "earlier", "left_semi")
