@@ -372,3 +372,16 @@ def test_reuse_codes_keeps_null_codes(spark):
     manual = spark.createDataFrame([("c", "ida", 0, "R. A"), ("c", "ida", 1, "NOVA")], "line_code string, direction string, seq int, street string")
     got = [(r.street, r.street_code, r.match, r.reused) for r in joins.reuse_codes(manual, system).orderBy("seq").collect()]
     assert got == [("R. A", None, "exato", True), ("NOVA", None, "manual", False)]
+
+
+def test_rings_from_shuffled_ways():
+    corners = [(0.0, 0.0), (1.0, 0.0), (2.0, 1.0), (1.0, 2.0), (0.0, 1.0)]
+    ring = [*corners, corners[0]]
+    rng = random.Random(5)
+    for _ in range(50):
+        ways = [ring[0:3], ring[2:4], ring[3:6]]
+        ways = [w[::-1] if rng.random() < 0.5 else w for w in ways]
+        rng.shuffle(ways)
+        (only,) = spatial._stitch(ways)
+        assert only[0] == only[-1] and sorted(only[:-1]) == sorted(corners)
+    assert spatial._stitch([[(0, 0), (1, 1)], [(5, 5), (6, 6)]]) == [[(0, 0), (1, 1)], [(5, 5), (6, 6)]]

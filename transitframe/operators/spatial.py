@@ -163,31 +163,32 @@ def terminal_or_zone(points: DataFrame, terminals: DataFrame, zones: DataFrame,
     ).withColumn("place", F.when(F.col("terminal").isNotNull(), F.col("terminal")).when(~outside, F.col("zone_name")))
 
 
+def _extended(chain: list, way: list) -> list | None:
+    """The chain with a way attached where they share an end (its tail first), else nothing."""
+    backward = way[::-1]
+    for piece in (way, backward):
+        if piece[0] == chain[-1]:
+            return chain + piece[1:]
+    for piece in (backward, way):
+        if piece[-1] == chain[0]:
+            return piece[:-1] + chain
+    return None
+
+
 def _stitch(ways: list[list[tuple[float, float]]]) -> list[list[tuple[float, float]]]:
-    """Chain ways by shared end points; the first pending way that fits any end is attached."""
-    pending = [list(w) for w in ways]
-    rings = []
-    while pending:
-        chain = pending.pop(0)
-        while chain[0] != chain[-1]:
-            for i, way in enumerate(pending):
-                head, tail = chain[0], chain[-1]
-                if way[0] == tail:
-                    chain = chain + way[1:]
-                elif way[-1] == tail:
-                    chain = chain + way[-2::-1]
-                elif way[0] == head:
-                    chain = way[:0:-1] + chain
-                elif way[-1] == head:
-                    chain = way[:-1] + chain
-                else:
-                    continue
-                del pending[i]
-                break
-            else:
-                break
-        rings.append(chain)
-    return rings
+    """Chains of ways in input order; each takes the first remaining way that fits until it closes."""
+    remaining, chains = list(ways), []
+    while remaining:
+        chain, grown = remaining.pop(0), True
+        while grown and chain[0] != chain[-1]:
+            fits = ((i, longer) for i, way in enumerate(remaining) if (longer := _extended(chain, way)) is not None)
+            index, longer = next(fits, (None, None))
+            grown = longer is not None
+            if grown:
+                chain = longer
+                del remaining[index]
+        chains.append(chain)
+    return chains
 
 
 def assemble_rings(ways: DataFrame) -> DataFrame:
