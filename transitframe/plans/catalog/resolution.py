@@ -74,7 +74,7 @@ def er4(spark, sf):
 @query("ER5_closest")
 def er5(spark, sf):
     used = d.manual_itinerary(spark, sf).select(F.col("street").alias("candidate"))
-    wrong = d.streets(spark, sf).filter("part_key % 10 = 0").select(F.concat("street", F.lit(" NORTE")).alias("name"))
+    wrong = d.streets(spark, sf).select(F.concat("street", F.lit(" NORTE")).alias("name"))
     return resolve.closest(wrong, used).withColumn("score", F.round("score", 6))
 
 
@@ -89,16 +89,16 @@ _WORDS = o.words3
 
 
 @query("ER6_JN12_company_lines", o.sql(f"""
-AND_WITH l AS (SELECT line_key AS listing_id, 'EMPRESA ' || region AS company, unnest([line_name, 'IDA ' || line_name, replace(line_name, 'NATION', 'NACAO')]) AS n FROM lines WHERE line_key % 7 = 1),
-a AS (SELECT company, code, ord, {_WORDS('name')} AS w FROM active_lines WHERE line_key % 3 = 0),
-p AS (SELECT listing_id, code, ord, {o.jaccard(_WORDS('n'), 'w')} AS s FROM l JOIN a USING (company)), m AS (SELECT listing_id, code, ord, max(s) AS s FROM p WHERE s >= 0.25 GROUP BY ALL)
+AND_WITH l AS MATERIALIZED (SELECT DISTINCT listing_id, company, {_WORDS('n')} AS wn FROM (SELECT line_key AS listing_id, 'EMPRESA ' || region AS company, unnest([line_name, 'IDA ' || line_name, replace(line_name, 'NATION', 'NACAO')]) AS n FROM lines)),
+a AS MATERIALIZED (SELECT company, code, ord, {_WORDS('name')} AS w FROM active_lines),
+p AS (SELECT listing_id, code, ord, {o.jaccard('wn', 'w')} AS s FROM l JOIN a USING (company)), m AS (SELECT listing_id, code, ord, max(s) AS s FROM p WHERE s >= 0.25 GROUP BY ALL)
 SELECT DISTINCT l.listing_id, l.company, b.code, b.score FROM l LEFT JOIN (SELECT listing_id, arg_min(code, (-s, ord)) AS code, round(max(s), 6) AS score FROM m GROUP BY 1) b USING (listing_id)""", "lines", "active_lines"))
 def er6(spark, sf):
-    listed = d.lines(spark, sf).filter("line_key % 7 = 1").select(
+    listed = d.lines(spark, sf).select(
         F.col("line_key").alias("listing_id"), F.concat(F.lit("EMPRESA "), "region").alias("company"), F.col("line_name").alias("line"),
         F.concat(F.lit("IDA "), "line_name").alias("name_ida"), F.replace("line_name", F.lit("NATION"), F.lit("NACAO")).alias("name_volta"),
     )
-    active = d.active_lines(spark, sf).filter("line_key % 3 = 0").select("company", "code", "name", "ord")
+    active = d.active_lines(spark, sf).select("company", "code", "name", "ord")
     return resolve.match_company_lines(listed, active).withColumn("score", F.round("score", 6))
 
 
@@ -167,9 +167,8 @@ def er10(spark, sf):
 
 @query("WN9_variant_candidates")
 def wn9(spark, sf):
-    s = d.streets(spark, sf)
-    reference = s.filter("part_key % 2 = 0").select(F.col("manual_street").alias("street"), F.col("part_key").alias("ord"))
-    return resolve.variant_candidates(s.filter("part_key % 2 = 1").select("street"), reference).withColumn("score", F.round("score", 6))
+    reference = d.registry(spark, sf).select("street", "ord")
+    return resolve.variant_candidates(d.streets(spark, sf).select("street"), reference).withColumn("score", F.round("score", 6))
 
 
 def er11_inputs(spark, sf):

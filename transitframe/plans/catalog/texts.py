@@ -223,11 +223,10 @@ def f19(spark, sf):
 
 
 @query("F19_title_case", o.sql("""
-SELECT part_key, array_to_string(list_transform(string_split(lower(street), ' '), lambda w: CASE WHEN w LIKE '(%' THEN '(' || upper(substr(w, 2, 1)) || substr(w, 3) ELSE upper(substr(w, 1, 1)) || substr(w, 2) END), ' ') AS title
-FROM streets WHERE part_key % 5 <> 0 AND street NOT LIKE 'PÇA%'""", "streets"))
+SELECT part_key, array_to_string(list_transform(range(1, length(s) + 1), lambda i: CASE WHEN regexp_matches(s[i], '[a-z]') AND (i = 1 OR NOT regexp_matches(s[i - 1], '[a-z0-9_]')) THEN upper(s[i]) ELSE s[i] END), '') AS title
+FROM (SELECT part_key, lower(street) AS s FROM streets)""", "streets"))
 def f19_title(spark, sf):
-    plain = d.streets(spark, sf).filter((F.col("part_key") % 5 != 0) & ~F.col("street").startswith("PÇA"))
-    return plain.select("part_key", tx.title_case("street").alias("title"))
+    return d.streets(spark, sf).select("part_key", tx.title_case("street").alias("title"))
 
 
 @query("F20_split_option", o.sql("""
