@@ -129,3 +129,12 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 def as_signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_if_small(table: DataFrame, columns: list[str]) -> DataFrame:
+    """``table`` with a broadcast hint if its measured size allows one; beyond that Spark joins by shuffle."""
+    size = table.agg(F.sum(sum((F.octet_length(F.col(c).cast("string")) for c in columns), F.lit(64)))).first()[0] or 0
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table

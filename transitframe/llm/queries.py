@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from transitframe.llm.common import part_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,3 +33,134 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from transitframe.llm.jaccard import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their labels, without the held-out fifth."""
+    labels = table(spark, sf_dir, "labels").where(part_of("doc_id", 5) != 0)
+    return _documents(spark, sf_dir).join(labels, "doc_id")
+
+
+@query("op1_language")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from transitframe.llm import langid
+
+    docs = _documents(spark, sf_dir)
+    held = part_of("doc_id", 3) == 1
+    model = langid.fit(docs.where(~held & F.col("lang").isNotNull()))
+    return langid.identify(docs, model, {"doc_id": F.col("doc_id"), "held_out": held})
+
+
+@query("op2_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from transitframe.llm import quality
+
+    model = quality.fit(_labelled(spark, sf_dir))
+    rows = quality.score(_documents(spark, sf_dir), model, {"doc_id": F.col("doc_id"), "held_out": part_of("doc_id", 5) == 0})
+    return rows.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from transitframe.llm import toxicity
+
+    model = toxicity.fit(_labelled(spark, sf_dir))
+    rows = toxicity.score(_documents(spark, sf_dir), model, {"doc_id": F.col("doc_id"), "held_out": part_of("doc_id", 5) == 0})
+    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op5_decontamination", """
+with d as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') as w
+    from documents
+), b as (
+    select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') as w
+    from benchmark
+), bl as (select item_id, w, least(len(w), 10) as n from b where len(w) > 0),
+grams as (select distinct item_id, n, array_to_string(w[s : s + n - 1], ' ') as gram from (select *, unnest(generate_series(1, len(w) - n + 1)) as s from bl)),
+sizes as (select distinct n from grams),
+windows as (
+    select doc_id, n, s, array_to_string(w[s : s + n - 1], ' ') as gram
+    from (select doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) as s from d, sizes where len(w) >= n)
+), hits as (select doc_id, windows.n, s, item_id from windows join grams using (n, gram)),
+words as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(generate_series(s, s + n - 1)) as p from hits) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(i, ',' order by i) as ids from (select distinct doc_id, cast(item_id as varchar) as i from hits) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 as contaminated
+from d left join words using (doc_id) left join items using (doc_id)
+""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from transitframe.llm.decontaminate import contamination
+
+    return contamination(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_vectors")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from transitframe.llm.vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_token_counts")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from transitframe.llm import tokens
+
+    return tokens.suffix_sums(tokens.length_histogram(_documents(spark, sf_dir)))
+
+
+@query("op7_personal_data")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from transitframe.llm import pii
+
+    return pii.find(_documents(spark, sf_dir), {"doc_id": F.col("doc_id")})
+
+
+@query("op8_mixing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from transitframe.llm import mixing
+
+    rows = mixing.mix(_documents(spark, sf_dir), budget_share=1.0, repetitions=1.25)
+    return rows.select("doc_id", "source", mixing.word_tokens().alias("n_tokens"), "mix_copy", "mix_block", "mix_order")
+
+
+def _licence_oracle() -> str:
+    from transitframe.llm import licences
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    line = licences.COPYRIGHT_LINE
+
+    def lines(text: str) -> str:
+        out = f"regexp_replace(lower(coalesce({text}, '')), {quoted(line)}, '', 'g')"
+        out = f"regexp_replace({out}, '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+        out = f"' ' || regexp_replace({out}, ' ?\\n ?', E' \\n ', 'g') || ' '"
+        for spelling, unified in licences.SPELLINGS:
+            if spelling != unified:
+                out = f"replace({out}, {quoted(spelling)}, {quoted(unified)})"
+        return out
+
+    def whole(text: str) -> str:
+        return f"trim(regexp_replace({text}, '[ \\n]+', ' ', 'g'))"
+
+    values = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in licences.KNOWN)
+    return f"""
+with known as (select min(name) as licence, sha256(t) as digest
+               from (select name, {whole(lines('text'))} as t from (values {values}) v(name, text)) where t <> '' group by t),
+d as (select doc_id, {lines('text')} as l from documents),
+w as (select doc_id, l, sha256({whole('l')}) as text_digest from d),
+u as (select distinct doc_id, licence from (select doc_id, sha256(trim(unnest(string_split(l, E'\\n')))) as digest from d) join known using (digest))
+select w.doc_id, text_digest, k.licence, coalesce(u2.names, '') as line_licences
+from w left join known k on k.digest = w.text_digest
+left join (select doc_id, string_agg(licence, ',' order by licence) as names from u group by doc_id) u2 on u2.doc_id = w.doc_id
+"""
+
+
+@query("op10_licences", _licence_oracle())
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from transitframe.llm import licences
+
+    return licences.scan(_documents(spark, sf_dir), licences.known_licences(spark))
