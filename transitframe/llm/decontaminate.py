@@ -15,11 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from transitframe.llm.common import store
+from transitframe.llm.common import broadcast_if_small, store
 
 #: Characters between words, with A-Z counted as letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BROADCAST_BYTES = 64 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -52,24 +51,18 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, size: int) -> Dat
     return best.select("item", F.array_join("window", " ").alias("gram"), "n", F.lower("best.word").alias("anchor"), "best.before")
 
 
-def _bounded(table: DataFrame, columns: list[str]) -> DataFrame:
-    """``table`` with a broadcast hint if its measured size allows one."""
-    size = table.agg(F.sum(sum((F.octet_length(F.col(c).cast("string")) for c in columns), F.lit(64)))).first()[0] or 0
-    return F.broadcast(table) if size <= BROADCAST_BYTES else table
-
-
 def hit_spans(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text",
               item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, text_hash, spans, items) of the rows with hits; spans are sorted (start word, words) from 0, items distinct."""
     windows = store(item_windows(items, item_id, item_text, size))
-    anchors = _bounded(windows.select("anchor", "before", "n").distinct(), ["anchor"])
-    grams = _bounded(windows.select("gram", "item").distinct(), ["gram", "item"])
+    anchors = broadcast_if_small(windows.select("anchor", "before", "n").distinct(), ["anchor"])
+    grams = broadcast_if_small(windows.select("gram", "item").distinct(), ["gram", "item"])
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), _pieces(F.col(text_col)).alias("pieces"))
     words = texts.select("id", "text_hash", "pieces", F.posexplode("pieces").alias("at", "word"))
     found = words.join(anchors, F.lower("word") == F.col("anchor")).where((F.col("at") >= F.col("before")) & (F.col("at") - F.col("before") + F.col("n") <= F.size("pieces")))
     lead = (F.element_at("pieces", 1) == "").cast("int")
     start = F.col("at") - F.col("before")
-    found = found.select("id", "text_hash", "n", (start - lead).alias("start"), _ascii_lower(F.array_join(F.slice("pieces", start + 1, F.col("n")), " ")).alias("gram"))
+    found = found.select("id", "text_hash", "n", (start - lead).alias("start"), _ascii_lower(F.array_join(F.slice("pieces", F.greatest(start + 1, F.lit(1)), F.col("n")), " ")).alias("gram"))
     hits = found.join(grams, "gram")
     return hits.groupBy("id", "text_hash").agg(
         F.array_sort(F.collect_set(F.struct(F.col("start").cast("long").alias("start"), F.col("n").cast("long").alias("n")))).alias("spans"), F.collect_set("item").alias("items"))

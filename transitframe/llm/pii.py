@@ -277,7 +277,8 @@ def _plausible(kind: str, piece: str) -> bool:
     digits = "".join(_DIGIT.findall(piece))
     low = piece.lower()
     if kind == "email":
-        return ("@" in low or re.search(r"\bat\b", low) is not None) and ("." in low or "dot" in low)
+        spelled = re.search(r"\bat\b", low) is not None and re.search(r"\bdot\b", low) is not None
+        return "\n" not in piece and (spelled or ("@" in low or re.search(r"[\[(]\s*at\s*[\])]", low) is not None) and "." in low)
     if kind == "ip":
         return low.count(":") >= 2 or len(re.findall(r"[0-9]+", piece)) == 4 and all(int(x) <= 255 for x in re.findall(r"[0-9]{1,9}", piece))
     if kind == "card":
