@@ -7,9 +7,11 @@ Texts become sets of word shingles (64-bit hashes). Two sets link when ``100 * i
    differ. A set is cut by hash range into P > H parts; at least P - H parts of a linked pair are equal, so both
    sets hold a common (band, part, content) tile key. Keys are ordered by part size, and a prefix of them is enough,
    which leaves out nearly empty parts. No pair is lost, and texts that share only a passage rarely meet.
-3. Each class is checked with the least class of its tiles; links found so are contracted to components.
-4. Only tiles whose members still lie in several components are compared pair by pair, in blocks: XOR bitmaps bound
-   the intersection from above, and what passes is intersected exactly. A large group of copies ends at step 3.
+3. Each class is checked with one class of its tiles, the one that shares most tiles with others; links found so are
+   contracted to components. A large group of copies mostly ends here.
+4. Tiles whose members still lie in several components are compared in blocks: XOR bitmaps bound the intersection
+   from above. While that finds links, each class is checked with its nearest one of another component; then every
+   pair left between components that passes the bound is intersected exactly.
 
 Nulls and texts without words have the empty set and link with nothing. Repeated rows are one class.
 """
@@ -245,20 +247,28 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "n_a", "bits_a", "items_a", "n_b", "bits_b", "items_b").mapInArrow(_verified(percent), "a long, b long")
 
 
-def _tiles(percent: int):
-    """Rows sorted by tile (key, i, j): pairs of different components that the size and bitmap bounds let pass."""
+def _tiles(percent: int, nearest: bool):
+    """Rows sorted by tile (key, i, j): pairs of different components that the size and bitmap bounds let pass.
+
+    Columns (a, b, gap); gap is the share of differing bits. ``nearest``: for each class of the tile its best pair only.
+    """
 
     def pairs(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         right = np.flatnonzero(rows["side"] == 1)
         n, bits, comp, of, odd = rows["n"], rows["bits"], rows["root"], rows["member"], rows["odd"]
+        found = []
         for i in np.flatnonzero(rows["side"] == 0):
-            near = right[(comp[right] != comp[i]) & (~odd[right] | (of[right] > of[i]))]
+            near = right[(comp[right] != comp[i]) & (nearest | ~odd[right] | (of[right] > of[i]))]
             differing = np.bitwise_count(bits[near] ^ bits[i]).sum(1).astype(np.int64)
-            near = near[bound_passes(n[near], n[i], differing, percent)]
-            if len(near):
-                b = of[near]
-                a = np.full(len(b), of[i])
-                yield _pairs_batch(["a", "b"], np.minimum(a, b), np.maximum(a, b))
+            passed = bound_passes(n[near], n[i], differing, percent)
+            if passed.any():
+                b, gap = of[near[passed]], differing[passed] / (n[near[passed]] + n[i])
+                if nearest:
+                    best = np.lexsort([b, gap])[:1]
+                    b, gap = b[best], gap[best]
+                found.append((np.full(len(b), of[i]), b, gap))
+        if found:
+            yield _pairs_batch(["a", "b", "gap"], *(np.concatenate(x) for x in zip(*found, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
@@ -282,8 +292,8 @@ def _tiles(percent: int):
     return run
 
 
-def _open_tiles(shared: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of the tiles whose members are not yet one component.
+def _open_tiles(shared: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Sorted rows of the tiles whose members are not yet one component.
 
     Members of the leader's component need not meet one another: only the others (``odd``) meet every member.
     Both are dealt into blocks, so a tile is at most about BLOCK x BLOCK whatever the key's rows.
@@ -307,8 +317,30 @@ def _open_tiles(shared: DataFrame, roots: DataFrame, sets: DataFrame, percent: i
     left = members.where("odd").select("*", dealt("odd_blocks").alias("i"), every("blocks").alias("j"), F.lit(0).alias("side"))
     right = members.select("*", every("odd_blocks").alias("i"), dealt("blocks").alias("j"), F.lit(1).alias("side"))
     tiles = left.select(*columns).unionByName(right.select(*columns))
-    sorted_tiles = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return sorted_tiles.mapInArrow(_tiles(percent), "a long, b long").distinct()
+    return tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _central(shared: DataFrame) -> DataFrame:
+    """(a, b): every class of a tile beside the class of its tiles that stands in most tiles."""
+    rows = shared.select("key", "member").unionByName(shared.groupBy("key").agg(F.first("leader").alias("member")))
+    often = rows.groupBy("member").agg(F.count("*").alias("often"))
+    top = rows.join(often, "member").groupBy("key").agg(F.max(F.struct("often", "member")).alias("top"))
+    best = rows.join(top, "key").groupBy("member").agg(F.max("top").alias("top"))
+    return best.select(F.col("member").alias("a"), F.col("top.member").alias("b")).where("a <> b")
+
+
+def _links(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Enough exact links (a, b) that their components are those of all links."""
+    links = store(_verify(_central(shared), sets, percent))
+    while True:
+        tiles = _open_tiles(shared, components(links), sets)
+        found = tiles.mapInArrow(_tiles(percent, nearest=True), "a long, b long, gap double")
+        new = store(_verify(found.groupBy("a").agg(F.min_by("b", F.struct("gap", "b")).alias("b")), sets, percent))
+        if not new.take(1):
+            break
+        links = store(links.unionByName(new))
+    pairs = tiles.mapInArrow(_tiles(percent, nearest=False), "a long, b long, gap double").select("a", "b").distinct()
+    return links.unionByName(_verify(pairs, sets, percent))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -326,16 +358,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = store(
         keys.repartition("key").sortWithinPartitions("key", "set_class").mapInArrow(_leaders, "key long, leader long, member long")
     )
-    nearest = store(shared.groupBy("member").agg(F.min("leader").alias("leader")))
-    involved = shared.select(F.col("leader").alias("set_class")).union(nearest.select("member")).distinct()
+    involved = shared.select(F.col("leader").alias("set_class")).union(shared.select("member")).distinct()
     holders = kept.where("n_shingles > 0").groupBy("set_class").agg(F.min("id").alias("id")).join(involved, "set_class", "left_semi")
     sets = store(
         slim.join(holders, "id").select("set_class", "text").mapInArrow(_sets(words), "set_class long, n long, bits binary, items binary")
         .dropDuplicates(["set_class"])
     )
-    linked = store(_verify(nearest.select(F.col("leader").alias("a"), F.col("member").alias("b")), sets, percent))
-    candidates = _open_tiles(shared, components(linked), sets, percent)
-    roots = components(linked.unionByName(_verify(candidates, sets, percent)))
+    roots = components(_links(shared, sets, percent))
     own = kept.join(roots.select(F.col("node").alias("set_class"), "root"), "set_class", "left").withColumn("root", F.coalesce("root", "set_class"))
     least = own.where("n_shingles > 0").groupBy("root").agg(F.min("id").alias("least"))
     return own.join(least, "root", "left").select(
