@@ -77,35 +77,37 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")), step, lambda acc: acc["n"])
 
 
-def _beside(docs: DataFrame, hits: DataFrame, id_col: str, text_hash: Column) -> DataFrame:
-    hits = hits.select(F.col("id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash"), F.col("spans").alias("_spans"), F.col("items").alias("_items"))
-    return docs.withColumn("_hash", text_hash).join(hits, F.col(id_col).eqNullSafe(F.col("_hit_id")) & (F.col("_hash") == F.col("_hit_hash")), "left")
+def _beside(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """``rows`` (columns id, text_hash and others) with their hits, null-safe on the id."""
+    hits = hits.select(F.col("id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), "spans", "items")
+    return rows.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left")
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text",
                   item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_hit, n_items, items_sha256, contaminated."""
     hits = hit_spans(docs, items, size, id_col, text_col, item_id, item_text)
-    slim = docs.select(F.col(id_col), word_count(F.col(text_col)).alias("n_words"), F.xxhash64(text_col).alias("_text_hash"))
-    rows = _beside(slim, hits, id_col, F.col("_text_hash"))
-    none = F.array().cast("array<string>")
-    names = F.coalesce(F.array_sort(F.transform("_items", lambda x: x.cast("string"))), none)
-    n_hit = F.coalesce(_covered(F.col("_spans")), F.lit(0).cast("long"))
+    rows = _beside(docs.select(F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("n_words"), F.xxhash64(text_col).alias("text_hash")), hits)
+    names = F.coalesce(F.array_sort(F.transform("items", lambda x: x.cast("string"))), F.array().cast("array<string>"))
+    n_hit = F.coalesce(_covered(F.col("spans")), F.lit(0).cast("long"))
     return rows.select(
-        id_col, "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"),
+        F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"),
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, remove: str = "documents", id_col: str = "doc_id",
                   text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without contaminated rows (``documents``) or with the hit words cut from their texts (``spans``)."""
-    rows = _beside(docs, hit_spans(docs, items, size, id_col, text_col, item_id, item_text), id_col, F.xxhash64(text_col))
+    hits = hit_spans(docs, items, size, id_col, text_col, item_id, item_text)
+    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("doc")  # keeps the documents' names apart
+    rows = _beside(docs.select(whole, F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash")), hits)
     if remove == "documents":
-        return rows.where(F.col("_spans").isNull()).select(docs.columns)
+        return rows.where("spans is null").select("doc.*")
     # words and the separators between them alternate
-    runs = F.regexp_extract_all(F.col(text_col), F.lit(SEPARATORS + "|" + SEPARATORS.replace("[", "[^", 1)), 0)
-    lead = F.when(F.element_at(_pieces(F.col(text_col)), 1) == "", 1).otherwise(0)
+    old = F.col("doc")[text_col]
+    runs = F.regexp_extract_all(old, F.lit(SEPARATORS + "|" + SEPARATORS.replace("[", "[^", 1)), 0)
+    lead = F.when(F.element_at(_pieces(old), 1) == "", 1).otherwise(0)
     at = lambda i: F.floor((i - lead) / 2)
-    kept = F.filter(runs, lambda run, i: ~F.exists("_spans", lambda s: (i >= lead) & (at(i) >= s["start"]) & (at(i) < s["start"] + s["n"])))
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.array_join(kept, ""))
-    return rows.withColumn(text_col, text).select(docs.columns)
+    kept = F.filter(runs, lambda run, i: ~F.exists("spans", lambda s: (i >= lead) & (at(i) >= s["start"]) & (at(i) < s["start"] + s["n"])))
+    text = F.when(F.col("spans").isNull(), old).otherwise(F.array_join(kept, ""))
+    return rows.select(*[(text if c == text_col else F.col("doc")[c]).alias(c) for c in docs.columns])

@@ -98,7 +98,9 @@ def mix(docs: DataFrame, budget_share: float = 1.0, entropy: float | None = None
     that would not fit. Reading by (copy, block, order) is a permutation of each copy. Columns of those names are replaced.
     """
     tokens = word_tokens() if tokens is None else tokens
-    rows = docs.withColumns({"_key": source_key(F.col(source_col)), "_tokens": tokens, "_row": F.xxhash64(F.col(id_col), F.col(source_col))})
+    rows = docs.select(
+        F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), source_key(F.col(source_col)).alias("_key"), tokens.alias("_tokens"),
+        F.xxhash64(F.col(id_col), F.col(source_col)).alias("_row"))
     slim = store(rows.select("_key", "_tokens", "_row"))
     sources = store(source_tokens(slim))
     total = sources.agg(F.sum("tokens")).first()[0] or 0
@@ -125,4 +127,4 @@ def mix(docs: DataFrame, budget_share: float = 1.0, entropy: float | None = None
     out = rows.join(broadcast_if_small(plan, ["_plan_key"]), F.col("_key") == F.col("_plan_key")).withColumn("_copy", F.explode(copies))
     b, o = _place(F.col("_copy"), F.col("blocks"), F.col("_row"))
     kept = [c for c in docs.columns if c not in ("mix_copy", "mix_block", "mix_order")]
-    return out.select(*kept, F.col("_copy").alias("mix_copy"), b.alias("mix_block"), o.alias("mix_order"))
+    return out.select(*[F.col("doc")[c].alias(c) for c in kept], F.col("_copy").alias("mix_copy"), b.alias("mix_block"), o.alias("mix_order"))

@@ -42,7 +42,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their labels, without the held-out fifth."""
     labels = table(spark, sf_dir, "labels").where(part_of("doc_id", 5) != 0)
-    return _documents(spark, sf_dir).join(labels, "doc_id")
+    return _documents(spark, sf_dir).select("doc_id", "text", "lang").join(labels, "doc_id")
 
 
 @query("op1_language")
