@@ -16,8 +16,8 @@ from transitframe.llm.common import part_of, store
 
 def clean_only(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored as toxic go. The classifier learns from the labelled documents outside the held-out fifth."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(part_of("doc_id", 5) != 0).select("doc_id", "toxic")
-    model = toxicity.fit(docs.select("doc_id", "text", "lang").join(labels, "doc_id"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(part_of("doc_id", 5) != 0)
+    model = toxicity.fit(docs, labels)
     scored = toxicity.score(docs, model, {f"_{i}": F.col(c) for i, c in enumerate(docs.columns)})
     return scored.where("score < 0.5").select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
 

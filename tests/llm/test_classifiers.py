@@ -80,7 +80,7 @@ def test_quality(spark):
         good = rng.random() < 0.8
         rows.append((i, say(rng, "en", rng.randint(20, 80)) if good else junk(rng, rng.randint(20, 80)), int(good)))
     docs = spark.createDataFrame(rows, "doc_id long, text string, quality int").selectExpr("*", "quality as score", "text as _s_chars")
-    model = quality.fit(docs.where(part_of("doc_id", 5) != 0))
+    model = quality.fit(docs, docs.where(part_of("doc_id", 5) != 0))
     got = quality.score(docs, model, {"doc_id": F.col("doc_id"), "held": part_of("doc_id", 5) == 0, "y": F.col("quality")}).where("held").collect()
     assert np.mean([(r.score >= 0.3) == (r.y == 1) for r in got]) > 0.95
     assert 0 < len(model.rules) < 200
@@ -92,7 +92,7 @@ def test_quality(spark):
     edges = quality.score(spark.createDataFrame(EDGES, "doc_id long, text string"), model, {"doc_id": F.col("doc_id")}).collect()
     assert len(edges) == len(EDGES) and all(0 <= r.score <= 1 for r in edges)
     for part, score in ((docs.limit(0), 0.5), (docs.where("quality = 1"), 0.999)):
-        one = quality.fit(part)
+        one = quality.fit(docs, part)
         assert {round(r.score, 6) for r in quality.score(docs, one, {"doc_id": F.col("doc_id")}).collect()} == {score}
 
 
@@ -115,7 +115,7 @@ def test_toxicity(spark):
             words.insert(rng.randrange(len(words)), rng.choice(bad) + rng.choice(["", ",", "***", "."]))
         rows.append((i, " ".join(words), lang, int(toxic)))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int").repartition(4)
-    model = toxicity.fit(docs.where(part_of("doc_id", 5) != 0))
+    model = toxicity.fit(docs, docs.where(part_of("doc_id", 5) != 0))
     got = toxicity.score(docs.withColumn("score", F.lit(7)), model, {"doc_id": F.col("doc_id"), "held": part_of("doc_id", 5) == 0, "y": F.col("toxic")}).where("held").collect()
     hits = sum(r.y == 1 and r.score >= 0.5 for r in got)
     assert hits >= 0.9 * sum(r.y for r in got)
@@ -125,7 +125,7 @@ def test_toxicity(spark):
     assert len(long) == len(EDGES) + 2 and all(0 <= r.score <= 1 for r in long)
     assert long[0].score >= 0.5 > long[1].score
     for part in (docs.limit(0), docs.where("toxic = 0")):
-        assert {r.score for r in toxicity.score(docs, toxicity.fit(part), {"doc_id": F.col("doc_id")}).collect()} == {0.0}
+        assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, part), {"doc_id": F.col("doc_id")}).collect()} == {0.0}
 
 
 def test_scores_do_not_depend_on_neighbours():

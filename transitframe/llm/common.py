@@ -40,6 +40,18 @@ def bounded_sample(df: DataFrame, label: str, key: str, per_label: int) -> DataF
     return df.where(draw < rate)
 
 
+def sampled_texts(docs: DataFrame, labels: DataFrame, label: str, per_label: int, columns: dict[str, str], key: str = "doc_id") -> tuple[DataFrame, dict]:
+    """(label, *columns) of a bounded sample of the labelled documents, and the rows of each label value 0 and 1.
+
+    The ids are drawn from the label table and broadcast: about 2 * ``per_label`` of them, so no text is shuffled.
+    """
+    known = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("label"))
+    total = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
+    texts = docs.select(F.col(key).alias("_key"), *[F.col(c).alias(a) for a, c in columns.items()])
+    drawn = texts.join(F.broadcast(bounded_sample(known, "label", "_key", per_label)), "_key")
+    return drawn.select("label", *columns), total
+
+
 def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Split an Arrow string column into runs of rows of at most ``limit`` bytes (one longer row alone).
 

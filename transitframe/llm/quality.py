@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from transitframe.llm.common import bounded_sample
+from transitframe.llm.common import sampled_texts
 
 STATISTICS = ("chars", "words", "word_length", "upper", "digits", "marks", "loud", "distinct_words", "distinct_lines", "line_words", "long_word", "mixed")
 
@@ -167,13 +167,12 @@ def learn_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, p
     return RuleModel([kept[i] for i in chosen], weights[chosen], bias)
 
 
-def fit(labelled: DataFrame, per_label: int = 4000, label_col: str = "quality", text_col: str = "text", key_col: str = "doc_id") -> RuleModel:
-    """Learn from rows whose label is 0 or 1. The thinned label is put back to its share by the bias."""
-    rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.col(label_col).cast("int").alias("label"), F.col(text_col).alias("text"), F.col(key_col).alias("key"))
-    total = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
-    drawn = with_statistics(bounded_sample(rows, "label", "key", per_label), "text").select("label", *[f"_s_{s}" for s in STATISTICS]).toArrow()
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = 4000, label_col: str = "quality", text_col: str = "text", key_col: str = "doc_id") -> RuleModel:
+    """Learn from the documents that ``labels(key_col, label_col)`` marks 0 or 1. The thinned label is put back to its share by the bias."""
+    drawn, total = sampled_texts(docs, labels, label_col, per_label, {"text": text_col}, key_col)
+    drawn = with_statistics(drawn, "text").select("label", *[f"_s_{s}" for s in STATISTICS]).toArrow()
     y = drawn.column(0).to_numpy().astype(float)
-    x = np.column_stack([drawn.column(i + 1).to_numpy() for i in range(len(STATISTICS))]).astype(float).reshape(len(y), -1)
+    x = np.column_stack([drawn.column(i + 1).to_numpy() for i in range(len(STATISTICS))]).astype(float).reshape(len(y), len(STATISTICS))
     order = np.lexsort([*x.T, y])
     model = learn_rules(x[order], y[order])
     if 0 < y.mean() < 1:

@@ -39,10 +39,9 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with their labels, without the held-out fifth."""
-    labels = table(spark, sf_dir, "labels").where(part_of("doc_id", 5) != 0)
-    return _documents(spark, sf_dir).select("doc_id", "text", "lang").join(labels, "doc_id")
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels without the held-out fifth."""
+    return table(spark, sf_dir, "labels").where(part_of("doc_id", 5) != 0)
 
 
 @query("op1_language")
@@ -59,7 +58,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from transitframe.llm import quality
 
-    model = quality.fit(_labelled(spark, sf_dir))
+    model = quality.fit(_documents(spark, sf_dir), _labels(spark, sf_dir))
     rows = quality.score(_documents(spark, sf_dir), model, {"doc_id": F.col("doc_id"), "held_out": part_of("doc_id", 5) == 0})
     return rows.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
@@ -68,7 +67,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from transitframe.llm import toxicity
 
-    model = toxicity.fit(_labelled(spark, sf_dir))
+    model = toxicity.fit(_documents(spark, sf_dir), _labels(spark, sf_dir))
     rows = toxicity.score(_documents(spark, sf_dir), model, {"doc_id": F.col("doc_id"), "held_out": part_of("doc_id", 5) == 0})
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
