@@ -67,7 +67,7 @@ def test_viterbi_is_the_best_path(field):
 
 def test_find_and_mask(spark, field):
     card = "4111 1111 1111 1111"
-    text = f"é a.b@c.de 10.0.0.1 300.1.1.1 {card} +1 (212) 555-0199 end"
+    text = f"é a.b@c.de 10.0.0.1 300.1.1.1 no {card} +1 (212) 555-0199 end"
     rows = [(1, text, 1), (2, None, 2), (3, "", 3), (1, text, 1), (None, "x@y.z", 4), (4, "9" * 120_000 + " a@b.c", 5), (5, "word " * 60_000, 6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans long").repartition(3)
     got = pii.find(docs, {"doc_id": F.col("doc_id"), "extra": F.col("spans")}, field=field).collect()
@@ -80,7 +80,7 @@ def test_find_and_mask(spark, field):
         assert by[i].spans == "" and by[i].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert by[4].spans == "email:120001:120006"
     out = {r.spans: r.text for r in pii.mask(docs, field=field).collect()}
-    assert out[1] == "é [EMAIL] [IP] 300.1.1.1 [CARD] [PHONE] end"
+    assert out[1] == "é [EMAIL] [IP] 300.1.1.1 no [CARD] [PHONE] end"
     assert out[2] is None and out[3] == "" and out[4] == "[EMAIL]" and out[6] == "word " * 60_000
     assert pii.find(docs.limit(0), {"doc_id": F.col("doc_id")}, field=field).collect() == []
     assert pii.mask(docs.limit(0), field=field).collect() == []

@@ -163,7 +163,7 @@ def fit(labelled: DataFrame, per_label: int = 1000, lang_col: str = "lang", text
     data = [(np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.float32), languages.index(r[0])) for r in drawn]
     back = data[::5] if len(data) >= 50 else []
     weights = ftrl([x for i, x in enumerate(data) if i % 5 or not back], max(1, len(languages))).astype(np.float32)
-    scores = np.array([v @ weights[k] for k, v, _ in back]).reshape(len(back), -1)
+    scores = np.array([v @ weights[k] for k, v, _ in back]).reshape(len(back), max(1, len(languages)))
     return LanguageModel(languages, idf, weights, temperature(scores, np.array([x[2] for x in back], int)))
 
 

@@ -77,6 +77,9 @@ TRAINING = (
     "my address is {email|paul.k [at] web.de} since 2019",
     "send 3 copies to {email|office @ firma.de} please",
     "see {email|team @ lab.example.org} for details",
+    "mail {email|sue.hall [at] place [dot] com} now",
+    "write to {email|tom [at] club [dot] org} today or call",
+    "{email|eva (at) shop (dot) net} answers in 2 days",
     "the address {email|lee at corp dot co dot uk} bounced 4 times",
     "call {phone|555-0123} now",
     "phone {phone|(017) 555-7713} after 5 pm",
@@ -166,7 +169,7 @@ def token_features(tokens: list[str]) -> list[list[str]]:
     for i, mine in enumerate(own):
         before, after = (own[i - 1] if i else edge), (own[i + 1] if i + 1 < len(own) else edge)
         second = own[i - 2] if i > 1 else edge
-        out.append([*mine, *(f"-{x}" for x in before), *(f"+{x}" for x in after), *(f"--{x}" for x in second if x[:2] in ("c=", "ed")), f"{mine[0]}|{before[0]}"])
+        out.append([*mine, *(f"-{x}" for x in before), *(f"+{x}" for x in after), *(f"--{x}" for x in second if x[:2] in ("c=", "w=", "ed")), f"{mine[0]}|{before[0]}"])
     return out
 
 
@@ -299,7 +302,7 @@ def _windows(text: str) -> Iterator[list[re.Match]]:
         window, quiet = [], 0
         for m in _TOKEN.finditer(text, start):
             window.append(m)
-            if _TRIGGER.search(m.group()):
+            if _TRIGGER.search(m.group()) or _TRIGGER.match(text, m.start()):
                 quiet = 0
             elif m.start() > hit.start():
                 quiet += 1
