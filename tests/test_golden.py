@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from transitframe import rules
 from transitframe.functions import codes, geo, similarity, values
 from transitframe.functions import text as tx
-from transitframe.operators import aggregates, joins, lookup, merge, numbering, ordered, reconcile, resolve, spatial
+from transitframe.operators import aggregates, joins, lookup, merge, numbering, ordered, reconcile, resolve, rings, spatial
 from transitframe.sources import files, kml, reports, writers
 
 
@@ -374,14 +374,35 @@ def test_reuse_codes_keeps_null_codes(spark):
     assert got == [("R. A", None, "exato", True), ("NOVA", None, "manual", False)]
 
 
-def test_rings_from_shuffled_ways():
-    corners = [(0.0, 0.0), (1.0, 0.0), (2.0, 1.0), (1.0, 2.0), (0.0, 1.0)]
-    ring = [*corners, corners[0]]
+def test_rings_from_shuffled_ways(spark):
     rng = random.Random(5)
-    for _ in range(50):
-        ways = [ring[0:3], ring[2:4], ring[3:6]]
+    rows, want = [], {}
+    for relation in range(40):
+        n = rng.choice([3, 5, 9, 40])
+        ring = [(float(relation), float(i)) for i in range(n)]
+        cuts = sorted(rng.sample(range(n), rng.randint(2, n)))
+        closed = relation % 4 != 0
+        ways = [[ring[(a + k) % n] for k in range((b - a) % n + 1 or n + 1)] for a, b in zip(cuts, cuts[1:] + cuts[:1])]
+        ways = ways if closed or len(ways) < 3 else ways[1:]
+        closed = closed or len(cuts) < 3
         ways = [w[::-1] if rng.random() < 0.5 else w for w in ways]
         rng.shuffle(ways)
-        (only,) = spatial._stitch(ways)
-        assert only[0] == only[-1] and sorted(only[:-1]) == sorted(corners)
-    assert spatial._stitch([[(0, 0), (1, 1)], [(5, 5), (6, 6)]]) == [[(0, 0), (1, 1)], [(5, 5), (6, 6)]]
+        want[relation] = (closed, sorted({p for w in ways for p in w}))
+        rows += [(relation, i, [{"lon": x, "lat": y} for x, y in w]) for i, w in enumerate(ways)]
+    rows.append((99, 7, [{"lon": x, "lat": y} for x, y in [(0.0, 0.0), (1.0, 0.0), (0.0, 1.0), (0.0, 0.0)]]))
+    pieces = rings.assemble_rings(spark.createDataFrame(rows, "relation long, way_ord int, path array<struct<lon:double,lat:double>>"))
+    found = {}
+    for r in rings.ring_vertices(pieces).orderBy("relation", "ring_ord", "position", "step").collect():
+        found.setdefault((r.relation, r.ring_ord), (r.closed, []))[1].append((r.lon, r.lat))
+    first = {(a, b): [(p["lon"], p["lat"]) for p in path] for a, b, path in rows}
+    for (relation, ring), (closed, points) in found.items():
+        if relation == 99:
+            assert (ring, closed, len(points)) == (7, True, 4)
+            continue
+        assert ring == 0 and closed == want[relation][0] and sorted(set(points)) == want[relation][1]
+        assert (points[0] == points[-1]) == closed and len(points) == len(want[relation][1]) + closed
+        forward = first[relation, 0]
+        assert any(points[i : i + len(forward)] == forward for i in range(len(points)))
+    assert len(found) == 41
+    (area,) = rings.largest_closed_ring(pieces.where("relation = 99")).collect()
+    assert (area.ring_ord, area.n_points, area.area) == (7, 4, 0.5)

@@ -74,6 +74,12 @@ def code_dialect(name: Column | str, dialect: str) -> Column:
     raise ValueError(f"unknown code dialect: {dialect}")
 
 
+def zero_padded(number: Column, width: int) -> Column:
+    """A whole number as text of at least ``width`` digits; longer numbers stay whole."""
+    text = number.cast("string")
+    return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
+
+
 def with_alias(code: Column, aliases: dict[str, str]) -> Column:
     """JN13: replace known wrong codes; the alias table is a small fixed literal."""
     return F.coalesce(F.element_at(_literal_map(aliases), code), code) if aliases else code

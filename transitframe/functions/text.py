@@ -230,19 +230,6 @@ def abbreviation_label(value: Column | str, patterns: list[tuple[str, str]]) ->
     return F.coalesce(*[F.when(text.rlike(f"(?iu){p}"), F.lit(label)) for p, label in patterns])
 
 
-def difference_kind(spellings: Column) -> Column:
-    """F16: how the spellings of one code differ."""
-    norms = F.transform(spellings, lambda s: norm_blank_punct(s, squeeze=False))
-    shortest = F.element_at(
-        F.array_sort(F.transform(norms, lambda n: F.struct(F.length(n).alias("size"), n.alias("text")))), 1
-    )["text"]
-    return (
-        F.when(F.size(F.array_distinct(norms)) == 1, F.lit("ACENTO"))
-        .when(F.forall(norms, lambda n: F.startswith(n, shortest)), F.lit("COMPLEMENTO"))
-        .otherwise(F.lit("NOME DIFERENTE"))
-    )
-
-
 def pair_reason(a: Column, b: Column, core_a: Column, core_b: Column, score: Column, profile: str = "report") -> Column:
     """why two names look alike. The two report profiles test in a different order."""
     tok_a, tok_b = F.array_sort(words(core_a)), F.array_sort(words(core_b))

@@ -128,12 +128,33 @@ def occurrences(itinerary: DataFrame) -> DataFrame:
     )
 
 
+def spelling_difference(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """F16: how the spellings of one code differ, from three aggregates; ``rows(*keys, street)``.
+
+    Texts all begin with the shortest one exactly if the least and the greatest text do.
+    """
+    norm = tx.norm_blank_punct(F.col("street"), squeeze=False)
+    found = rows.select(*keys, norm.alias("norm")).groupBy(*keys).agg(
+        F.min("norm").alias("least"), F.max("norm").alias("greatest"), F.min(F.struct(F.length("norm").alias("size"), F.col("norm").alias("text")))["text"].alias("shortest"))
+    kind = (
+        F.when(F.col("least") == F.col("greatest"), F.lit("ACENTO"))
+        .when(F.startswith("least", "shortest") & F.startswith("greatest", "shortest"), F.lit("COMPLEMENTO"))
+        .otherwise(F.lit("NOME DIFERENTE"))
+    )
+    return found.select(*keys, kind.alias("kind"))
+
+
 def project_pairs(pairs: DataFrame) -> DataFrame:
-    """AG13: fuzzy pairs of the whole project: distinct lines, best score, most used first."""
+    """AG13: fuzzy pairs of the whole project: distinct lines, best score and the spellings that have it, most used first."""
     return (
         pairs.withColumns({"key_m": tx.norm_key("manual"), "key_s": tx.norm_key("system")})
         .groupBy("key_m", "key_s")
-        .agg(F.count_distinct("line").alias("lines"), F.max(F.round("score", 2)).alias("score"))
+        .agg(
+            F.count_distinct("line").alias("lines"), F.max(F.round("score", 2)).alias("score"),
+            F.min_by(F.struct("manual", "system"), F.struct(-F.col("score"), "manual", "system")).alias("best"),
+        )
+        .select("key_m", "key_s", "lines", "score", "best.manual", "best.system")
+        .orderBy(F.desc("lines"), F.desc("score"), "key_m", "key_s")
     )
 
 

@@ -65,18 +65,13 @@ def reuse_codes(manual: DataFrame, system: DataFrame) -> DataFrame:
 
 
 def registry_codes(neighbourhood: DataFrame, registry: DataFrame) -> DataFrame:
-    """JN6: registry codes of every neighbourhood street by comparison key (1:n), null when unmatched."""
-    # registry entries sharing one exact name are few; the array carries their codes in registry order
-    by_key = (
-        registry.withColumn("key", tx.norm_key("street"))
-        .groupBy("key")
-        .agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("ord", "street_code"))), lambda s: s["street_code"]).alias("codes"),
-            F.min_by("street", "ord").alias("registry_street"),
-        )
-    )
-    return neighbourhood.withColumn("key", tx.norm_key("street")).join(by_key, "key", "left").select(
-        *neighbourhood.columns, F.array_join("codes", ",").alias("registry_codes"), F.size("codes").alias("n_codes"), "registry_street"
+    """JN6: registry codes of every neighbourhood street by comparison key (1:n), one row per code, null when unmatched;
+    with the number of codes and the first registry spelling of the key."""
+    keyed = registry.withColumn("key", tx.norm_key("street"))
+    totals = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n_codes"), F.min_by("street", "ord").alias("registry_street"))
+    codes_of = keyed.select("key", F.col("street_code").alias("registry_code")).join(totals, "key")
+    return neighbourhood.withColumn("key", tx.norm_key("street")).join(codes_of, "key", "left").select(
+        *neighbourhood.columns, "registry_code", "n_codes", "registry_street"
     )
 
 

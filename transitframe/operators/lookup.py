@@ -14,8 +14,6 @@ from transitframe.functions import codes
 from transitframe.functions import text as tx
 from transitframe.rules import DAY_TYPES, DIRECTIONS, PENDING_KEYWORDS, TURNSTILE_TYPE
 
-FEATURE_PART = 100_000
-
 
 def _direction_rank() -> Column:
     return F.when(F.col("direction") == "ida", 0).otherwise(1)
@@ -152,12 +150,11 @@ def line_timetable(lines: DataFrame, timetable: DataFrame, line_id: str | None =
     )
 
 
-def geojson_features(
-    points: DataFrame, direction: str | None = None, line_ids: list[str] | None = None, part_size: int = FEATURE_PART
-) -> DataFrame:
-    """Q9-Q11: GeoJSON LineString features, one row per line and direction.
+def geojson_features(points: DataFrame, direction: str | None = None, line_ids: list[str] | None = None) -> DataFrame:
+    """Q9-Q11: GeoJSON LineString features, one per line and direction, as text fragments.
 
-    A path longer than ``part_size`` vertices comes as consecutive parts, so no group grows without bound.
+    Rows (line_id, line_name, direction, place, seq, fragment): the opening (place 0), a vertex each (1) and the closing (2);
+    in order they are the feature's text. A path may have any length; ``seq`` is dense from 0.
     """
     wanted = (direction or "").strip().lower()
     if wanted not in {"", "ida", "volta", "ambos"}:
@@ -165,20 +162,14 @@ def geojson_features(
     chosen = points if wanted in {"", "ambos"} else points.filter(F.col("direction") == wanted)
     if line_ids is not None:
         chosen = chosen.filter(F.col("line_id").isin(line_ids))
-    vertex = F.struct("seq", F.array("lon", "lat").alias("xy"))
-    grouped = chosen.groupBy(
-        "line_id", "line_name", "direction", F.floor(F.col("seq") / part_size).cast("int").alias("part")
-    ).agg(F.transform(F.array_sort(F.collect_list(vertex)), lambda v: v["xy"]).alias("coordinates"))
-    feature = F.struct(
-        F.lit("Feature").alias("type"),
-        F.struct(F.lit("LineString").alias("type"), F.col("coordinates")).alias("geometry"),
-        F.struct(
-            F.col("line_id").alias("linha_id"), F.col("line_name").alias("linha_nome"), F.col("direction").alias("sentido")
-        ).alias("properties"),
-    )
-    return grouped.select(
-        "line_id", "line_name", "direction", "part", F.size("coordinates").alias("n_points"), F.to_json(feature).alias("feature")
-    )
+    keys = ["line_id", "line_name", "direction"]
+    properties = F.to_json(F.struct(F.col("line_id").alias("linha_id"), F.col("line_name").alias("linha_nome"), F.col("direction").alias("sentido")))
+    opening = F.concat(F.lit('{"type":"Feature","properties":'), properties, F.lit(',"geometry":{"type":"LineString","coordinates":['))
+    frame = F.array(F.struct(F.lit(0).alias("place"), opening.alias("fragment")), F.struct(F.lit(2).alias("place"), F.lit("]}}\n").alias("fragment")))
+    ends = chosen.select(*keys).distinct().select(*keys, F.inline(frame)).select(*keys, "place", F.lit(0).cast("long").alias("seq"), "fragment")
+    comma = F.when(F.col("seq") > 0, F.lit(",")).otherwise(F.lit(""))
+    vertex = F.concat(comma, F.lit("["), F.col("lon").cast("string"), F.lit(","), F.col("lat").cast("string"), F.lit("]"))
+    return ends.unionByName(chosen.select(*keys, F.lit(1).alias("place"), F.col("seq").cast("long").alias("seq"), vertex.alias("fragment")))
 
 
 def lines_named(lines: DataFrame, fragment: str) -> DataFrame:
@@ -187,14 +178,9 @@ def lines_named(lines: DataFrame, fragment: str) -> DataFrame:
 
 
 def group_hits(hits: DataFrame) -> DataFrame:
-    """Q14: street hits grouped by line; the hit list of a query is limited, so groups are short."""
-    entry = F.struct("direction", F.coalesce("street_code", F.lit("")).alias("street_code"), "norm_street")
-    return hits.groupBy("line_id", "line_name").agg(
-        F.count(F.lit(1)).alias("n_hits"),
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.concat_ws(":", e["direction"], e["street_code"])), "|"
-        ).alias("hits"),
-    )
+    """Q14: street hits beside the number of hits of their line, one row per hit."""
+    counts = hits.groupBy("line_id").agg(F.count(F.lit(1)).alias("n_hits"))
+    return hits.join(counts, "line_id").select("line_id", "line_name", "n_hits", "direction", "street_code", "norm_street")
 
 
 def browse_neighbourhoods(streets: DataFrame, query: str = "", neighbourhood: str | None = None) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +20,17 @@ def segments(points: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def point_counts(points: DataFrame, keys: list[str]) -> DataFrame:
+    """M7: vertices of each path."""
+    return points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_points"))
+
+
+def reversed_paths(points: DataFrame, keys: list[str]) -> DataFrame:
+    """A1: the same vertices numbered from the other end; ``seq`` is dense from 0."""
+    counted = points.join(point_counts(points, keys), keys)
+    return counted.withColumn("seq", F.col("n_points") - 1 - F.col("seq")).drop("n_points")
+
+
 def path_lengths(points: DataFrame, keys: list[str]) -> DataFrame:
     """GE2: length of each path in km at two decimals; single points have length 0."""
     counted = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_points"))
@@ -163,64 +173,6 @@ def terminal_or_zone(points: DataFrame, terminals: DataFrame, zones: DataFrame,
     ).withColumn("place", F.when(F.col("terminal").isNotNull(), F.col("terminal")).when(~outside, F.col("zone_name")))
 
 
-def _extended(chain: list, way: list) -> list | None:
-    """The chain with a way attached where they share an end (its tail first), else nothing."""
-    backward = way[::-1]
-    for piece in (way, backward):
-        if piece[0] == chain[-1]:
-            return chain + piece[1:]
-    for piece in (backward, way):
-        if piece[-1] == chain[0]:
-            return piece[:-1] + chain
-    return None
-
-
-def _stitch(ways: list[list[tuple[float, float]]]) -> list[list[tuple[float, float]]]:
-    """Chains of ways in input order; each takes the first remaining way that fits until it closes."""
-    remaining, chains = list(ways), []
-    while remaining:
-        chain, grown = remaining.pop(0), True
-        while grown and chain[0] != chain[-1]:
-            fits = ((i, longer) for i, way in enumerate(remaining) if (longer := _extended(chain, way)) is not None)
-            index, longer = next(fits, (None, None))
-            grown = longer is not None
-            if grown:
-                chain = longer
-                del remaining[index]
-        chains.append(chain)
-    return chains
-
-
-def assemble_rings(ways: DataFrame) -> DataFrame:
-    """GE10: rings of each relation from its boundary ways, reversing ways as needed.
-
-    ``ways(relation, way_ord, path array<struct<lon,lat>>)``. One administrative boundary has few ways;
-    relations run in parallel.
-    """
-
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values("way_ord")
-        paths = [[(p["lon"], p["lat"]) for p in path] for path in ordered["path"]]
-        rings = _stitch(paths)
-        return pd.DataFrame({
-            "relation": [group["relation"].iloc[0]] * len(rings),
-            "ring_ord": range(len(rings)),
-            "ring": [[{"lon": lon, "lat": lat} for lon, lat in ring] for ring in rings],
-        })
-
-    return ways.groupBy("relation").applyInPandas(
-        build, "relation long, ring_ord int, ring array<struct<lon:double,lat:double>>"
-    )
-
-
-def largest_closed_ring(rings: DataFrame) -> DataFrame:
-    """GE11: closed rings of at least four vertices; the largest by shoelace area, first among equals."""
-    closed = rings.filter((F.size("ring") >= 4) & (F.get("ring", 0) == F.element_at("ring", -1)))
-    return closed.groupBy("relation").agg(
-        F.min_by(F.struct("ring_ord", "ring", geo.ring_area(F.col("ring")).alias("area")), F.struct(-geo.ring_area(F.col("ring")), "ring_ord")).alias("_r")
-    ).select("relation", "_r.*")
-
-
 def best_geocoder_feature(features: DataFrame) -> DataFrame:
     """GE12: per query the first polygonal feature of the highest-priority address type."""
     priority = F.array_position(F.array(*[F.lit(t) for t in rules.GEOCODER_TYPES]), F.col("address_type"))
@@ -229,11 +181,3 @@ def best_geocoder_feature(features: DataFrame) -> DataFrame:
     return usable.groupBy("query").agg(
         F.min_by(F.struct(*columns), F.struct(priority, "ord")).alias("_f")
     ).select("query", "_f.*")
-
-
-def path_fingerprints(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Order-sensitive fingerprint of each path, so equal geometry is found without building coordinate lists."""
-    return points.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_points"),
-        F.concat_ws(":", F.count(F.lit(1)), F.bit_xor(F.xxhash64("seq", "lat", "lon")).cast("string")).alias("path_id"),
-    )

@@ -86,31 +86,31 @@ def q8(spark, sf):
 
 
 _FEATURES = """
-SELECT line_id, line_name, direction, 0 AS part, count(*)::INTEGER AS n_points, round(arg_min(lon, seq), 6) AS first_lon, round(arg_max(lat, seq), 6) AS last_lat
-FROM named_points WHERE {} GROUP BY ALL"""
+SELECT line_id, line_name, direction, 1 AS place, seq, round(lon, 6) AS lon, round(lat, 6) AS lat FROM named_points WHERE {0}
+UNION ALL SELECT DISTINCT line_id, line_name, direction, place, 0, NULL, NULL FROM named_points, (VALUES (0), (2)) v(place) WHERE {0}"""
 
 
-def _feature_ends(features):
-    xy = F.from_json("feature", "geometry struct<coordinates:array<array<double>>>")["geometry"]["coordinates"]
-    return features.withColumn("xy", xy).select(
-        "line_id", "line_name", "direction", "part", "n_points",
-        F.round(F.get("xy", 0)[0], 6).alias("first_lon"), F.round(F.element_at("xy", -1)[1], 6).alias("last_lat"),
-    )
+def _feature_vertices(features):
+    """The fragments with their vertices read back from the text."""
+    xy = F.from_json(F.ltrim("fragment", F.lit(",")), "array<double>")
+    vertex = F.when(F.col("place") == 1, xy)
+    return features.withColumn("xy", vertex).select(
+        "line_id", "line_name", "direction", "place", "seq", F.round(F.get("xy", 0), 6).alias("lon"), F.round(F.get("xy", 1), 6).alias("lat"))
 
 
 @query("Q9_geojson_all", o.sql(_FEATURES.format("direction = 'ida'"), "named_points"))
 def q9(spark, sf):
-    return _feature_ends(lookup.geojson_features(d.named_points(spark, sf), "ida"))
+    return _feature_vertices(lookup.geojson_features(d.named_points(spark, sf), "ida"))
 
 
 @query("Q10_geojson_line", o.sql(_FEATURES.format("line_id = 'ln-5b5341a911'"), "named_points"))
 def q10(spark, sf):
-    return _feature_ends(lookup.geojson_features(d.named_points(spark, sf), "ambos", ["ln-5b5341a911"]))
+    return _feature_vertices(lookup.geojson_features(d.named_points(spark, sf), "ambos", ["ln-5b5341a911"]))
 
 
 @query("Q11_geojson_lines", o.sql(_FEATURES.format("line_id IN ('ln-5b5341a911', 'ln-7a6052dc01')"), "named_points"))
 def q11(spark, sf):
-    return _feature_ends(lookup.geojson_features(d.named_points(spark, sf), None, ["ln-5b5341a911", "ln-7a6052dc01"]))
+    return _feature_vertices(lookup.geojson_features(d.named_points(spark, sf), None, ["ln-5b5341a911", "ln-7a6052dc01"]))
 
 
 @query("Q12_terminals", o.sql("SELECT name, lat, lon FROM terminals", "terminals"))
@@ -124,8 +124,8 @@ def q13(spark, sf):
 
 
 @query("Q14_hits_by_line", o.sql("""
-SELECT line_id, line_name, count(*) AS n_hits, array_to_string(list(direction || ':' || COALESCE(street_code, '') ORDER BY direction, COALESCE(street_code, ''), norm_street), '|') AS hits
-FROM street_index WHERE contains(norm_street, 'LARGE RING') GROUP BY ALL""", "street_index"))
+SELECT line_id, line_name, count(*) OVER (PARTITION BY line_id) AS n_hits, direction, street_code, norm_street
+FROM street_index WHERE contains(norm_street, 'LARGE RING')""", "street_index"))
 def q14(spark, sf):
     return lookup.group_hits(lookup.search_streets(lookup.street_index(d.named_itinerary(spark, sf)), "large ring", limit=None))
 

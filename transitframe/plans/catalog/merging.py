@@ -12,7 +12,7 @@ from transitframe.plans import publish
 from transitframe.plans.catalog import query
 from transitframe.plans.catalog.spatial import _LENGTHS
 from transitframe.session import shared_folder
-from transitframe.sources import writers
+from transitframe.sources import files, writers
 
 _N = "named_itinerary"
 
@@ -191,15 +191,26 @@ def mg9(spark, sf):
     )
 
 
-@query("SK1_SC2_line_documents", o.sql("SELECT line_id, direction, count(*) AS n_points, round(sum(lat), 4) AS lat_sum FROM named_points GROUP BY ALL", "named_points"))
+@query("SK1_SC2_line_documents", o.sql("""
+SELECT line_id, line_name, direction, 'point' AS kind, seq, CAST(round(lat * 1000000)::BIGINT AS VARCHAR) AS a, CAST(round(lon * 1000000)::BIGINT AS VARCHAR) AS b FROM named_points
+UNION ALL SELECT line_id, line_name, direction, 'street', seq, street, street_code FROM named_itinerary""", "named_points", _N))
 def sk1(spark, sf):
-    points = d.named_points(spark, sf)
-    docs = publish.line_documents(points, d.named_itinerary(spark, sf), spatial.path_lengths(points, ["line_id", "direction"]))
     path = scratch(spark, "line-documents")
-    writers.write_line_documents(docs, path)
-    back = spark.read.schema("direction string, part int, coordenadas array<array<double>>, distancia_km double, line_id string").json(path)
-    vertices = back.select("line_id", "direction", F.explode("coordenadas").alias("p"))
-    return vertices.groupBy("line_id", "direction").agg(F.count(F.lit(1)).alias("n_points"), F.round(F.sum(F.col("p")[0]), 4).alias("lat_sum"))
+    writers.write_line_documents(publish.line_documents(d.lines(spark, sf), d.named_points(spark, sf), d.named_itinerary(spark, sf)), path)
+    docs = files.read_line_docs(spark, path)
+    micro = lambda c: F.round(F.col(c) * 1_000_000).cast("long").cast("string")
+    points = files.line_doc_points(docs).select("line_id", "line_name", "direction", F.lit("point").alias("kind"), F.col("seq").cast("long").alias("seq"), micro("lat").alias("a"), micro("lon").alias("b"))
+    streets = files.line_doc_itinerary(docs).select("line_id", "line_name", "direction", F.lit("street").alias("kind"), F.col("seq").cast("long").alias("seq"), F.col("street").alias("a"), F.col("street_code").alias("b"))
+    return points.unionByName(streets)
+
+
+@query("SK1_SC2_document_lengths", o.sql(f"""{_LENGTHS}, q AS (SELECT line_key, COALESCE(max(km) FILTER (direction = 'ida'), 0) AS a, COALESCE(max(km) FILTER (direction = 'volta'), 0) AS b FROM t GROUP BY 1)
+SELECT line_id, line_name, COALESCE(a, 0) AS km_ida, COALESCE(b, 0) AS km_volta, COALESCE(round(a + b, 2), 0) AS km_total FROM lines LEFT JOIN q USING (line_key)""", "route_points", "lines", "itinerary"))
+def sk1_lengths(spark, sf):
+    path = scratch(spark, "line-documents")
+    writers.write_line_documents(publish.line_documents(d.lines(spark, sf), d.named_points(spark, sf), d.named_itinerary(spark, sf)), path)
+    docs = files.read_line_docs(spark, path)
+    return docs.select(F.col("id").alias("line_id"), F.col("nome").alias("line_name"), F.col("ida.distancia_km").alias("km_ida"), F.col("volta.distancia_km").alias("km_volta"), F.col("distancia_km_total").alias("km_total"))
 
 
 @query("SK2_summary_file", o.sql("SELECT line_id, line_name FROM lines", "lines"))

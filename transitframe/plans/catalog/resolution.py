@@ -204,7 +204,8 @@ def er11_extras(spark, sf):
 AND_WITH {_ER11}, p AS (SELECT a.line_name, a.direction, a.seq, a.street AS manual, b.street AS system, b.seq AS bs, {o.jaccard('a.w', 'b.w')} AS score FROM mk a JOIN so b ON a.line_name = b.line_name AND a.direction = b.direction
   WHERE NOT EXISTS (SELECT 1 FROM sk WHERE sk.line_name = a.line_name AND sk.direction = a.direction AND sk.key = a.key)),
 q AS (SELECT line_name, arg_min(manual, (-score, bs)) AS manual, arg_min(system, (-score, bs)) AS system, max(score) AS score FROM p WHERE score >= 0.4 GROUP BY line_name, direction, seq)
-SELECT {o.n2('manual')} AS key_m, {o.n2('system')} AS key_s, count(DISTINCT line_name) AS lines, max(round(score, 2)) AS score FROM q GROUP BY 1, 2""", "manual_itinerary", _N))
+SELECT key_m, key_s, count(DISTINCT line_name) AS lines, max(round(score, 2)) AS score, arg_min(manual, (-score, manual, system)) AS manual, arg_min(system, (-score, manual, system)) AS system
+FROM (SELECT *, {o.n2('manual')} AS key_m, {o.n2('system')} AS key_s FROM q) GROUP BY 1, 2""", "manual_itinerary", _N))
 def ag13(spark, sf):
     _, pairs, _ = resolve.merge_with_system(*er11_inputs(spark, sf))
     return aggregates.project_pairs(pairs.withColumnRenamed("line_name", "line"))

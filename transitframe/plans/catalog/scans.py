@@ -1,7 +1,9 @@
 """Readers and report parsers (SC) over documents that Spark derives from the tables."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from transitframe.functions import codes
 from transitframe.plans import domain as d
 from transitframe.plans import oracles as o
 from transitframe.plans import publish
@@ -9,9 +11,9 @@ from transitframe.plans.catalog import query
 from transitframe.plans.catalog.merging import scratch
 from transitframe.plans.catalog.texts import _STREET_RULES, _replace_chain
 from transitframe.operators import spatial
-from transitframe.sources import files, kml, reports, words
+from transitframe.sources import files, kml, reports, words, writers
 
-_CODE = "CASE WHEN length(part_key::VARCHAR) < 5 THEN lpad(part_key::VARCHAR, 5, '0') ELSE substr(part_key::VARCHAR, 1, 5) END"
+_CODE = "CASE WHEN length(part_key::VARCHAR) < 5 THEN lpad(part_key::VARCHAR, 5, '0') ELSE part_key::VARCHAR END"
 
 
 def _lines(df, doc, page, line_no, text):
@@ -26,14 +28,23 @@ def noise(spark, sf):
 # --- line documents -----------------------------------------------------------------------------------
 
 
+def _maps(spark, name, lines, lists, closing):
+    """One JSON text per line, ``{name: {"ida": …, "volta": …}}``, written as fragments and read back as rows ``value``."""
+    quoted = F.regexp_extract(F.to_json(F.struct(F.col("line_name").alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)
+    opening = F.concat(F.lit("{"), quoted, F.lit(':{"ida":' + lists[0][0]))
+    skeleton = [opening, *[F.lit(before) for before, _ in lists[1:]], F.lit(closing + "\n")]
+    path = scratch(spark, name)
+    writers.write_line_documents(publish.fragments(lines, skeleton, [entries for _, entries in lists]), path)
+    return spark.read.text(path).filter("trim(value) <> ''")
+
+
 def line_maps(spark, sf):
     """One JSON map document per line with geometry and streets of both directions."""
     points, it = d.named_points(spark, sf), d.named_itinerary(spark, sf)
-    docs = publish.line_documents(points, it, spatial.path_lengths(points, ["line_id", "direction"]))
-    side = F.struct(F.coalesce("coordenadas", F.array().cast("array<array<double>>")).alias("coordenadas"), "ruas")
-    both = docs.groupBy("line_id", "part").agg(*[F.max(F.when(F.col("direction") == x, side)).alias(x) for x in ("ida", "volta")])
-    named = both.join(d.lines(spark, sf).select("line_id", "line_name"), "line_id")
-    return named.select(F.to_json(F.map_from_arrays(F.array("line_name"), F.array(F.struct("ida", "volta")))).alias("value"))
+    return _maps(spark, "line-maps", d.lines(spark, sf).select("line_id", "line_name"), [
+        ('{"coordenadas":[', publish.point_entries(points, "ida")), ('],"ruas":[', publish.street_entries(it, "ida")),
+        (']},"volta":{"coordenadas":[', publish.point_entries(points, "volta")), ('],"ruas":[', publish.street_entries(it, "volta")),
+    ], "]}}}")
 
 
 @query("SC1_unified_map", o.sql("""
@@ -48,12 +59,13 @@ def sc1(spark, sf):
 @query("SC3_manual_map", o.sql("SELECT line_name, direction, seq, street FROM manual_itinerary", "manual_itinerary"))
 def sc3(spark, sf):
     manual = d.manual_itinerary(spark, sf)
-    # positions are renumbered by the arrays, so keep the original ones in the text
-    entry = F.struct("seq", F.concat_ws("|", "seq", "street").alias("s"))
-    sides = manual.groupBy("line_name", F.floor(F.col("seq") / 100_000).alias("part")).agg(
-        *[F.transform(F.array_sort(F.collect_list(F.when(F.col("direction") == x, entry))), lambda e: e["s"]).alias(x) for x in ("ida", "volta")]
-    )
-    documents = sides.select(F.to_json(F.map_from_arrays(F.array("line_name"), F.array(F.struct("ida", "volta")))).alias("value"))
+    # positions are renumbered by the arrays, so keep the original ones in the text; lists start where their first entry is
+    first = Window.partitionBy("line_name", "direction").orderBy("seq")
+    entry = F.regexp_extract(F.to_json(F.struct(F.concat_ws("|", "seq", "street").alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)
+    rows = manual.select(F.col("line_key").cast("string").alias("line_id"), "direction", (F.row_number().over(first) - 1).alias("seq"), entry.alias("entry"))
+    lines = manual.select(F.col("line_key").cast("string").alias("line_id"), "line_name").distinct()
+    side = lambda x: rows.filter(F.col("direction") == x).select("line_id", "seq", "entry")
+    documents = _maps(spark, "manual-maps", lines, [("[", side("ida")), ('],"volta":[', side("volta"))], "]}}")
     back = files.read_manual(documents)
     parts = F.split("street", r"\|", 2)
     return back.select("line_name", "direction", parts[0].cast("long").alias("seq"), parts[1].alias("street"))
@@ -233,7 +245,7 @@ def sc13_census(spark, sf):
 
 def registry_report(spark, sf):
     p = F.col("part_key")
-    text = F.concat_ws(" ", F.lpad(p.cast("string"), 5, "0"), "street", F.lpad((p % 900).cast("string"), 4, "0"), F.lit("0001"))
+    text = F.concat_ws(" ", codes.zero_padded(p, 5), "street", F.lpad((p % 900).cast("string"), 4, "0"), F.lit("0001"))
     rows = _lines(d.streets(spark, sf), F.lit("registry"), F.floor(p / 50), p % 50, text)
     return rows.unionByName(noise(spark, sf))
 
@@ -254,7 +266,7 @@ def sc14_official(spark, sf):
 def sc14_master(spark, sf):
     # two entries per text line, as running text
     p = F.col("part_key")
-    entry = F.concat_ws(" ", F.lpad(p.cast("string"), 5, "0"), "manual_street", F.lit("0000 0001"))
+    entry = F.concat_ws(" ", codes.zero_padded(p, 5), "manual_street", F.lit("0000 0001"))
     pairs = d.streets(spark, sf).groupBy(F.floor(p / 2).alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part_key", entry.alias("t")))), lambda s: s["t"]), " ").alias("text"))
     return reports.master_codes(_lines(pairs, F.lit("master"), F.floor(F.col("k") / 50), F.col("k") % 50, F.col("text")))
 
@@ -364,7 +376,7 @@ def sc19_short(spark, sf):
 def sc20(spark, sf):
     p = F.col("part_key")
     name = F.when(p < 25, F.concat(F.lit("BAIRRO "), F.translate((p % 25).cast("string"), "0123456789", "ABCDEFGHIJ"), F.lit(" "))).otherwise("")
-    rows = _lines(d.streets(spark, sf), F.lit("bairros"), p % 25, F.floor(p / 25), F.concat(name, F.lpad(p.cast("string"), 5, "0"), F.lit(" "), "street", F.lit(" 0000 0001")))
+    rows = _lines(d.streets(spark, sf), F.lit("bairros"), p % 25, F.floor(p / 25), F.concat(name, codes.zero_padded(p, 5), F.lit(" "), "street", F.lit(" 0000 0001")))
     totals = _lines(d.streets(spark, sf).filter(p < 25), F.lit("bairros"), p, F.lit(1_000_000_000), F.lit("Sub-Total: 10"))
     return reports.neighbourhood_lines(rows.unionByName(totals))
 
@@ -412,18 +424,18 @@ def file_names(spark, sf):
     k = F.col("line_key")
     prefix = F.when(k % 3 == 0, "HORARIO_").when(k % 3 == 1, "itinerario_").otherwise("linha_")
     date = F.when(k % 2 == 0, "_20260101").otherwise("_20260202")
-    names = d.lines(spark, sf).select(F.concat(F.lit("/data/"), prefix, F.lpad((k % 10000).cast("string"), 4, "0"), date, F.lit(".pdf")).alias("path"))
+    names = d.lines(spark, sf).select(F.concat(F.lit("/data/"), prefix, codes.zero_padded(k, 4), date, F.lit(".pdf")).alias("path"))
     return names.unionByName(names.limit(1).select(F.lit("/data/IntinerarioPorVia.pdf").alias("path")))
 
 
-@query("SC22_inventory_codes", o.sql("SELECT DISTINCT lpad((line_key % 10000)::VARCHAR, 4, '0') AS code FROM lines", "lines"))
+@query("SC22_inventory_codes", o.sql("SELECT DISTINCT CASE WHEN length(line_key::VARCHAR) < 4 THEN lpad(line_key::VARCHAR, 4, '0') ELSE line_key::VARCHAR END AS code FROM lines", "lines"))
 def sc22(spark, sf):
     return files.inventory_codes(file_names(spark, sf))
 
 
-@query("SC23_latest_file", "SELECT code, '/data/horario_' || code || '_' || day || '.pdf' AS path FROM (SELECT lpad((user_id % 10000)::VARCHAR, 4, '0') AS code, max(strftime(ts, '%Y%m%d')) AS day FROM events GROUP BY 1)")
+@query("SC23_latest_file", "SELECT code, '/data/horario_' || code || '_' || day || '.pdf' AS path FROM (SELECT CASE WHEN length(user_id::VARCHAR) < 4 THEN lpad(user_id::VARCHAR, 4, '0') ELSE user_id::VARCHAR END AS code, max(strftime(ts, '%Y%m%d')) AS day FROM events GROUP BY 1)")
 def sc23(spark, sf):
-    path = F.concat(F.lit("/data/horario_"), F.lpad((F.col("user_id") % 10000).cast("string"), 4, "0"), F.lit("_"), F.date_format("ts", "yyyyMMdd"), F.lit(".pdf"))
+    path = F.concat(F.lit("/data/horario_"), codes.zero_padded(F.col("user_id"), 4), F.lit("_"), F.date_format("ts", "yyyyMMdd"), F.lit(".pdf"))
     return files.latest_file_per_code(d.table(spark, sf, "events").select(path.alias("path")))
 
 

@@ -59,30 +59,29 @@ def jn5(spark, sf):
 
 
 @query("JN6_registry_codes", o.sql(f"""
-AND_WITH r AS (SELECT {o.n2('street')} AS key, array_to_string(list(street_code ORDER BY ord), ',') AS registry_codes, count(*) AS n, arg_min(street, ord) AS registry_street FROM registry GROUP BY 1),
+AND_WITH r AS (SELECT {o.n2('street')} AS key, street_code AS registry_code, ord, street FROM registry),
+n AS (SELECT key, count(*) AS n_codes, arg_min(street, ord) AS registry_street FROM r GROUP BY 1),
 c AS (SELECT DISTINCT neighbourhood, street FROM neighbourhood_streets)
-SELECT neighbourhood, c.street, registry_codes, n AS n_codes, registry_street FROM c LEFT JOIN r ON r.key = {o.n2('c.street')}""", "neighbourhood_streets", "registry"))
+SELECT neighbourhood, c.street, registry_code, n_codes, registry_street FROM c LEFT JOIN r ON r.key = {o.n2('c.street')} LEFT JOIN n ON n.key = r.key""", "neighbourhood_streets", "registry"))
 def jn6(spark, sf):
-    listed = d.neighbourhood_streets(spark, sf).distinct()
-    found = joins.registry_codes(listed, d.registry(spark, sf))
-    return found.withColumn("n_codes", F.nullif(F.col("n_codes").cast("long"), F.lit(-1)))
+    return joins.registry_codes(d.neighbourhood_streets(spark, sf).distinct(), d.registry(spark, sf))
 
 
 @query("JN6_unused_registry", o.sql(f"""
-SELECT street_code, street FROM registry WHERE {o.n2('street')} NOT IN (SELECT {o.n2('street')} FROM neighbourhood_streets)""", "registry", "neighbourhood_streets"))
+SELECT street_code, street FROM registry WHERE {o.n2('street')} NOT IN (SELECT {o.n2('street')} FROM neighbourhood_streets WHERE neighbourhood < 'NATION_2')""", "registry", "neighbourhood_streets"))
 def jn6_unused(spark, sf):
-    return joins.unused_registry(d.registry(spark, sf), d.neighbourhood_streets(spark, sf)).select("street_code", "street")
+    return joins.unused_registry(d.registry(spark, sf), d.neighbourhood_streets(spark, sf).filter("neighbourhood < 'NATION_2'")).select("street_code", "street")
 
 
-_CODE_NEIGHBOURHOOD = """SELECT CASE WHEN length(part_key::VARCHAR) < 5 THEN lpad(part_key::VARCHAR, 5, '0') ELSE substr(part_key::VARCHAR, 1, 5) END AS street_code,
+_CODE_NEIGHBOURHOOD = """SELECT CASE WHEN length(part_key::VARCHAR) < 5 THEN lpad(part_key::VARCHAR, 5, '0') ELSE part_key::VARCHAR END AS street_code,
   arg_max(n_name, (l_orderkey, l_linenumber, l_suppkey)) AS neighbourhood FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
-  JOIN streets ON l_partkey = part_key WHERE part_key % 9 <> 4 GROUP BY 1"""
+  JOIN streets ON l_partkey = part_key GROUP BY 1"""
 
 
 def code_neighbourhood(spark, sf):
     places = d.table(spark, sf, "supplier").join(d.table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    rows = d.table(spark, sf, "lineitem").filter("l_partkey % 9 <> 4").join(places, F.col("l_suppkey") == F.col("s_suppkey"))
-    rows = rows.select(F.lpad(F.col("l_partkey").cast("string"), 5, "0").alias("street_code"), F.col("n_name").alias("neighbourhood"), "l_orderkey", "l_linenumber", "l_suppkey")
+    rows = d.table(spark, sf, "lineitem").join(places, F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = rows.select(codes.zero_padded(F.col("l_partkey"), 5).alias("street_code"), F.col("n_name").alias("neighbourhood"), "l_orderkey", "l_linenumber", "l_suppkey")
     return ordered.last_wins(rows, ["street_code"], ["l_orderkey", "l_linenumber", "l_suppkey"], ["neighbourhood"])
 
 
@@ -144,14 +143,14 @@ def jn13(spark, sf):
     return d.lines(spark, sf).select("line_key", codes.with_alias(codes.line_code("line_name"), aliases).alias("code"))
 
 
-@query("AG1_points_by_line", o.sql("SELECT line_id, direction, 0 AS part, count(*)::INTEGER AS n_points, round(sum(lat * seq), 6) AS ordered_sum FROM named_points GROUP BY ALL", "named_points"))
+@query("AG1_points_by_line", o.sql("SELECT line_id, direction, count(*) AS n_points, round(sum(lat * seq), 6) AS ordered_sum FROM named_points GROUP BY ALL", "named_points"))
 def ag1(spark, sf):
     from transitframe.plans.publish import line_documents
 
-    points, empty = d.named_points(spark, sf), d.named_itinerary(spark, sf).limit(0)
-    docs = line_documents(points, empty, spatial.path_lengths(points, ["line_id", "direction"]))
-    weighted = F.aggregate(F.transform("coordenadas", lambda p, i: p[0] * i), F.lit(0.0), lambda a, v: a + v)
-    return docs.select("line_id", "direction", "part", F.size("coordenadas").alias("n_points"), F.round(weighted, 6).alias("ordered_sum"))
+    docs = line_documents(d.lines(spark, sf), d.named_points(spark, sf), d.named_itinerary(spark, sf)).filter("place in (1, 5)")
+    lat = F.get(F.from_json(F.ltrim("fragment", F.lit(",")), "array<double>"), 0)
+    direction = F.when(F.col("place") == 1, "ida").otherwise("volta")
+    return docs.groupBy("line_id", direction.alias("direction")).agg(F.count(F.lit(1)).alias("n_points"), F.round(F.sum(lat * F.col("seq")), 6).alias("ordered_sum"))
 
 
 @query("AG2_distinct_streets", o.sql("SELECT key, street, street_code, match, occurrences FROM distinct_streets", "distinct_streets"))

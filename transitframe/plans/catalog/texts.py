@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from transitframe import rules
 from transitframe.functions import codes, similarity, values
 from transitframe.functions import text as tx
+from transitframe.operators import aggregates, spatial
 from transitframe.operators.ordered import neighbour
 from transitframe.plans import domain as d
 from transitframe.plans import oracles as o
@@ -172,8 +173,7 @@ SELECT p_size, p_name, CASE WHEN len(list_distinct(norms)) = 1 THEN 'ACENTO'
   ELSE 'NOME DIFERENTE' END AS kind FROM n""", "streets"))
 def f16(spark, sf):
     named = d.streets(spark, sf).join(d.table(spark, sf, "part").select("p_partkey", "p_size", "p_name"), F.col("part_key") == F.col("p_partkey"))
-    names = named.groupBy("p_size", "p_name").agg(F.sort_array(F.collect_set("street")).alias("names"))
-    return names.select("p_size", "p_name", tx.difference_kind(F.col("names")).alias("kind"))
+    return aggregates.spelling_difference(named.select("p_size", "p_name", "street"), ["p_size", "p_name"])
 
 
 def following_streets(spark, sf):
@@ -312,14 +312,16 @@ def m6(spark, sf):
     return d.table(spark, sf, "events").select("event_id", values.with_extra(F.col("user_id"), extra).alias("total"))
 
 
-@query("M7_point_count", "SELECT doc_id, len(string_split(text, chr(10)))::INTEGER AS n_points FROM documents")
+@query("M7_point_count", o.sql("SELECT line_key, direction, count(*) AS n_points FROM route_points GROUP BY ALL", "route_points"))
 def m7(spark, sf):
-    return d.table(spark, sf, "documents").select("doc_id", F.size(F.split("text", "\n")).alias("n_points"))
+    return spatial.point_counts(d.route_points(spark, sf), ["line_key", "direction"])
 
 
-@query("A1_reverse_path", "SELECT doc_id, array_to_string(list_reverse(string_split(text, chr(10))), chr(10)) AS reversed FROM documents")
+@query("A1_reverse_path", o.sql("""
+SELECT line_key, direction, count(*) OVER (PARTITION BY line_key, direction) - 1 - seq AS seq, round(lat, 6) AS lat, round(lon, 6) AS lon FROM route_points""", "route_points"))
 def a1(spark, sf):
-    return d.table(spark, sf, "documents").select("doc_id", F.array_join(F.reverse(F.split("text", "\n")), "\n").alias("reversed"))
+    back = spatial.reversed_paths(d.route_points(spark, sf), ["line_key", "direction"])
+    return back.select("line_key", "direction", "seq", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
 @query("A2_close_ring", o.sql("SELECT zone_ord, 7 AS n_points, round(min(x1), 6) AS west FROM zone_edges GROUP BY zone_ord", "zone_edges"))

@@ -23,7 +23,7 @@ def _code_head(key: Column) -> Column:
     return (
         F.when(key >= 10000, F.concat(number, F.lit(" "), letter))
         .when(key % 10 == 3, F.concat(number, F.lit(" A")))
-        .when(key % 11 == 5, F.concat(F.lit("M"), F.lpad((key % 1000).cast("string"), 3, "0")))
+        .when(key % 11 == 5, F.concat(F.lit("M"), codes.zero_padded(key, 3)))
         .otherwise(number)
     )
 
@@ -37,6 +37,8 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
     tail = (
         F.when(key % 13 == 0, F.lit(" (DESATIVADO)")).when(key % 4 == 0, F.lit(" (Via Norte)")).otherwise(F.lit(""))
     )
+    # codes have four digits and a letter; further series are told apart by name, so names stay one-to-one with keys
+    series = F.when(key >= 270_000, F.concat(F.lit(" SERIE "), F.floor((key - 10_000) / 260_000).cast("string"))).otherwise(F.lit(""))
     named = (
         table(spark, sf, "customer")
         .select("c_custkey", "c_nationkey", "c_mktsegment")
@@ -45,7 +47,7 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
             key.alias("line_key"),
             F.concat(
                 _code_head(key), F.lit(" - "), F.col("r_name"), F.lit(" / "), F.replace("n_name", F.lit("_"), F.lit(" ")),
-                tail,
+                series, tail,
             ).alias("line_name"),
             F.col("c_mktsegment").alias("segment"),
             F.col("r_name").alias("region"),
@@ -92,7 +94,7 @@ def streets(spark: SparkSession, sf: str) -> DataFrame:
         part.alias("part_key"),
         F.concat(_pick(PREFIX_SHORT, F.col("p_size")), F.lit(" "), "p_type", F.lit(" "), accented, brand).alias("street"),
         F.concat(_pick(PREFIX_FULL, F.col("p_size")), F.lit(" "), "p_type", F.lit(" "), F.upper("p_name")).alias("manual_street"),
-        F.when(part % 7 != 0, F.lpad(part.cast("string"), 5, "0")).alias("street_code"),
+        F.when(part % 7 != 0, codes.zero_padded(part, 5)).alias("street_code"),
         F.when(part % 7 == 0, "nao_encontrado")
         .when(part % 11 == 0, "fuzzy")
         .when(part % 3 == 0, "exato_global")
@@ -160,8 +162,8 @@ def timetable(spark: SparkSession, sf: str) -> DataFrame:
 def registry(spark: SparkSession, sf: str) -> DataFrame:
     """street_code, street (spelled out), street_original, ord."""
     part = F.col("part_key")
-    return streets(spark, sf).filter(part % 6 != 5).select(
-        F.lpad(part.cast("string"), 5, "0").alias("street_code"),
+    return streets(spark, sf).select(
+        codes.zero_padded(part, 5).alias("street_code"),
         F.col("manual_street").alias("street"),
         F.col("street").alias("street_original"),
         part.alias("ord"),
@@ -192,7 +194,6 @@ def stops(spark: SparkSession, sf: str) -> DataFrame:
     e = F.col("event_id")
     return (
         raw_points(spark, sf)
-        .filter(e % 3 == 0)
         .select(
             "line_key",
             e.alias("position"),
@@ -210,7 +211,7 @@ SEGMENT_SERVICE = {
 
 
 def active_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Official list: code spelled with hyphens, service type, company; some lines missing, some extra."""
+    """Official list: code spelled with hyphens, service type, company."""
     key = F.col("line_key")
     number = F.lpad((key % 10000).cast("string"), 4, "0")
     code = (
@@ -221,7 +222,6 @@ def active_lines(spark: SparkSession, sf: str) -> DataFrame:
     service = codes.service_type(F.element_at(codes._literal_map(SEGMENT_SERVICE), F.col("segment")))
     return (
         lines(spark, sf)
-        .filter(key % 8 != 7)
         .select(
             code.alias("code"), F.upper("line_name").alias("name"), service.alias("service"),
             F.concat(F.lit("EMPRESA "), "region").alias("company"), "line_key", key.alias("ord"),
@@ -235,7 +235,6 @@ def neighbourhood_streets(spark: SparkSession, sf: str) -> DataFrame:
     name = F.when(F.col("n_nationkey") % 3 == 0, F.translate("n_name", "AO", "ÁÕ")).otherwise(F.col("n_name"))
     return (
         table(spark, sf, "lineitem")
-        .filter("l_linenumber = 1")
         .select("l_partkey", "l_suppkey", "l_orderkey")
         .join(places.select("s_suppkey", name.alias("neighbourhood")), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(streets(spark, sf), F.col("l_partkey") == F.col("part_key"))
@@ -252,11 +251,11 @@ def neighbourhood_streets(spark: SparkSession, sf: str) -> DataFrame:
 def dictionary(spark: SparkSession, sf: str) -> DataFrame:
     """id, name: '00044 RUA X' or 'REVISAR: X' entries."""
     part = F.col("part_key")
-    return streets(spark, sf).filter(part % 4 != 3).select(
+    return streets(spark, sf).select(
         part.alias("id"),
         F.when(part % 10 == 9, F.concat(F.lit("REVISAR: "), "manual_street"))
-        .when(part % 10 == 8, F.concat(F.lpad(part.cast("string"), 5, "0"), F.lit(" "), "manual_street", F.lit(" 0000")))
-        .otherwise(F.concat(F.lpad(part.cast("string"), 5, "0"), F.lit(" "), "manual_street"))
+        .when(part % 10 == 8, F.concat(codes.zero_padded(part, 5), F.lit(" "), "manual_street", F.lit(" 0000")))
+        .otherwise(F.concat(codes.zero_padded(part, 5), F.lit(" "), "manual_street"))
         .alias("name"),
     )
 

@@ -98,9 +98,10 @@ SELECT *, {line_id('line_name')} AS line_id, {line_code('line_name')} AS line_co
   SELECT c_custkey AS line_key, c_mktsegment AS segment, r_name AS region,
     CASE WHEN c_custkey >= 10000 THEN lpad((c_custkey % 10000)::VARCHAR, 4, '0') || ' ' || chr((65 + (c_custkey // 10000 - 1) % 26)::INTEGER)
          WHEN c_custkey % 10 = 3 THEN lpad((c_custkey % 10000)::VARCHAR, 4, '0') || ' A'
-         WHEN c_custkey % 11 = 5 THEN 'M' || lpad((c_custkey % 1000)::VARCHAR, 3, '0')
+         WHEN c_custkey % 11 = 5 THEN 'M' || CASE WHEN length(c_custkey::VARCHAR) < 3 THEN lpad(c_custkey::VARCHAR, 3, '0') ELSE c_custkey::VARCHAR END
          ELSE lpad((c_custkey % 10000)::VARCHAR, 4, '0') END
     || ' - ' || r_name || ' / ' || replace(n_name, '_', ' ')
+    || CASE WHEN c_custkey >= 270000 THEN ' SERIE ' || ((c_custkey - 10000) // 260000)::VARCHAR ELSE '' END
     || CASE WHEN c_custkey % 13 = 0 THEN ' (DESATIVADO)' WHEN c_custkey % 4 = 0 THEN ' (Via Norte)' ELSE '' END AS line_name
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""),
     "raw_points": ((), """
@@ -115,7 +116,7 @@ SELECT p_partkey AS part_key,
   {_pick(PREFIX_SHORT, 'p_size')} || ' ' || p_type || ' ' || CASE WHEN p_partkey % 5 = 0 THEN translate(p_name, 'aeo', 'áêõ') ELSE p_name END
     || CASE WHEN p_partkey % 4 = 0 THEN ' (' || p_brand || ')' ELSE '' END AS street,
   {_pick(PREFIX_FULL, 'p_size')} || ' ' || p_type || ' ' || upper(p_name) AS manual_street,
-  CASE WHEN p_partkey % 7 <> 0 THEN CASE WHEN length(p_partkey::VARCHAR) < 5 THEN lpad(p_partkey::VARCHAR, 5, '0') ELSE substr(p_partkey::VARCHAR, 1, 5) END END AS street_code,
+  CASE WHEN p_partkey % 7 <> 0 THEN CASE WHEN length(p_partkey::VARCHAR) < 5 THEN lpad(p_partkey::VARCHAR, 5, '0') ELSE p_partkey::VARCHAR END END AS street_code,
   CASE WHEN p_partkey % 7 = 0 THEN 'nao_encontrado' WHEN p_partkey % 11 = 0 THEN 'fuzzy' WHEN p_partkey % 3 = 0 THEN 'exato_global' ELSE 'exato' END AS match
 FROM part"""),
     "itinerary": (("streets",), """
@@ -134,8 +135,8 @@ SELECT *, {minutes('hhmm')} AS minute_of_day FROM (
     CASE dayofweek(ts) WHEN 0 THEN 'domingo' WHEN 6 THEN 'sabado' ELSE 'dia_util' END AS day_type,
     CASE WHEN event_id % 2 = 0 THEN 'ida' ELSE 'volta' END AS direction, strftime(ts, '%H:%M') AS hhmm, event_id FROM events)"""),
     "registry": (("streets",), """
-SELECT CASE WHEN length(part_key::VARCHAR) < 5 THEN lpad(part_key::VARCHAR, 5, '0') ELSE substr(part_key::VARCHAR, 1, 5) END AS street_code,
-  manual_street AS street, street AS street_original, part_key AS ord FROM streets WHERE part_key % 6 <> 5"""),
+SELECT CASE WHEN length(part_key::VARCHAR) < 5 THEN lpad(part_key::VARCHAR, 5, '0') ELSE part_key::VARCHAR END AS street_code,
+  manual_street AS street, street AS street_original, part_key AS ord FROM streets"""),
     "zone_edges": ((), "SELECT zone_ord, zone_name, x1, y1, x2, y2 FROM (SELECT n_nationkey AS zone_ord, n_name AS zone_name, "
                    "-9.5e0 - (1e-2 + 2e-2 * (n_nationkey % 5)) AS lat0, -35.7e0 - (1e-2 + 2e-2 * (n_nationkey // 5)) AS lon0 FROM nation) z, LATERAL (VALUES "
                    + ", ".join(
@@ -146,21 +147,20 @@ SELECT CASE WHEN length(part_key::VARCHAR) < 5 THEN lpad(part_key::VARCHAR, 5, '
 SELECT s_name AS name, round(-9.5e0 - (s_suppkey * 7 % 1000) / 10000.0e0, 7) AS lat, round(-35.7e0 - (s_suppkey * 13 % 1000) / 10000.0e0, 7) AS lon FROM supplier"""),
     "stops": (("raw_points",), """
 SELECT line_key, event_id AS position, 'PONTO ' || event_id AS stop_name,
-  CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_id % 14 = 0 THEN 0.0e0 ELSE lat END AS lat, lon FROM raw_points WHERE event_id % 3 = 0"""),
+  CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_id % 14 = 0 THEN 0.0e0 ELSE lat END AS lat, lon FROM raw_points"""),
     "active_lines": (("lines",), f"""
 SELECT lpad((line_key % 10000)::VARCHAR, 4, '0') || CASE WHEN line_key % 11 = 5 THEN '-M' WHEN line_key % 10 = 3 THEN '-A' ELSE '' END AS code,
   upper(line_name) AS name, {service(_SEGMENT)} AS service, 'EMPRESA ' || region AS company, line_key, line_key AS ord
-FROM lines WHERE line_key % 8 <> 7"""),
+FROM lines"""),
     "neighbourhood_streets": (("streets",), """
 SELECT CASE WHEN n_nationkey % 3 = 0 THEN translate(n_name, 'AO', 'ÁÕ') ELSE n_name END AS neighbourhood,
   CASE WHEN l_orderkey % 6 = 0 THEN ' ' || manual_street || ' ' WHEN l_orderkey % 6 = 1 THEN street ELSE manual_street END AS street
-FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN streets ON l_partkey = part_key
-WHERE l_linenumber = 1"""),
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN streets ON l_partkey = part_key"""),
     "dictionary": (("streets",), """
 SELECT part_key AS id, CASE WHEN part_key % 10 = 9 THEN 'REVISAR: ' || manual_street
-  ELSE CASE WHEN length(part_key::VARCHAR) < 5 THEN lpad(part_key::VARCHAR, 5, '0') ELSE substr(part_key::VARCHAR, 1, 5) END || ' ' || manual_street
+  ELSE CASE WHEN length(part_key::VARCHAR) < 5 THEN lpad(part_key::VARCHAR, 5, '0') ELSE part_key::VARCHAR END || ' ' || manual_street
     || CASE WHEN part_key % 10 = 8 THEN ' 0000' ELSE '' END END AS name
-FROM streets WHERE part_key % 4 <> 3"""),
+FROM streets"""),
     "document_lines": ((), """
 SELECT doc_id, source, generate_subscripts(t, 1) - 1 AS line_no, unnest(t) AS text FROM (SELECT doc_id, source, string_split(text, chr(10)) AS t FROM documents)"""),
     "street_index": (("named_itinerary",), f"""

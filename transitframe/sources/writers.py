@@ -16,9 +16,18 @@ from transitframe.functions import codes
 from transitframe.operators.ordered import neighbour
 
 
-def write_line_documents(documents: DataFrame, path: str) -> None:
-    """SK1: one folder per line id, JSON records inside; ``documents`` from ``publish.line_documents``."""
-    documents.repartition("line_id", "part").write.mode("errorifexists").partitionBy("line_id").json(path)
+def _write_texts(fragments: DataFrame, keys: list[str], path: str) -> None:
+    """Fragments of many documents, each document in order within one part file and ended by its own line end.
+
+    Rows stream through the sort to the file; fragments are set apart by a blank, which JSON ignores.
+    """
+    ordered = fragments.repartition(*keys).sortWithinPartitions(*keys, "place", "seq")
+    ordered.select("fragment").write.mode("errorifexists").option("lineSep", " ").text(path)
+
+
+def write_line_documents(fragments: DataFrame, path: str) -> None:
+    """SK1: the published documents, one JSON text a line; ``fragments`` from ``publish.line_documents``."""
+    _write_texts(fragments, ["line_id"], path)
 
 
 def write_summary(summary: DataFrame, path: str) -> None:
@@ -36,9 +45,9 @@ def write_timetable(departures: DataFrame, path: str) -> None:
     departures.write.mode("errorifexists").partitionBy("day_type").parquet(path)
 
 
-def write_feature_lines(features: DataFrame, path: str) -> None:
-    """SK5: one GeoJSON Feature per line of text (newline-delimited sequence)."""
-    features.select("feature").write.mode("errorifexists").text(path)
+def write_feature_lines(fragments: DataFrame, path: str) -> None:
+    """SK5: one GeoJSON Feature a line; ``fragments`` from ``lookup.geojson_features``."""
+    _write_texts(fragments, ["line_id", "line_name", "direction"], path)
 
 
 def _escape(value: Column) -> Column:
