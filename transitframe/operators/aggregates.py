@@ -180,6 +180,12 @@ def company_year(figures: DataFrame, extras: DataFrame) -> DataFrame:
     )
 
 
+def metrics_by_company(figures: DataFrame) -> DataFrame:
+    """AG15: passengers, trips and fleet side by side per company and year; ``figures`` as for ``company_year``."""
+    total = values.with_extra(F.col("base"), F.col("company_extra"))
+    return figures.groupBy("company", "year").pivot("metric", ["passengers", "trips", "fleet"]).agg(F.sum(total))
+
+
 def departures_per_day(timetable: DataFrame) -> DataFrame:
     """AG16: departures per line and day type."""
     return timetable.groupBy("line_code").pivot("day_type", list(DAY_TYPES)).count().na.fill(0)

@@ -232,3 +232,13 @@ def street_coverage(new: DataFrame, reference: DataFrame) -> DataFrame:
     return streets.withColumn("key", tx.norm_key("street")).join(ref, "key", "left").select(
         "street", status.alias("status"), F.coalesce("street_code", "ref_code").alias("street_code"), "uses"
     )
+
+
+def line_contexts(coverage: DataFrame, itinerary: DataFrame) -> DataFrame:
+    """RC12: where the unmatched streets of ``street_coverage`` are used: one row per street and ``code/DIRECTION``, with uses.
+
+    ``itinerary(line_name, direction, street)``; a name without a code part stands for itself.
+    """
+    context = F.concat(tx.strip(F.split("line_name", " - ")[0]), F.lit("/"), F.upper("direction"))
+    used = itinerary.select(tx.strip("street").alias("street"), context.alias("context")).groupBy("street", "context").agg(F.count(F.lit(1)).alias("uses"))
+    return used.join(coverage.filter("status = 'unmatched'").select("street"), "street", "left_semi")

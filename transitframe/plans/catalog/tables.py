@@ -242,6 +242,15 @@ def ag15(spark, sf):
     return aggregates.company_year(company_figures(spark, sf), extras)
 
 
+@query("AG15_metrics_by_company", """
+SELECT o_orderpriority AS company, year(o_orderdate)::INTEGER AS year, sum(o_custkey)::BIGINT AS passengers, count(*) AS trips, count(DISTINCT o_custkey) AS fleet FROM orders GROUP BY 1, 2""")
+def ag15_metrics(spark, sf):
+    by = d.table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("company"), F.year("o_orderdate").alias("year"))
+    wide = by.agg(F.sum("o_custkey").alias("passengers"), F.count(F.lit(1)).alias("trips"), F.count_distinct("o_custkey").alias("fleet"))
+    figures = wide.unpivot(["company", "year"], ["passengers", "trips", "fleet"], "metric", "base").withColumn("company_extra", F.lit(None).cast("long"))
+    return aggregates.metrics_by_company(figures)
+
+
 @query("AG16_departures_per_day", o.sql("""
 SELECT line_code, count(*) FILTER (day_type = 'dia_util') AS dia_util, count(*) FILTER (day_type = 'sabado') AS sabado, count(*) FILTER (day_type = 'domingo') AS domingo FROM timetable GROUP BY 1""", "timetable"))
 def ag16(spark, sf):
@@ -475,3 +484,14 @@ def rc12(spark, sf):
     it = d.itinerary(spark, sf)
     new = it.withColumn("street_code", F.when(F.col("part_key") % 4 == 0, F.col("street_code")))
     return reconcile.street_coverage(new, it.filter("part_key % 3 <> 0"))
+
+
+@query("RC12_line_contexts", o.sql(f"""
+AND_WITH r AS (SELECT DISTINCT {o.n2('street')} AS key FROM named_itinerary WHERE part_key % 3 <> 0),
+c AS (SELECT DISTINCT street FROM named_itinerary WHERE part_key % 4 = 0 AND street_code IS NOT NULL)
+SELECT street, trim(split_part(line_name, ' - ', 1)) || '/' || upper(direction) AS context, count(*) AS uses FROM named_itinerary
+WHERE street NOT IN (SELECT street FROM c) AND {o.n2('street')} NOT IN (SELECT key FROM r) GROUP BY ALL""", _N))
+def rc12_contexts(spark, sf):
+    it = d.named_itinerary(spark, sf)
+    new = it.withColumn("street_code", F.when(F.col("part_key") % 4 == 0, F.col("street_code")))
+    return reconcile.line_contexts(reconcile.street_coverage(new, it.filter("part_key % 3 <> 0")), it)
