@@ -406,3 +406,11 @@ def test_rings_from_shuffled_ways(spark):
     assert len(found) == 41
     (area,) = rings.largest_closed_ring(pieces.where("relation = 99")).collect()
     assert (area.ring_ord, area.n_points, area.area) == (7, 4, 0.5)
+
+
+def test_sections_carry_over_the_blocks_of_one_page(spark):
+    rows = [("d", 1, i, "IDA" if i == 10 else "VOLTA" if i == 4_990 else f"line {i}") for i in range(9_000)]
+    lines = spark.createDataFrame(rows, "doc string, page int, line_no int, text string")
+    event = F.when(F.col("text").isin("IDA", "VOLTA"), F.lower("text"))
+    got = reports._carry(lines, {"direction": event}).groupBy("direction").agg(F.min("line_no").alias("a"), F.max("line_no").alias("b"), F.count("*").alias("n")).collect()
+    assert {(r.direction, r.a, r.b, r.n) for r in got} == {(None, 0, 9, 10), ("ida", 10, 4_989, 4_980), ("volta", 4_990, 8_999, 4_010)}
