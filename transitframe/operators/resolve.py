@@ -376,20 +376,20 @@ def merge_with_system(manual: DataFrame, system: DataFrame) -> tuple[DataFrame,
     s = cut_lineage(spelled(system.select("line_code", "direction", "seq", "street").join(names, "line_code")))
     merged = m.select("line_code", *on, "seq", "street")
     m_open = m.join(s.select(*on, "key").distinct(), [*on, "key"], "left_anti")
-    s_words = s.groupBy(*on, "street").agg(F.min("seq").alias("seq"), F.first("words").alias("words"))
-    pairs = jaccard_join(m_open.drop("key"), s_words, "words", rules.MERGE_JACCARD, on=on)
-    best = pairs.groupBy(F.col("l_line_code").alias("line_code"), *on, F.col("l_seq").alias("seq")).agg(
-        F.min_by(
-            F.struct(F.col("l_street").alias("manual"), F.col("r_street").alias("system"), "score"),
-            F.struct(-F.col("score"), "r_seq"),
-        ).alias("_b")
-    ).select("line_code", *on, "seq", "_b.*")
+    # the score depends on the word sets alone, so only distinct sets meet; occurrences come back at the end
+    s_sets = s.groupBy(*on, "words").agg(F.min(F.struct("seq", "street")).alias("first"))
+    s_sets = s_sets.select(*on, "words", "first.seq", "first.street")
+    pairs = jaccard_join(m_open.select(*on, "words").distinct(), s_sets, "words", rules.MERGE_JACCARD, on=on)
+    nearest = pairs.groupBy(*on, F.col("l_words").alias("words")).agg(
+        F.min_by(F.struct(F.col("r_street").alias("system"), "score"), F.struct(-F.col("score"), "r_seq")).alias("_b")
+    ).select(*on, "words", "_b.*")
+    best = m_open.join(nearest, [*on, "words"]).select("line_code", *on, "seq", F.col("street").alias("manual"), "system", "score")
     s_open = s.join(m.select(*on, "key").distinct(), [*on, "key"], "left_anti")
     all_manual = m.select(*on, "words").distinct()
-    reached = jaccard_join(s_open.select(*on, "seq", "words"), all_manual, "words", rules.MERGE_JACCARD, on=on).select(
-        *on, F.col("l_seq").alias("seq")
+    reached = jaccard_join(s_open.select(*on, "words").distinct(), all_manual, "words", rules.MERGE_JACCARD, on=on).select(
+        *on, F.col("l_words").alias("words")
     ).distinct()
-    extras = s_open.join(reached, [*on, "seq"], "left_anti").select("line_code", *on, "seq", "street")
+    extras = s_open.join(reached, [*on, "words"], "left_anti").select("line_code", *on, "seq", "street")
     return merged, best, extras
 
 
