@@ -375,7 +375,8 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``docs`` with one row of each component left: a row of the least id. Repeated rows count as copies; null ids all stay."""
     groups = jaccard_components(docs, id_col, text_col, words, percent)
     lost = groups.where(F.col(id_col) > F.col("component_id")).select(id_col).distinct()
-    left = docs.join(lost, id_col, "left_anti").withColumn("_text", F.xxhash64(text_col))
-    return left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, "_text"]).unionByName(left.where(F.col(id_col).isNull())).drop("_text").select(docs.columns)
-
-
+    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("doc")  # keeps the documents' names apart
+    rows = docs.select(whole, F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"))
+    left = rows.join(lost.withColumnRenamed(id_col, "id"), "id", "left_anti")
+    kept = left.where("id is not null").dropDuplicates(["id", "text_hash"]).unionByName(left.where("id is null"))
+    return kept.select("doc.*")
