@@ -12,6 +12,8 @@ Equal rows share a place and are taken or left together. No rows, or a budget of
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,17 +69,15 @@ def find_exponent(sources: DataFrame, budget: float, entropy: float | None = Non
 
 
 def _entropy(a: float, z: float, s: float) -> float:
-    import math
-
     return math.log(z) - a * s / z
 
 
 def quotas(sources: DataFrame, exponent: float, budget: float) -> DataFrame:
     """(source_key, docs, tokens, weight, quota, copies, rest): quota = copies * tokens + rest, in tokens."""
     live = sources.where("tokens > 0")
-    power = F.exp(F.log(F.col("tokens").cast("double")) * exponent)
-    top = live.agg(F.max(F.log(F.col("tokens").cast("double")))).first()[0] or 0.0
-    power = F.exp((F.log(F.col("tokens").cast("double")) - top) * exponent)
+    log_tokens = F.log(F.col("tokens").cast("double"))
+    top = live.agg(F.max(log_tokens)).first()[0] or 0.0
+    power = F.exp((log_tokens - top) * exponent)
     z = live.agg(F.sum(power)).first()[0] or 1.0
     rows = live.withColumn("weight", power / F.lit(float(z)))
     rows = rows.withColumn("quota", F.floor(F.col("weight") * F.lit(float(budget))).cast("long"))

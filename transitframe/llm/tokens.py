@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from transitframe.llm.common import store
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How byte-level BPE cuts a text before merging (a fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -59,7 +61,7 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     Sums run within blocks of BLOCK lengths, over the blocks' own totals; the block table has longest / BLOCK rows.
     """
     tokens = F.col("n_docs") * F.col("n_tokens")
-    rows = histogram.withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
+    rows = store(histogram).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     totals = rows.groupBy("block").agg(F.sum("n_docs").alias("docs"), F.sum(tokens).alias("tokens"))
     longer = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
