@@ -19,7 +19,16 @@ def store(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.stored_path = path
+    return stored
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete tables from ``store`` that no later plan reads."""
+    for table in stored:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.stored_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def part_of(column: Column | str, parts: int) -> Column:

@@ -10,7 +10,7 @@ Texts become sets of word shingles (64-bit hashes). Two sets link when ``100 * i
 3. Each class is checked with one class of its tiles, the one that shares most tiles with others; links found so are
    contracted to components. A large group of copies mostly ends here.
 4. Tiles whose members still lie in several components are compared in blocks: XOR bitmaps bound the intersection
-   from above. While that finds links, each class is checked with its nearest one of another component; then every
+   from above. While that finds many links, each class is checked with its nearest one of another component; then every
    pair left between components that passes the bound is intersected exactly.
 
 Nulls and texts without words have the empty set and link with nothing. Repeated rows are one class.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transitframe.llm.common import NOT_SPACE, as_signed, mix, store, text_chunks, word_bounds, word_hashes
+from transitframe.llm.common import NOT_SPACE, as_signed, discard, mix, store, text_chunks, word_bounds, word_hashes
 from transitframe.llm.components import components
 
 BITS = 1024
@@ -338,9 +338,14 @@ def _links(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         new = store(_verify(found.groupBy("a").agg(F.min_by("b", F.struct("gap", "b")).alias("b")), sets, percent))
         if not new.take(1):
             break
-        links = store(links.unionByName(new))
+        before, links = links, store(links.unionByName(new))
+        few = new.count() * 20 < before.count()
+        discard(before, new)
+        if few:  # what is left is little work for all pairs
+            tiles = _open_tiles(shared, components(links), sets)
+            break
     pairs = tiles.mapInArrow(_tiles(percent, nearest=False), "a long, b long, gap double").select("a", "b").distinct()
-    return links.unionByName(_verify(pairs, sets, percent))
+    return store(links.unionByName(_verify(pairs, sets, percent)))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -364,7 +369,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         slim.join(holders, "id").select("set_class", "text").mapInArrow(_sets(words), "set_class long, n long, bits binary, items binary")
         .dropDuplicates(["set_class"])
     )
-    roots = components(_links(shared, sets, percent))
+    links = _links(shared, sets, percent)
+    discard(shared, sets)
+    roots = components(links)
     own = kept.join(roots.select(F.col("node").alias("set_class"), "root"), "set_class", "left").withColumn("root", F.coalesce("root", "set_class"))
     least = own.where("n_shingles > 0").groupBy("root").agg(F.min("id").alias("least"))
     return own.join(least, "root", "left").select(
