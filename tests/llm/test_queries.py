@@ -5,6 +5,7 @@ import os
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -141,3 +142,49 @@ def test_licences(spark, folder, tables):
     rows = run(spark, folder, 10)
     assert sorted(r.doc_id for r in rows) == sorted(d[0] for d in tables["documents"])
     assert all(r.licence is None and r.line_licences == "" for r in rows)
+
+
+def test_whole_licences_and_notices(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    texts = {x.stem: x.read_text() for x in (Path(queries.__file__).parent / "licence_texts").iterdir()}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense"} <= set(texts)
+    bsd = """Copyright (c) 1999, Jane Doe
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification,
+are permitted provided that the following conditions are met:
+
+* Redistributions of source code must retain the above copyright notice, this
+  list of conditions and the following disclaimer.
+* Redistributions in binary form must reproduce the above copyright notice, this
+  list of conditions and the following disclaimer in the documentation and/or
+  other materials provided with the distribution.
+{third}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT OWNER OR CONTRIBUTORS BE
+LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+    third = "* Neither the name of the copyright holder nor the names of its\n  contributors may be used to endorse or promote products derived from\n  this software without specific prior written permission.\n"
+    whole = [(name, text) for name, text in texts.items()] + [(name, " ".join(text.upper().split())) for name, text in texts.items()]
+    whole += [("BSD-2-Clause", bsd.format(third="")), ("BSD-3-Clause", bsd.format(third=third)), ("GPL-2.0", texts["GPL-2.0"].split("How to Apply")[0])]
+    whole.append(("Apache-2.0", texts["Apache-2.0"].replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2020 Jane Doe")))
+    notices = [
+        ("Apache-2.0", "// Licensed under the Apache License, Version 2.0 (the \"License\");"), ("GPL-2.0", "# SPDX-License-Identifier: GPL-2.0-or-later"),
+        ("LGPL-2.1", "Released under the LGPL v2.1."), ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+        ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."), ("BSD-3-Clause", "This project is licensed under the New BSD Licence"),
+        ("AGPL-3.0", "License: GNU Affero General Public License, version 3"),
+    ]
+    rows = [(text, name, None) for name, text in whole] + [(f"some words\n{text}\nmore", None, name) for name, text in notices]
+    rows += [(texts["GPL-3.0"].replace("You may not", "You may"), None, None), ("the apache helicopter, version 2.0", None, None)]
+    spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in run(spark, tmp_path, 10)}
+    assert len(got) == len(rows)
+    for i, (text, licence, notice) in enumerate(rows):
+        assert got[i].licence == licence, text[:80]
+        assert notice is None or got[i].line_licences == notice, text
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(queries.ORACLES["op10_licences"]).fetchall()
+    assert {tuple(r) for r in got.values()} == set(want) and len(want) == len(rows)
