@@ -84,3 +84,53 @@ def test_find_and_mask(spark, field):
     assert out[2] is None and out[3] == "" and out[4] == "[EMAIL]" and out[6] == "word " * 60_000
     assert pii.find(docs.limit(0), {"doc_id": F.col("doc_id")}, field=field).collect() == []
     assert pii.mask(docs.limit(0), field=field).collect() == []
+
+
+def unmarked(row):
+    return pii._MARKED.sub(lambda m: m.group(2), row), [(pii.KINDS.index(m.group(1)), m.group(2)) for m in pii._MARKED.finditer(row)]
+
+
+def test_every_training_row_is_found_in_texts(field):
+    rows = [unmarked(row) for row in pii.TRAINING]
+    quiet = "and some more plain words of a long letter that nobody marks " * 60
+    for before, after in (("", ""), (quiet, ""), ("", " " + quiet), (quiet, " " + quiet)):
+        texts = [before + text + after for text, _ in rows]
+        for text, spans, (_, want) in zip(texts, pii.field_spans(texts, field), rows, strict=True):
+            assert [(k, text[a:b]) for k, a, b in spans] == want
+
+
+def test_addresses_in_words_without_digits(field):
+    texts = ["write to jane.doe at example dot com before noon", "mail max [ at ] posteo [ dot ] de now", "mail MAX (AT) POSTEO (DOT) DE now", "meet me at the dotted line"]
+    found = [[text[a:b] for _, a, b in spans] for text, spans in zip(texts, pii.field_spans(texts, field), strict=True)]
+    assert found == [["jane.doe at example dot com"], ["max [ at ] posteo [ dot ] de"], ["MAX (AT) POSTEO (DOT) DE"], []]
+    assert pii.masked(texts[0], pii.all_spans(texts, field)[0][1]) == "write to [EMAIL] before noon"
+
+
+def test_gate_and_runs_hold_every_plausible_span():
+    rng = random.Random(5)
+    parts = ["at", "At", "dot", "DOT", "[", "]", "(", ")", "@", ".", ":", " ", " ", "\n", "x", "ab.c", "x-dot.y", "İat", "dotİ", "17", "word", "_", "-"]
+    seen = 0
+    for _ in range(40_000):
+        piece = "".join(rng.choice(parts) for _ in range(rng.randint(1, 9))).strip()
+        if any(pii._plausible(kind, piece) for kind in pii.KINDS):
+            seen += 1
+            tokens = pii._TOKEN.findall(piece)
+            assert pii._GATE.search(piece) and pii._near(np.array([pii._telling(t) for t in tokens]), 0), piece
+    assert seen > 3000
+
+
+def test_scores_of_runs_are_the_fields(field):
+    scorer = pii.Scorer(field)
+    for row in pii.TRAINING:
+        tokens = pii._labelled(row)[0]
+        ids = np.array([0, 0, *map(scorer.kind, tokens), 0, 0])
+        mine, before, after, second, shape, _ = scorer.tables()
+        x, y = ids[2:-2], ids[1:-3]
+        scores = mine[x] + before[y] + after[ids[3:-1]] + second[ids[:-4]] + scorer.pairs[shape[x], shape[y]]
+        assert np.allclose(scores, field.scores([pii.token_features(tokens)])[0][0])
+
+
+@pytest.mark.parametrize("gap", [380, 390, 396, 399, 400, 401])
+def test_spans_across_many_tokens_are_whole(field, gap):
+    text = "7 and " * (gap // 2) + "mail bob.lee [at] site [dot] net now"
+    assert "bob.lee [at] site [dot] net" in [text[a:b] for _, a, b in pii.field_spans([text], field)[0]]

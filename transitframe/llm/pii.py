@@ -1,8 +1,8 @@
 """Personal data: exact base patterns, and a linear-chain conditional random field that adds what they miss.
 
-The field labels tokens around digits and at-signs with BIO tags from word-shape features. It is trained on the small
+The field labels tokens with BIO tags from word-shape features, wherever a span could pass its check (``_near``). It is trained on the small
 table ``TRAINING`` below by gradient ascent with forward-backward in numpy, and decoded by Viterbi over numpy batches
-of token windows. Its spans are kept where they pass a plain check of their kind and touch no base span.
+of token runs. Its spans are kept where they pass a plain check of their kind and touch no base span.
 
 Spans are in code points, end exclusive, ordered by kind (``KINDS``), then start. Null texts count as empty; texts
 without spans give empty lists. Repeated rows give equal rows; other columns pass through untouched when masking.
@@ -142,7 +142,8 @@ TRAINING = (
 )
 _MARKED = re.compile(r"\{(\w+)\|([^}]*)\}")
 _TOKEN = re.compile(r"""[^\s"'<>(),;=*#$%&!|{}\[\]:]+|[^\s]""")
-_TRIGGER = re.compile(r"""[0-9@]|[\[(](?:at|dot)[\])]""")
+#: Every text with a plausible span of the field matches this.
+_GATE = re.compile(r"""[0-9@]|:[^:]*:|[dD][oO][tT]|[\[(]\s*[aA][tT]\s*[\])]""")
 _CUES = frozenset("token secret key api_key password passwort pwd tel phone fax call ring telefon mobile card visa credit at dot mail email contact ip host server".split())
 REACH = 6
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
@@ -291,62 +292,167 @@ def _plausible(kind: str, piece: str) -> bool:
     return len(piece) >= 16 and digits != "" and any(c.isalpha() for c in piece) and not any(c.isspace() for c in piece)
 
 
-def _windows(text: str) -> Iterator[list[re.Match]]:
-    """Runs of tokens within REACH tokens of a digit or an at-sign."""
-    if not _TRIGGER.search(text):
-        return
-    at = 0
-    while (hit := _TRIGGER.search(text, at)) is not None:
-        window = list(_TOKEN.finditer(text, max(at, hit.start() - 200), hit.start()))[-REACH - 1 :]
-        start = window[0].start() if window else hit.start()
-        window, quiet = [], 0
-        for m in _TOKEN.finditer(text, start):
-            window.append(m)
-            if _TRIGGER.search(m.group()) or _TRIGGER.match(text, m.start()):
-                quiet = 0
-            elif m.start() > hit.start():
-                quiet += 1
-            if quiet >= REACH or len(window) >= 400:
-                break
-        yield window
-        at = max(window[-1].end(), hit.end())
-
-
-def field_spans(texts: list[str], own: Field) -> list[list[Span]]:
-    """The field's spans of every text, decoded in batches of windows of like length."""
-    out: list[list[Span]] = [[] for _ in texts]
-    jobs = [(k, window) for k, text in enumerate(texts) for window in _windows(text)]
-    jobs.sort(key=lambda x: len(x[1]))
-    for lo in range(0, len(jobs), 256):
-        group = jobs[lo : lo + 256]
-        scores, lengths = own.scores([token_features([m.group() for m in window]) for _, window in group])
-        for (k, window), path in zip(group, own.viterbi(scores, lengths), strict=True):
-            t = 0
-            while t < len(window):
-                name = LABELS[path[t]]
-                if name[0] != "B":
-                    t += 1
-                    continue
+def _telling(token: str) -> int:
+    """1: a token of this kind is in every plausible span, or else two colons (2) or a bracketed "at" (3 between 4 and 5)."""
+    if "@" in token or _DIGIT.search(token):
+        return 1
+    low = token.lower()
+    if "dot" in low and re.search(r"\bdot\b", low):
+        return 1
+    return {":": 2, "at": 3, "[": 4, "(": 4, "]": 5, ")": 5}.get(low, 0)
+
+
+class Scorer:
+    """Emission scores of the field's features, summed from one table row per kind of token."""
+
+    def __init__(self, own: Field):
+        self.own = own
+        shapes = sorted({x for name in own.names if "|" in name and name[0] == "s" for x in name.split("|", 1)})
+        self.shapes = {x: i + 1 for i, x in enumerate(shapes)}
+        self.pairs = np.zeros((len(shapes) + 1, len(shapes) + 1, len(LABELS)))
+        for x, i in self.shapes.items():
+            for y, j in self.shapes.items():
+                if (k := own.names.get(f"{x}|{y}")) is not None:
+                    self.pairs[i, j] = own.emission[k]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.kinds: dict[tuple, int] = {}
+        self.rows: list[tuple] = []
+        self.of_kind(("edge",), 0)
+
+    def of_kind(self, features: tuple[str, ...], telling: int) -> int:
+        kind = self.kinds.get((features, telling))
+        if kind is None:
+            kind = self.kinds[features, telling] = len(self.rows)
+            total = lambda names: self.own.emission[[self.own.names.get(x, -1) for x in names]].sum(0)
+            self.rows.append((total(features), total([f"-{x}" for x in features]), total([f"+{x}" for x in features]),
+                              total([f"--{x}" for x in features if x[:2] in ("c=", "w=", "ed")]), self.shapes.get(features[0], 0), telling))
+        return kind
+
+    def kind(self, token: str) -> int:
+        kind = self.known.get(token)
+        if kind is None:
+            kind = self.of_kind(tuple(_own_features(token)), _telling(token))
+            if len(token) < 50:
+                self.known[token] = kind
+        return kind
+
+    def tables(self) -> list[np.ndarray]:
+        return [np.array(x) for x in zip(*self.rows, strict=True)]
+
+
+def _near(telling: np.ndarray, reach: int, offset: int = 0) -> list[tuple[int, int]]:
+    """Runs of tokens, end exclusive, within ``reach`` tokens of what every plausible span holds; places count from ``offset``."""
+    at = telling == 1
+    if (telling == 2).sum() > 1:
+        at |= telling == 2
+    at[1:-1] |= (telling[1:-1] == 3) & (telling[:-2] == 4) & (telling[2:] == 5)
+    places = np.flatnonzero(at)
+    if not len(places):
+        return []
+    breaks = np.flatnonzero(np.diff(places) > 2 * reach)
+    starts, ends = places[np.r_[0, breaks + 1]], places[np.r_[breaks, len(places) - 1]]
+    return [(offset + max(0, int(x) - reach), offset + min(len(telling), int(y) + reach + 1)) for x, y in zip(starts, ends, strict=True)]
+
+
+def _ranked_spans(texts: list[str], own: Field) -> list[list[list[Span]]]:
+    """The field's plausible spans of every text, in lists of rising rank.
+
+    Decoded are the runs of tokens within REACH of a token that every plausible span holds, each run whole and with its
+    true neighbours. Where a span meets the end of its run, the text's runs are decoded again with twice the reach; spans
+    of the wider runs rank above those of the narrower ones. Lowest rank the spans found close around the telling tokens
+    that a long or implausible span covers.
+    """
+    rounds: list[list[list[Span]]] = [[] for _ in texts]
+    scorer = own.__dict__.get("scorer") or own.__dict__.setdefault("scorer", Scorer(own))
+    if len(scorer.known) > 1 << 18 or len(scorer.rows) > 1 << 15:
+        scorer.forget()
+    kinds, first, size = [0, 0], {}, {}
+    for k, text in enumerate(texts):
+        if _GATE.search(text):
+            tokens = _TOKEN.findall(text)
+            first[k], size[k] = len(kinds), len(tokens)
+            kinds += map(scorer.kind, tokens)
+            kinds += (0, 0)
+    mine, before, after, second, shape, telling = scorer.tables()
+    ids = np.array(kinds)
+    del kinds
+    signs, reach = {k: telling[ids[at : at + size[k]]] for k, at in first.items()}, dict.fromkeys(first, REACH)
+
+    def decode(runs: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        runs = sorted(runs, key=lambda x: x[2] - x[1])
+        lo = 0
+        while lo < len(runs):
+            hi = lo + 1
+            while hi < len(runs) and (hi - lo + 1) * (runs[hi][2] - runs[hi][1]) <= 1 << 16:
+                hi += 1
+            group = runs[lo:hi]
+            lo = hi
+            lengths = np.array([b - a for _, a, b in group])
+            place = np.array([first[k] + a for k, a, _ in group])[:, None] + np.minimum(np.arange(lengths.max()), lengths[:, None] - 1)
+            x, y = ids[place], ids[place - 1]
+            scores = mine[x] + before[y] + after[ids[place + 1]] + second[ids[place - 2]] + scorer.pairs[shape[x], shape[y]]
+            yield from ((*run, path) for run, path in zip(group, own.viterbi(scores, lengths), strict=True))
+
+    def gather(runs: list[tuple[int, int, int]]) -> tuple[set[int], dict[int, list[Span]], list[tuple[int, int, int]]]:
+        """Texts with a span at the end of a run, plausible spans by text, and token ranges of the long and the other spans."""
+        again, found, good, other = set(), {}, {}, []
+        for k, a, b, path in decode(runs):
+            if path[0] and a or path[-1] and b < size[k]:
+                again.add(k)
+            for t in np.flatnonzero(path % 2):  # LABELS: O, then B and I of every kind
                 end = t + 1
-                while end < len(window) and LABELS[path[end]] == f"I-{name[2:]}":
+                while end < len(path) and path[end] == path[t] + 1:
                     end += 1
-                span = (KINDS.index(name[2:]), window[t].start(), window[end - 1].end())
-                if _plausible(name[2:], texts[k][span[1] : span[2]]):
-                    out[k].append(span)
-                t = end
+                found.setdefault(k, []).append((LABELS[path[t]][2:], a + int(t), a + int(end)))
+        for k, spans in found.items():
+            where = [m.span() for m in _TOKEN.finditer(texts[k])]
+            for name, a, b in spans:
+                if _plausible(name, texts[k][where[a][0] : where[b - 1][1]]):
+                    good.setdefault(k, []).append((KINDS.index(name), where[a][0], where[b - 1][1]))
+                    if b - a <= 2 * REACH:
+                        continue
+                other.append((k, a, b))
+        return again, good, other
+
+    todo, wide = set(first), False
+    while todo:
+        todo, good, other = gather([(k, a, b) for k in todo for a, b in _near(signs[k], reach[k])])
+        if not wide:
+            narrow = [(k, max(0, t - REACH), min(size[k], t + REACH + 1)) for k, a, b in other for t, _ in _near(signs[k][a:b], 0, a)]
+            for k, spans in gather(narrow)[1].items():
+                rounds[k].append(sorted(set(spans)))
+        for k, spans in good.items():
+            rounds[k].append(spans)
+        wide = True
+        for k in todo:
+            reach[k] *= 2
+    return rounds
+
+
+def _together(base: list[Span], ranked: list[list[Span]]) -> list[Span]:
+    """``base`` and, from the highest rank down, the spans that touch none taken before."""
+    out = list(base)
+    for spans in reversed(ranked):
+        for x in sorted(spans):
+            if all(x[2] <= y[1] or x[1] >= y[2] for y in out):
+                out.append(x)
     return out
 
 
+def field_spans(texts: list[str], own: Field) -> list[list[Span]]:
+    """The field's spans of every text, by place."""
+    return [sorted(_together([], ranked), key=lambda x: x[1:]) for ranked in _ranked_spans(texts, own)]
+
+
 def all_spans(texts: list[str], own: Field) -> list[tuple[list[Span], list[Span]]]:
     """For every text the base spans and all spans, each sorted."""
     result = []
-    for text, added in zip(texts, field_spans(texts, own), strict=True):
+    for text, ranked in zip(texts, _ranked_spans(texts, own), strict=True):
         base = sorted(base_spans(text))
-        spans = list(base)
-        for x in sorted(set(added)):
-            if all(x[2] <= y[1] or x[1] >= y[2] for y in spans):
-                spans.append(x)
-        result.append((base, sorted(spans)))
+        result.append((base, sorted(_together(base, ranked))))
     return result
 
 
