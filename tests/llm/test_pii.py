@@ -3,13 +3,16 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from transitframe.llm import pii
 
+DOCUMENTS = Path("/root/testdata/sf0.1/documents.parquet")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([ -]?[0-9])+")
@@ -134,3 +137,10 @@ def test_scores_of_runs_are_the_fields(field):
 def test_spans_across_many_tokens_are_whole(field, gap):
     text = "7 and " * (gap // 2) + "mail bob.lee [at] site [dot] net now"
     assert "bob.lee [at] site [dot] net" in [text[a:b] for _, a, b in pii.field_spans([text], field)[0]]
+
+
+@pytest.mark.skipif(not DOCUMENTS.exists(), reason="no documents")
+def test_training_values_are_not_taken_from_the_documents():
+    values = [v for row in pii.TRAINING for v in re.findall(r"[0-9A-Za-z]{16,}", unmarked(row)[0]) if re.search("[0-9]", v)]
+    texts = [t.lower() for t in pq.read_table(DOCUMENTS, columns=["text"])["text"].to_pylist() if t]
+    assert len(values) >= 8 and [v for v in values if any(v.lower() in t for t in texts)] == []
