@@ -163,3 +163,89 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from transitframe.llm import licences
 
     return licences.scan(_documents(spark, sf_dir), licences.known_licences(spark))
+
+
+def _crc_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes in SQL, with the byte table ``crc_table`` in scope."""
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"
+
+
+_CRC_TABLE = """crc_table as (
+    select list(v order by i) as t
+    from (select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v from range(256) r(i))
+)"""
+
+
+def _lower_sql(text: str) -> str:
+    return f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op11_resampling", f"""
+with {_CRC_TABLE},
+d as (select doc_id, regexp_extract_all({_lower_sql('text')}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') as w from documents),
+b as (select regexp_extract_all({_lower_sql('text')}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') as w from benchmark),
+dw as (select doc_id, w, count(*) as n from (select doc_id, unnest(w) as w from d) group by doc_id, w),
+bw as (select w, count(*) as n from (select unnest(w) as w from b) group by w),
+vocabulary as (select w, {_crc_sql('w')} % 10000 as bucket from (select distinct w from (select w from dw union all select w from bw)), crc_table),
+s as (select bucket, sum(n) as s from dw join vocabulary using (w) group by bucket),
+t as (select bucket, sum(n) as t from bw join vocabulary using (w) group by bucket),
+gains as (
+    select r.bucket, cast(floor(1000.0::double * ln(cast((coalesce(t, 0) + 1) * ((select coalesce(sum(s), 0) from s) + 10000) as double)
+                                                    / cast((coalesce(s, 0) + 1) * ((select coalesce(sum(t), 0) from t) + 10000) as double))) as bigint) as gain
+    from range(10000) r(bucket) left join s using (bucket) left join t using (bucket)
+),
+weights as (select doc_id, cast(floor(sum(n * gain) / cast(sum(n) as double)) as bigint) as weight from dw join vocabulary using (w) join gains using (bucket) group by doc_id),
+scored as (
+    select d.doc_id, cast(len(w) as bigint) as n_features, coalesce(weight, 0) as weight,
+           coalesce(weight, 0) + cast(floor(-1000.0::double * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::bigint + 0.5::double) / 4294967296.0::double))) as bigint) as score
+    from d left join weights using (doc_id)
+),
+ranked as (select doc_id, row_number() over (order by score desc, doc_id) as rank from scored where n_features >= 20)
+select scored.*, case when rank <= (select count(*) * 10 // 100 from ranked) then rank end as rank from scored left join ranked using (doc_id)
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from transitframe.llm.resampling import resample
+
+    return resample(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_fingerprints")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from transitframe.llm.fingerprints import fingerprints
+
+    return fingerprints(_documents(spark, sf_dir))
+
+
+@query("op13_spelling_variants", f"""
+with recursive {_CRC_TABLE},
+runs as (
+    select doc_id, w, count(*) as n
+    from (select doc_id, unnest(regexp_extract_all({_lower_sql('text')}, '[a-z\\x{{C0}}-\\x{{FF}}]+')) as w from documents) group by doc_id, w
+),
+hashed as (select w, n, {_crc_sql("coalesce(cast(doc_id as varchar), '') || ':' || w")} as h from runs, crc_table),
+results as (select case when h % 199 = 0 then substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) else w end as word, n from hashed),
+words as (select word, cast(sum(n) as bigint) as n from results where length(word) >= 6 group by word having sum(n) >= 5),
+drops as (select word, n, i, substr(word, 1, i) || substr(word, i + 2) as rest from (select word, n, unnest(range(length(word))) as i from words)),
+near as (
+    select a.word, b.word as other, b.n as other_n from drops a join drops b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+    union select d.word, w.word, w.n from drops d join words w on w.word = d.rest
+    union select w.word, d.word, d.n from drops d join words w on w.word = d.rest
+),
+best as (select word, count(*) as n_near, max(other_n) as top from near group by word),
+forms as (
+    select word, min(encode(other)) as form, any_value(top) as form_n from near join best using (word) join words using (word)
+    where other_n = top and top >= 5 * n group by word
+),
+chain as (
+    select word, word as here, 0 as steps from words
+    union all select c.word, decode(f.form), c.steps + 1 from chain c join forms f on f.word = c.here
+),
+roots as (select word, arg_max(here, steps) as root from chain group by word)
+select w.word, decode(f.form) as form, root, n, coalesce(n_near, 0) as n_near, form_n
+from words w join roots using (word) left join best using (word) left join forms f using (word)
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from transitframe.llm.spelling import variants
+
+    return variants(_documents(spark, sf_dir))
