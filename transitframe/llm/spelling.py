@@ -163,11 +163,9 @@ def _keys(symbols: int, neighbours: bool):
 def near_pairs(words: DataFrame, symbols: int = 8) -> DataFrame:
     """(id, near, near_n): every ordered pair of words exactly one edit apart. ``words``: id, word, n."""
     keys = lambda every: words.select("id", "word").mapInArrow(_keys(symbols, every), "key long, id long")
-    own = keys(False).withColumnRenamed("id", "near_id")
-    met = keys(True).join(own, "key").where("id <> near_id").select("id", "near_id")
-    texts = words.select(F.col("id").alias("near_id"), F.col("word").alias("near"), F.col("n").alias("near_n"))
-    met = met.join(texts, "near_id").join(words.select("id", "word"), "id")
-    return met.where(F.levenshtein("word", "near", 1) == 1).select("id", "near", "near_n")
+    own = keys(False).join(words.select("id", F.col("word").alias("near"), F.col("n").alias("near_n")), "id").withColumnRenamed("id", "near_id")
+    met = keys(True).join(own, "key").where("id <> near_id").select("id", "near", "near_n")
+    return met.join(words.select("id", "word"), "id").where(F.levenshtein("word", "near", 1) == 1).select("id", "near", "near_n")
 
 
 def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_length: int = 6, least_count: int = 5, typo: int = 199,
