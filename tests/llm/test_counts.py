@@ -118,6 +118,16 @@ def test_mixing_edge_cases(spark):
     assert {r.doc_id for r in out} <= {1, 2, 3, None} and sum(r.doc_id == 1 for r in out) % 2 == 0
 
 
+def test_mixing_rows_without_ids(spark):
+    """Rows without an id are told apart by their texts, so a quota is met to within a row."""
+    rows = [(None, f"text {i} " + "word " * (i % 9), f"s{i % 2}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(docs, budget_share=0.5, repetitions=1.0).collect()
+    budget = sum(len(r[1].split()) for r in rows) // 2
+    assert budget - 2 * 11 <= sum(len(r.text.split()) for r in out) <= budget
+    assert len({r.text for r in out}) == len(out)
+
+
 def test_licences(spark):
     mit = licences._MIT
     noisy = "Copyright (c) 2020 Jane Doe\nAll rights reserved.\n\n" + mit.upper().replace('"', "``").replace("SUBLICENSE", "sub-licence")

@@ -95,7 +95,32 @@ def test_edge_cases(spark):
     assert got == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (6, 1, 6), (7, 59_997, 7), (8, 59_998, 7), (8, 59_998, 7), (None, 1, 4), (None, 0, None)], key=str)
     kept = jaccard.first_of_each(docs, words=4, percent=85)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 6, 7]
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 7]
+
+
+def near(n, changed):
+    """A text of 60 words with ``changed`` of its words replaced, counted from either end."""
+    words = [f"w{i}" for i in range(60)]
+    for at in changed:
+        words[at] = f"other{n}"
+    return " ".join(words)
+
+
+def test_links_through_texts_without_an_id(spark):
+    """1 and 2 are linked only by way of a text whose rows have no id."""
+    rows = [(1, near(1, [0, 1, 2])), (None, near(0, [])), (None, near(0, [])), (2, near(2, [57, 58, 59])), (3, "apart " * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.jaccard_components(docs, words=4, percent=88).collect()
+    assert sorted(((r.doc_id or 0), r.component_id) for r in got) == [(0, 1), (0, 1), (1, 1), (2, 1), (3, 3)]
+    assert [(r.doc_id, r.text) for r in jaccard.first_of_each(docs, words=4, percent=88).orderBy("doc_id").collect()] == [rows[0], rows[4]]
+
+
+def test_only_the_near_text_of_an_id_goes(spark):
+    rows = [(1, near(0, [])), (5, near(1, [0])), (5, "an unrelated clean text of one and the same id"), (5, near(1, [0])), (6, ""), (None, near(2, [59])), (None, "no id at all here"), (7, None)]
+    rows += [(8, f"one of many texts of an id {i} with words {i * 7} and {i * 11}") for i in range(30)]
+    docs = spark.createDataFrame([(*r, 3) for r in rows], "doc_id long, text string, rows int")
+    kept = sorted(((r.doc_id, r.text) for r in jaccard.first_of_each(docs, words=4, percent=85).collect()), key=repr)
+    assert kept == sorted([rows[0], rows[2], rows[4], rows[6], rows[7], *rows[8:]], key=repr)
 
 
 def test_empty_table(spark):

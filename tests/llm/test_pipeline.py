@@ -76,4 +76,4 @@ def test_empty_tables_and_extra_columns(spark, tmp_path):
 
 def test_one_query_each():
     numbers = sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES)
-    assert numbers == list(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
+    assert numbers == list(range(1, 14)) and set(queries.ORACLES) <= set(queries.QUERIES)

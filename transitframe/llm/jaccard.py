@@ -10,8 +10,9 @@ Texts become sets of word shingles (64-bit hashes). Two sets link when ``100 * i
 3. Each class is checked with one class of its tiles, the one that shares most tiles with others; links found so are
    contracted to components. A large group of copies mostly ends here.
 4. Tiles whose members still lie in several components are compared in blocks: XOR bitmaps bound the intersection
-   from above. While that finds many links, each class is checked with its nearest one of another component; then every
-   pair left between components that passes the bound is intersected exactly.
+   from above. While that finds many links, each class is checked with its nearest one of another component in every
+   tile; then every pair left between components that passes the bound is intersected exactly. A tile without further
+   pairs that pass is dropped after a round.
 
 Nulls and texts without words have the empty set and link with nothing. Repeated rows are one class.
 """
@@ -192,12 +193,16 @@ def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # equal rows met by the same task give their set once
         for batch in batches:
             wanted = batch.column(0).to_pylist()
             out: list[tuple] = []
             held = 0
             for want, own in zip(wanted, shingle_sets(batch.column(1), words), strict=True):
-                if len(own) and _class_of(own) == want:
+                if len(own) and want not in seen and _class_of(own) == want:
+                    if len(seen) >= _SEEN:
+                        seen.clear()
+                    seen.add(want)
                     out.append((want, len(own), _bitmap(own), own.tobytes()))
                     held += own.nbytes
                 if held > 8 << 20:
@@ -250,7 +255,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _tiles(percent: int, nearest: bool):
     """Rows sorted by tile (key, i, j): pairs of different components that the size and bitmap bounds let pass.
 
-    Columns (a, b, gap); gap is the share of differing bits. ``nearest``: for each class of the tile its best pair only.
+    Columns (key, a, b, more). ``nearest``: for each class of the tile its best pair only, the one of least share of
+    differing bits; ``more`` says that the class has others.
     """
 
     def pairs(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -262,13 +268,13 @@ def _tiles(percent: int, nearest: bool):
             differing = np.bitwise_count(bits[near] ^ bits[i]).sum(1).astype(np.int64)
             passed = bound_passes(n[near], n[i], differing, percent)
             if passed.any():
-                b, gap = of[near[passed]], differing[passed] / (n[near[passed]] + n[i])
+                b, more = of[near[passed]], nearest and len(passed.nonzero()[0]) > 1
                 if nearest:
-                    best = np.lexsort([b, gap])[:1]
-                    b, gap = b[best], gap[best]
-                found.append((np.full(len(b), of[i]), b, gap))
+                    b = b[np.lexsort([b, differing[passed] / (n[near[passed]] + n[i])])[:1]]
+                found.append((np.full(len(b), of[i]), b, np.full(len(b), more)))
         if found:
-            yield _pairs_batch(["a", "b", "gap"], *(np.concatenate(x) for x in zip(*found, strict=True)))
+            a, b, more = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield _pairs_batch(["key", "a", "b", "more"], np.full(len(a), rows["key"][0]), a, b, more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
@@ -330,33 +336,40 @@ def _central(shared: DataFrame) -> DataFrame:
 
 
 def _links(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Enough exact links (a, b) that their components are those of all links."""
+    """Enough exact links (a, b) that their components are those of all links.
+
+    Components only grow, and every pair found is intersected exactly. So only tiles in which a class passed the bounds
+    with more classes than its nearest one can still hold a link: each round passes these alone to the next.
+    """
+    found_columns = "key long, a long, b long, more boolean"
+    distinct_pairs = lambda rows: rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = store(_verify(_central(shared), sets, percent))
+    live = shared
     while True:
-        tiles = _open_tiles(shared, components(links), sets)
-        found = tiles.mapInArrow(_tiles(percent, nearest=True), "a long, b long, gap double")
-        new = store(_verify(found.groupBy("a").agg(F.min_by("b", F.struct("gap", "b")).alias("b")), sets, percent))
-        if not new.take(1):
-            break
-        before, links = links, store(links.unionByName(new))
-        few = new.count() * 20 < before.count()
-        discard(before, new)
-        if few:  # what is left is little work for all pairs
-            tiles = _open_tiles(shared, components(links), sets)
+        tiles = _open_tiles(live, components(links), sets)
+        found = store(tiles.mapInArrow(_tiles(percent, nearest=True), found_columns))
+        new = store(_verify(distinct_pairs(found), sets, percent))
+        fewer = store(live.join(found.where("more").select("key").distinct(), "key", "left_semi"))
+        discard(found, *([live] if live is not shared else []))
+        live = fewer
+        n_new, n_links = new.count(), links.count()
+        if n_new:
+            before, links = links, store(links.unionByName(new))
+            discard(before)
+        discard(new)
+        if n_new * 20 <= n_links:  # what is left is little work for all pairs
             break
-    pairs = tiles.mapInArrow(_tiles(percent, nearest=False), "a long, b long, gap double").select("a", "b").distinct()
-    return store(links.unionByName(_verify(pairs, sets, percent)))
+    tiles = _open_tiles(live, components(links), sets)
+    pairs = distinct_pairs(tiles.mapInArrow(_tiles(percent, nearest=False), found_columns))
+    all_links = store(links.unionByName(_verify(pairs, sets, percent)))
+    discard(links, live)
+    return all_links
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per input row: id, ``n_shingles`` and ``component_id`` (least id reachable by links, itself included).
-
-    Null, empty and blank texts have no shingles and are their own component; a repeated id with equal text shares
-    a component; other columns of ``docs`` are ignored. An id that is null stands alone unless its group holds one.
-    """
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def _grouped(slim: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of (row_key, id, text) rows: the stored (row_key, id, n_shingles, set_class, root) and the links between classes."""
     id_type = slim.schema["id"].dataType.simpleString()
-    kept = store(slim.mapInArrow(_classes(words), f"id {id_type}, n_shingles long, set_class long"))
+    kept = store(slim.select("row_key", "id", "text").mapInArrow(_classes(words), f"row_key long, id {id_type}, n_shingles long, set_class long"))
     largest = kept.agg(F.max("n_shingles")).first()[0] or 0
     borders = _bands(percent, largest)
     keys = slim.select("text").mapInArrow(_keys(words, percent, borders), "key long, set_class long")
@@ -364,26 +377,50 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         keys.repartition("key").sortWithinPartitions("key", "set_class").mapInArrow(_leaders, "key long, leader long, member long")
     )
     involved = shared.select(F.col("leader").alias("set_class")).union(shared.select("member")).distinct()
-    holders = kept.where("n_shingles > 0").groupBy("set_class").agg(F.min("id").alias("id")).join(involved, "set_class", "left_semi")
+    # a class is read from one of its rows, told by id and text: a null or repeated id is no other than a single one
+    holders = kept.where("n_shingles > 0").groupBy("set_class").agg(F.min("row_key").alias("row_key")).join(involved, "set_class", "left_semi")
     sets = store(
-        slim.join(holders, "id").select("set_class", "text").mapInArrow(_sets(words), "set_class long, n long, bits binary, items binary")
-        .dropDuplicates(["set_class"])
+        slim.select("row_key", "text").join(holders, "row_key").select("set_class", "text")
+        .mapInArrow(_sets(words), "set_class long, n long, bits binary, items binary").dropDuplicates(["set_class"])
     )
     links = _links(shared, sets, percent)
     discard(shared, sets)
-    roots = components(links)
-    own = kept.join(roots.select(F.col("node").alias("set_class"), "root"), "set_class", "left").withColumn("root", F.coalesce("root", "set_class"))
+    roots = components(links).select(F.col("node").alias("set_class"), "root")
+    own = kept.join(roots, "set_class", "left").withColumn("root", F.coalesce("root", "set_class"))
+    return own, links
+
+
+def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.xxhash64(id_col, text_col).alias("row_key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """One row per input row: id, ``n_shingles`` and ``component_id`` (least id reachable by links, itself included).
+
+    Null, empty and blank texts have no shingles and are their own component; each text of a repeated id is compared, and
+    equal texts share a component; other columns of ``docs`` are ignored. A null id takes the least id of its group, or
+    null if the group has none; links through texts without an id count.
+    """
+    own, _ = _grouped(_slim(docs, id_col, text_col), words, percent)
     least = own.where("n_shingles > 0").groupBy("root").agg(F.min("id").alias("least"))
     return own.join(least, "root", "left").select(
         F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("least", "id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component left: a row of the least id. Repeated rows count as copies; null ids all stay."""
-    groups = jaccard_components(docs, id_col, text_col, words, percent)
-    lost = groups.where(F.col(id_col) > F.col("component_id")).select(id_col).distinct()
+    """``docs`` with one row of each component left: the row of the least id (nulls last), then of the least hash of its text.
+
+    A row goes only for its own text: another text under the same id stays. Of equal ids and texts one row stays. Texts
+    without words link with nothing and stay. Only the keys of rows that go or repeat meet the documents.
+    """
+    own, _ = _grouped(_slim(docs, id_col, text_col), words, percent)
+    rows = own.where("n_shingles > 0").groupBy("root", "row_key").agg(F.first("id").alias("id"), F.count("*").alias("rows"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key")).alias("first"))
+    fates = store(
+        rows.join(first, "root").select("row_key", F.when(F.col("row_key") != F.col("first.row_key"), "goes").when(F.col("rows") > 1, "repeats").alias("fate"))
+        .where("fate is not null"))
     whole = F.struct(*[F.col(c) for c in docs.columns]).alias("doc")  # keeps the documents' names apart
-    rows = docs.select(whole, F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"))
-    left = rows.join(lost.withColumnRenamed(id_col, "id"), "id", "left_anti")
-    kept = left.where("id is not null").dropDuplicates(["id", "text_hash"]).unionByName(left.where("id is null"))
-    return kept.select("doc.*")
+    keyed = docs.select(whole, F.xxhash64(id_col, text_col).alias("row_key"))
+    single = keyed.join(fates.select("row_key"), "row_key", "left_anti")
+    repeated = keyed.join(fates.where("fate = 'repeats'").select("row_key"), "row_key", "left_semi").dropDuplicates(["row_key"])
+    return single.select("doc.*").unionByName(repeated.select("doc.*"))

@@ -7,7 +7,7 @@ blocks and ordered by hash within them, a different permutation for each copy; t
 does. Only the per-source table meets the documents, so their texts are never shuffled.
 
 A null source is a source of its own. Null and empty texts have no tokens; a source without tokens gets no weight.
-Equal rows share a place and are taken or left together. No rows, or a budget of 0, give no rows.
+Rows equal in all columns (but maps) share a place and are taken or left together; rows without an id are told apart by the others. No rows, or a budget of 0, give no rows.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from transitframe.llm.common import broadcast_if_small, store
 
@@ -90,6 +91,10 @@ def _place(copy: Column, blocks: Column, row: Column) -> tuple[Column, Column]:
     return F.pmod(F.xxhash64(row, copy, F.lit(1)), blocks), F.xxhash64(row, copy, F.lit(2))
 
 
+def _hashes(kind: DataType) -> bool:
+    return "map<" not in kind.simpleString() and "variant" not in kind.simpleString()
+
+
 def mix(docs: DataFrame, budget_share: float = 1.0, entropy: float | None = None, repetitions: float | None = None,
         id_col: str = "doc_id", source_col: str = "source", tokens: Column | None = None) -> DataFrame:
     """``docs`` repeated and cut to the mixture, with ``mix_copy`` (from 0), ``mix_block`` and ``mix_order``.
@@ -100,7 +105,7 @@ def mix(docs: DataFrame, budget_share: float = 1.0, entropy: float | None = None
     tokens = word_tokens() if tokens is None else tokens
     rows = docs.select(
         F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), source_key(F.col(source_col)).alias("_key"), tokens.alias("_tokens"),
-        F.xxhash64(F.col(id_col), F.col(source_col)).alias("_row"))
+        F.xxhash64(F.col(id_col), F.col(source_col), *[F.col(c) for c in docs.columns if c not in (id_col, source_col) and _hashes(docs.schema[c].dataType)]).alias("_row"))
     slim = store(rows.select("_key", "_tokens", "_row"))
     sources = store(source_tokens(slim))
     total = sources.agg(F.sum("tokens")).first()[0] or 0
