@@ -131,12 +131,23 @@ def test_times(spark):
 # --- ordered operators ----------------------------------------------------------------------------------------
 
 
+def test_one_document_with_sparse_line_numbers_is_carried_in_even_runs(spark):
+    """All rows in one document, line numbers 5,000 apart: runs of equal size, the state passes through all of them."""
+    n = 40_000
+    lines = spark.range(n).select(F.lit("d").alias("doc"), (F.col("id") % 3 * 0 + 1).alias("page"), (F.col("id") * 5000).alias("line_no"), F.col("id").alias("i"))
+    sizes = sorted(r["count"] for r in ordered.segments(lines, ["doc"], ["page", "line_no"]).groupBy("_part").count().collect())
+    assert len(sizes) > 1 and sizes[-1] < 4 * sizes[len(sizes) // 2]
+    state = ordered.carry_forward(lines, ["doc"], ["page", "line_no"], {"a": F.when(F.col("i") == 7, "first"), "b": F.when(F.col("i") % 9000 == 0, F.col("i"))})
+    wrong = state.filter(~F.col("a").eqNullSafe(F.when(F.col("i") >= 7, "first")) | (F.col("b") != F.floor(F.col("i") / 9000) * 9000))
+    assert state.count() == n and wrong.count() == 0
+
+
 def test_block_operators_match_plain_loops(spark):
     rng = random.Random(3)
     rows = [(g, i, rng.choice([None, None, "a", "b"]), rng.random()) for g in range(3) for i in range(57)]
     df = spark.createDataFrame(rows, "g int, t int, s string, v double")
     block = F.floor(F.col("t") / 10)
-    carried = {(r.g, r.t): r.e for r in ordered.carry_forward(df, ["g"], ["t"], block, {"e": F.col("s")}).collect()}
+    carried = {(r.g, r.t): r.e for r in ordered.carry_forward(df, ["g"], ["t"], {"e": F.col("s")}).collect()}
     summed = {(r.g, r.t): r.c for r in ordered.running_sum(df, ["g"], ["t"], block, "v", "c").collect()}
     numbered = {(r.g, r.t): r.n for r in ordered.number_rows(df.filter("t % 2 = 0"), ["g"], ["t"], block, "n").collect()}
     for g in range(3):

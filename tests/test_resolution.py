@@ -102,40 +102,6 @@ def test_variant_candidates(spark):
         assert [x[1:] for x in sorted(got.get(name, []))] == [(r, round(s, 9)) for s, r, _ in best]
 
 
-def test_resolve_addresses(spark):
-    names = street_names(7, 50)
-    registry = [(f"{i:05d}", n) for i, n in enumerate(street_names(8, 50))]
-    df = spark.createDataFrame([(f"Terminal, {n}, Brasil",) for n in names], "address string")
-    reg = spark.createDataFrame(registry, "street_code string, street string")
-    official = [f"{c} {n}" for c, n in registry]
-
-    def lcs(a, b):
-        row = [0] * (len(b) + 1)
-        for x in a:
-            last = 0
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], (last + 1 if x == y else max(row[j], row[j - 1]))
-        return row[-1]
-
-    def percent(a, b):
-        return 200.0 * lcs(a, b) / (len(a) + len(b))
-
-    def score(a, b):
-        return max(percent(a, b), 0.95 * percent(" ".join(sorted(a.split())), " ".join(sorted(b.split()))))
-
-    assert all(abs(similarity.weighted_percent(a, b) - score(a, b)) < 1e-9 for a in names[:15] for b in official[:15])
-    typed = ("RUA ", "AVENIDA ", "TRAVESSA ")
-    for r in resolve.resolve_addresses(df, reg).collect():
-        name = r.address.split(", ")[1]
-        if not name.startswith(typed):
-            continue
-        scored = sorted((-score(name, x), x) for x in official)
-        if -scored[0][0] >= rules.ADDRESS_SCORE:
-            assert (r.street, r.match_score) == (scored[0][1], round(-scored[0][0], 1))
-        else:
-            assert (r.street, r.match_score) == (f"REVISAR: {name}", 0.0)
-
-
 def test_street_cascade_against_loops(spark):
     rng = random.Random(9)
     registry = [(f"{i:05d}", n, i) for i, n in enumerate(street_names(10, 40))]

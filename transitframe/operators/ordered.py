@@ -50,35 +50,47 @@ def running_sum(
     )
 
 
-def carry_forward(
-    df: DataFrame, group: list[str], order: list[str], block: Column, events: dict[str, Column]
-) -> DataFrame:
+def segments(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """``df`` cut into runs of equal size of its (group, order) sequence, numbered by ``_part``.
+
+    The bounds come from the rows themselves, so neither a long group nor sparse order values make uneven runs. Written
+    once: the bounds are sampled and must not be drawn again.
+    """
+    keys = [F.col(c).asc_nulls_first() for c in [*group, *order]]
+    return cut_lineage(df.repartitionByRange(*keys).sortWithinPartitions(*keys)).withColumn("_part", F.spark_partition_id())
+
+
+def carry_forward(df: DataFrame, group: list[str], order: list[str], events: dict[str, Column]) -> DataFrame:
     """WN2: last non-null value of each event column up to and including the row.
 
-    Sections that never end are fine: the state entering a block comes from the block summaries.
+    A segmented scan: each run of ``segments`` is carried on its own, and what enters a run is the last value of the
+    group's earlier runs. A group has one summary row per run it reaches into, at most one per task of the sort.
     """
-    marked = df.withColumn("_block", block)
+    marked = df
     for name, event in events.items():
         marked = marked.withColumn(name, event)
+    marked = segments(marked, group, order)
     position = F.struct(*[F.col(c) for c in order])
-    summary = marked.groupBy(*group, "_block").agg(
+    summary = marked.groupBy(*group, "_part").agg(
         *[F.max_by(F.col(n), F.when(F.col(n).isNotNull(), position)).alias(f"_last_{n}") for n in events]
     )
-    before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     entering = summary.select(
-        *group,
-        "_block",
+        *[F.col(c).alias(f"_of_{c}") for c in group], F.col("_part").alias("_of_part"),
         *[F.last(f"_last_{n}", ignorenulls=True).over(before).alias(f"_in_{n}") for n in events],
-    )
-    inside = Window.partitionBy(*group, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ).dropna("all", subset=[f"_in_{n}" for n in events])
+    inside = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     carried = marked.select(
         *[c for c in marked.columns if c not in events],
         *[F.last(n, ignorenulls=True).over(inside).alias(n) for n in events],
     )
-    out = carried.join(entering, [*group, "_block"])
+    same = F.col("_part") == F.col("_of_part")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    out = carried.join(entering, same, "left")
     for name in events:
         out = out.withColumn(name, F.coalesce(name, f"_in_{name}"))
-    return out.drop("_block", *[f"_in_{n}" for n in events])
+    return out.drop("_part", "_of_part", *[f"_of_{c}" for c in group], *[f"_in_{n}" for n in events])
 
 
 def neighbour(df: DataFrame, group: list[str], columns: dict[str, str], seq: str = "seq", step: int = 1) -> DataFrame:

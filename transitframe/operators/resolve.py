@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from transitframe import rules
 from transitframe.functions import codes
 from transitframe.functions import text as tx
-from transitframe.functions.similarity import jaccard, mixed_score, sequence_ratio, weighted_ratio
-from transitframe.operators.candidates import containment_join, jaccard_join, ratio_candidates, ratio_join
+from transitframe.functions.similarity import jaccard, mixed_score, sequence_ratio
+from transitframe.operators.candidates import containment_join, jaccard_join, ratio_join
 from transitframe.operators.ordered import best_per_key, last_wins, top_per_group
 from transitframe.session import cut_lineage
 
@@ -111,31 +111,6 @@ def resolve_streets(queries: DataFrame, line_streets: DataFrame, registry: DataF
     )
 
 
-def resolve_addresses(addresses: DataFrame, registry: DataFrame) -> DataFrame:
-    """ER2: full address -> official 'code name' with score >= 80, else 'REVISAR: name' and score 0."""
-    extracted = addresses.select("address").distinct().withColumn("text", codes.expand(codes.street_of_address("address"), "address"))
-    official = registry.select(
-        F.concat_ws(" ", "street_code", codes.expand(F.upper("street"), "address")).alias("text")
-    ).distinct()
-    # both ratios are bounded by the shared characters; each by the edit distance of its own word order
-    pairs = ratio_candidates(extracted.select("text").distinct(), official, "text", rules.ADDRESS_SCORE / 100.0, word_order=False)
-    total = F.length("l_text") + F.length("r_text")
-    in_order = lambda c: F.array_join(F.array_sort(F.split(c, " ")), " ")
-    plain, by_words = rules.ADDRESS_SCORE / 100.0, rules.ADDRESS_SCORE / 95.0
-
-    def near(a, b, ratio):
-        return F.call_function("levenshtein", a, b, F.floor(F.lit(1.0 - ratio) * total + F.lit(1e-9)).cast("int")) >= 0
-
-    close = pairs.filter(near(F.col("l_text"), F.col("r_text"), plain) | near(in_order("l_text"), in_order("r_text"), by_words))
-    scored = close.withColumn("score", weighted_ratio("l_text", "r_text")).filter(F.col("score") >= rules.ADDRESS_SCORE)
-    best = best_per_key(scored, ["l_text"], "score", ["r_text"], ["r_text"]).withColumnRenamed("l_text", "text")
-    return extracted.join(best, "text", "left").select(
-        "address",
-        F.coalesce("r_text", F.concat(F.lit("REVISAR: "), "text")).alias("street"),
-        F.coalesce(F.round("score", 1), F.lit(0.0)).alias("match_score"),
-    )
-
-
 def similar_pairs(streets: DataFrame, prefixes: tuple[str, ...] = rules.CORE_PREFIXES_REPORT) -> DataFrame:
     """ER3: pairs of distinct streets that share a core word and have 0.82 <= ratio < 1.
 

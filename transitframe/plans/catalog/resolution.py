@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from transitframe import rules
 from transitframe.functions import text as tx
+from transitframe.operators import addresses as address_names
 from transitframe.operators import aggregates, numbering, resolve
 from transitframe.operators.candidates import containment_join
 from transitframe.plans import domain as d
@@ -17,10 +18,11 @@ _N = "named_itinerary"
 
 
 def coded_lines(spark, sf):
-    """Streets already coded per line: every second itinerary row, spelled out."""
-    it = d.named_itinerary(spark, sf).filter("part_key % 2 = 0 and street_code is not null")
+    """Streets already coded per line, spelled out; those of odd parts under an older name."""
+    it = d.named_itinerary(spark, sf).filter("street_code is not null")
+    older = F.when(F.col("part_key") % 2 == 1, F.concat("manual_street", F.lit(" ANTIGA"))).otherwise(F.col("manual_street"))
     return it.select(
-        F.regexp_extract("line_name", r"^(\d{4})", 1).alias("line_num"), "direction", F.col("manual_street").alias("street"), "street_code",
+        F.regexp_extract("line_name", r"^(\d{4})", 1).alias("line_num"), "direction", older.alias("street"), "street_code",
         F.struct("ord", "seq").alias("ord"),
     )
 
@@ -55,7 +57,19 @@ def sm5(spark, sf):
 
 @query("ER2_resolve_addresses")
 def er2(spark, sf):
-    return resolve.resolve_addresses(addresses(spark, sf).select("address"), d.registry(spark, sf))
+    return address_names.resolve_addresses(addresses(spark, sf).select("address"), d.registry(spark, sf))
+
+
+@query("ER2_unmatched_addresses")
+def er2_unmatched(spark, sf):
+    rows = addresses(spark, sf).select("address", F.struct("l_orderkey", "l_linenumber").alias("place"))
+    return address_names.unmatched_addresses(rows, address_names.resolve_addresses(rows, d.registry(spark, sf)), "place")
+
+
+@query("ER2_match_rates")
+def er2_rates(spark, sf):
+    rows = addresses(spark, sf).select("address")
+    return address_names.match_rates(rows, address_names.resolve_addresses(rows, d.registry(spark, sf)))
 
 
 @query("ER3_similar_pairs")
@@ -73,7 +87,7 @@ def er4(spark, sf):
 
 @query("ER5_closest")
 def er5(spark, sf):
-    used = d.manual_itinerary(spark, sf).select(F.col("street").alias("candidate"))
+    used = d.manual_copy(spark, sf).select(F.col("street").alias("candidate"))
     wrong = d.streets(spark, sf).select(F.concat("street", F.lit(" NORTE")).alias("name"))
     return resolve.closest(wrong, used).withColumn("score", F.round("score", 6))
 
@@ -104,10 +118,10 @@ def er6(spark, sf):
 
 @query("ER7_name_clusters")
 def er7(spark, sf):
-    return resolve.similar_name_clusters(d.manual_itinerary(spark, sf).withColumnRenamed("line_key", "ord"))
+    return resolve.similar_name_clusters(d.manual_copy(spark, sf).withColumnRenamed("line_key", "ord"))
 
 
-_CANON = f"""x AS (SELECT DISTINCT (part_key // 3)::VARCHAR AS street_code, street FROM itinerary), m AS (SELECT DISTINCT {o.n2('street')} AS key FROM manual_itinerary WHERE line_key % 2 = 1),
+_CANON = f"""x AS (SELECT DISTINCT (part_key // 3)::VARCHAR AS street_code, street FROM itinerary), m AS (SELECT DISTINCT {o.n2('street')} AS key FROM manual_copy),
 r AS (SELECT *, {o.n2('street')} AS key, {o.accent_score('street')} AS acc, {o.n2('street')} IN (SELECT key FROM m) AS known FROM x),
 g AS (SELECT street_code, count(*) AS spellings, count(*) FILTER (known) AS km, max(street) FILTER (known) AS ms, count(DISTINCT key) AS nk, arg_min(street, (-acc, street)) AS accented FROM r GROUP BY 1 HAVING count(*) > 1),
 canon AS (SELECT street_code, spellings, CASE WHEN km = 1 THEN 'manual' WHEN nk = 1 THEN 'accent' ELSE 'pending' END AS rule, CASE WHEN km = 1 THEN ms WHEN nk = 1 THEN accented END AS canonical FROM g)"""
@@ -117,17 +131,17 @@ def shared_codes(spark, sf):
     return d.named_itinerary(spark, sf).withColumn("street_code", F.floor(F.col("part_key") / 3).cast("string"))
 
 
-@query("ER8_canonical_by_code", o.sql(f"AND_WITH {_CANON} SELECT * FROM canon", "itinerary", "manual_itinerary"))
+@query("ER8_canonical_by_code", o.sql(f"AND_WITH {_CANON} SELECT * FROM canon", "itinerary", "manual_copy"))
 def er8(spark, sf):
-    return resolve.canonical_by_code(shared_codes(spark, sf), d.manual_itinerary(spark, sf).filter("line_key % 2 = 1"))
+    return resolve.canonical_by_code(shared_codes(spark, sf), d.manual_copy(spark, sf))
 
 
 @query("ER8_apply_canonical", o.sql(f"""
 AND_WITH {_CANON} SELECT COALESCE(canonical, street) AS street, count(*) AS rows, count(*) FILTER (canonical <> street) AS changed FROM itinerary LEFT JOIN canon ON street_code2 = canon.street_code GROUP BY 1""".replace(
-    "FROM itinerary LEFT JOIN canon ON street_code2 = canon.street_code", "FROM itinerary LEFT JOIN canon ON (part_key // 3)::VARCHAR = canon.street_code"), "itinerary", "manual_itinerary"))
+    "FROM itinerary LEFT JOIN canon ON street_code2 = canon.street_code", "FROM itinerary LEFT JOIN canon ON (part_key // 3)::VARCHAR = canon.street_code"), "itinerary", "manual_copy"))
 def er8_apply(spark, sf):
     it = shared_codes(spark, sf)
-    applied = resolve.apply_canonical_codes(it, resolve.canonical_by_code(it, d.manual_itinerary(spark, sf).filter("line_key % 2 = 1")))
+    applied = resolve.apply_canonical_codes(it, resolve.canonical_by_code(it, d.manual_copy(spark, sf)))
     return applied.groupBy("street").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("changed").cast("long")).alias("changed"))
 
 
@@ -270,10 +284,10 @@ def qr5(spark, sf):
 
 
 @query("QR6_abbreviation_usage", o.sql("""
-AND_WITH l AS (SELECT street, count(*) AS n, CASE WHEN street LIKE 'R. %' THEN 'R.' WHEN street LIKE 'AV. %' THEN 'AV.' WHEN street LIKE 'TRAV. %' THEN 'TRAV.' WHEN street LIKE 'PÇA. %' THEN 'PÇA.' WHEN street LIKE 'LAD. %' THEN 'LAD.' END AS label FROM manual_itinerary GROUP BY ALL)
-SELECT label, sum(n)::BIGINT AS occurrences, count(*) AS spellings, array_to_string(list(street ORDER BY street)[1:15], ' | ') AS examples FROM l WHERE label IS NOT NULL GROUP BY 1""", "manual_itinerary"))
+AND_WITH l AS (SELECT street, count(*) AS n, CASE WHEN street LIKE 'R. %' THEN 'R.' WHEN street LIKE 'AV. %' THEN 'AV.' WHEN street LIKE 'TRAV. %' THEN 'TRAV.' WHEN street LIKE 'PÇA. %' THEN 'PÇA.' WHEN street LIKE 'LAD. %' THEN 'LAD.' END AS label FROM manual_copy GROUP BY ALL)
+SELECT label, sum(n)::BIGINT AS occurrences, count(*) AS spellings, array_to_string(list(street ORDER BY street)[1:15], ' | ') AS examples FROM l WHERE label IS NOT NULL GROUP BY 1""", "manual_copy"))
 def qr6(spark, sf):
-    return quality.abbreviation_usage(d.manual_itinerary(spark, sf))
+    return quality.abbreviation_usage(d.manual_copy(spark, sf))
 
 
 @query("QR7_review_sheet", o.sql(f"""

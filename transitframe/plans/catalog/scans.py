@@ -56,9 +56,9 @@ def sc1(spark, sf):
     return s.join(p, ["line_id", "direction"], "left").na.fill(0, ["points"])
 
 
-@query("SC3_manual_map", o.sql("SELECT line_name, direction, seq, street FROM manual_itinerary", "manual_itinerary"))
+@query("SC3_manual_map", o.sql("SELECT line_name, direction, seq, street FROM manual_copy", "manual_copy"))
 def sc3(spark, sf):
-    manual = d.manual_itinerary(spark, sf)
+    manual = d.manual_copy(spark, sf)
     # positions are renumbered by the arrays, so keep the original ones in the text; lists start where their first entry is
     first = Window.partitionBy("line_name", "direction").orderBy("seq")
     entry = F.regexp_extract(F.to_json(F.struct(F.concat_ws("|", "seq", "street").alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)

@@ -111,10 +111,10 @@ def jn8(spark, sf):
 
 @query("JN9_locate_pairs", o.sql("""
 AND_WITH s AS (SELECT part_key AS pair_id, 'a' AS side, street FROM streets UNION ALL SELECT part_key, 'b', manual_street FROM streets)
-SELECT pair_id, side, s.street, line_name, direction FROM s JOIN manual_itinerary m ON upper(m.street) = upper(s.street)""", "streets", "manual_itinerary"))
+SELECT pair_id, side, s.street, line_name, direction FROM s JOIN manual_copy m ON upper(m.street) = upper(s.street)""", "streets", "manual_copy"))
 def jn9(spark, sf):
     pairs = d.streets(spark, sf).select(F.col("part_key").alias("pair_id"), F.col("street").alias("street_a"), F.col("manual_street").alias("street_b"))
-    return joins.locate_pairs(pairs, d.manual_itinerary(spark, sf))
+    return joins.locate_pairs(pairs, d.manual_copy(spark, sf))
 
 
 def geocode_cache(spark, sf):
@@ -287,7 +287,7 @@ def ag20(spark, sf):
 SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS last_user_turn FROM conversations""")
 def wn2(spark, sf):
     talk = d.table(spark, sf, "conversations").select("conv_id", "turn", "role")
-    return ordered.carry_forward(talk, ["conv_id"], ["turn"], F.floor(F.col("turn") / 2), {"last_user_turn": F.when(F.col("role") == "user", F.col("turn"))})
+    return ordered.carry_forward(talk, ["conv_id"], ["turn"], {"last_user_turn": F.when(F.col("role") == "user", F.col("turn"))})
 
 
 @query("WN3_repeated_streets", o.sql(f"""
@@ -424,13 +424,13 @@ def rc6(spark, sf):
 
 
 @query("RC7_neighbourhood_issues", o.sql(f"""
-AND_WITH r AS (SELECT neighbourhood, trim(street) AS street, {o.n2('street')} AS key FROM neighbourhood_streets), u AS (SELECT DISTINCT street, {o.n2('street')} AS key FROM manual_itinerary),
+AND_WITH r AS (SELECT neighbourhood, trim(street) AS street, {o.n2('street')} AS key FROM neighbourhood_streets), u AS (SELECT DISTINCT street, {o.n2('street')} AS key FROM manual_copy),
 uk AS (SELECT key, min(street) AS other FROM u GROUP BY 1)
 SELECT CASE WHEN other IS NOT NULL THEN 'accent_only' ELSE 'no_match' END AS issue, neighbourhood, street, other FROM (SELECT DISTINCT * FROM r WHERE street NOT IN (SELECT street FROM u)) LEFT JOIN uk USING (key)
 UNION ALL SELECT 'not_listed', NULL, street, NULL FROM u WHERE key NOT IN (SELECT key FROM r)
-UNION ALL SELECT 'several_neighbourhoods', NULL, key, count(DISTINCT neighbourhood)::VARCHAR FROM r GROUP BY key HAVING count(DISTINCT neighbourhood) > 1""", "neighbourhood_streets", "manual_itinerary"))
+UNION ALL SELECT 'several_neighbourhoods', NULL, key, count(DISTINCT neighbourhood)::VARCHAR FROM r GROUP BY key HAVING count(DISTINCT neighbourhood) > 1""", "neighbourhood_streets", "manual_copy"))
 def rc7(spark, sf):
-    return reconcile.neighbourhood_issues(d.neighbourhood_streets(spark, sf), d.manual_itinerary(spark, sf))
+    return reconcile.neighbourhood_issues(d.neighbourhood_streets(spark, sf), d.manual_copy(spark, sf))
 
 
 def _compare_sql(shape):

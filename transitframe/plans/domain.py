@@ -137,11 +137,20 @@ def named_points(spark: SparkSession, sf: str) -> DataFrame:
     return with_line(route_points(spark, sf), spark, sf)
 
 
+def manual_copy(spark: SparkSession, sf: str) -> DataFrame:
+    """Hand-made itineraries of every line and street; three lines in four have another spelling."""
+    return _hand_made(named_itinerary(spark, sf))
+
+
 def manual_itinerary(spark: SparkSession, sf: str) -> DataFrame:
-    """Hand-made itineraries: another spelling, fewer lines and streets; some lines equal the system."""
+    """``manual_copy`` with the gaps that reconciling and merging are about: fewer lines, fewer streets in some."""
     source = named_itinerary(spark, sf).filter(F.col("line_key") % 9 != 0)
+    return _hand_made(source.filter((F.col("line_key") % 4 == 1) | (F.col("l_linenumber") <= 5)))
+
+
+def _hand_made(source: DataFrame) -> DataFrame:
     same = F.col("line_key") % 4 == 1
-    return source.filter(same | (F.col("l_linenumber") <= 5)).select(
+    return source.select(
         "line_key", "line_name", "line_code", "direction", "seq",
         F.when(same, F.col("street")).otherwise(F.col("manual_street")).alias("street"),
     )

@@ -126,6 +126,8 @@ SELECT line_key, direction, seq, street, street_code, match, manual_street, part
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey) JOIN streets ON l_partkey = part_key"""),
     "named_itinerary": (("itinerary", "lines"), """
 SELECT i.*, line_id, line_name, line_code, ord, CASE WHEN direction = 'ida' THEN 0 ELSE 1 END AS d FROM itinerary i JOIN lines USING (line_key)"""),
+    "manual_copy": (("named_itinerary",), """
+SELECT line_key, line_name, line_code, direction, seq, ord, d, CASE WHEN line_key % 4 = 1 THEN street ELSE manual_street END AS street FROM named_itinerary"""),
     "manual_itinerary": (("named_itinerary",), """
 SELECT line_key, line_name, line_code, direction, seq, ord, d, CASE WHEN line_key % 4 = 1 THEN street ELSE manual_street END AS street
 FROM named_itinerary WHERE line_key % 9 <> 0 AND (line_key % 4 = 1 OR l_linenumber <= 5)"""),

@@ -83,7 +83,7 @@ def stop_listing(words: DataFrame, profile: str = "A") -> DataFrame:
 
     sections = rows.withColumns({"_opens": opens, "_stop": is_stop, "_head": table_head, "_footer": footer})
     state = carry_forward(
-        sections, ["doc"], order, F.col("page"),
+        sections, ["doc"], order,
         {
             "section": F.when(opens, F.struct("page", "row")),
             "main": event(main), "active": event(active), "line": event(line),
