@@ -306,13 +306,6 @@ def test_street_cascade(spark):
     assert got[("0001", "XYZ")] == (None, "nao_encontrado")
 
 
-def test_closest_without_cutoff_matches_brute_force(spark):
-    left, right = ["RUA DO SOL", "AVENIDA BRASIL", "ZZZ", "PRACA X"], ["RUA DA LUA", "AVENIDA BRASILIA", "ZEBRA", "PRACA Y", "QUADRA 9"]
-    got = {r.name: round(r.score, 9) for r in resolve.closest(
-        spark.createDataFrame([(x,) for x in left], "name string"), spark.createDataFrame([(x,) for x in right], "candidate string")).collect()}
-    assert got == {a: round(max(SequenceMatcher(None, a, b).ratio() for b in right), 9) for a in left}
-
-
 def test_street_search_and_window(spark):
     rows = [("l1", "0001 - A", 0, "ida", 0, "AV. FERNANDES LIMA", "7"), ("l1", "0001 - A", 0, "ida", 1, "Av Fernandes Lima", "8"), ("l2", "0002 - B", 1, "volta", 0, "AV. FERNANDES LIMA", None)]
     itinerary = spark.createDataFrame(rows, "line_id string, line_name string, ord int, direction string, seq int, street string, street_code string")

@@ -119,6 +119,7 @@ def ratio_candidates(
     condition: Column | None = None,
     hot: int = _HOT_KEY_ROWS,
     word_order: bool = True,
+    floor: str | None = None,
 ) -> DataFrame:
     """Every pair whose sequence ratio can reach ``threshold``, as ``l_*``/``r_*`` columns.
 
@@ -126,6 +127,8 @@ def ratio_candidates(
     at least t/(2-t) of each side's characters (join keys), M cannot exceed the shared multiset, and the
     edit distance cannot exceed (1-t)(m+n). All three hold for the exact score, none is an approximation.
     ``word_order=False`` skips the edit-distance test, for scores that reorder words.
+    ``floor`` names a left column with a higher threshold of the row's own (a score already found for it); the pairs then
+    carry ``bound``, the highest ratio that shared characters and edit distance allow.
     """
     on = on or []
     share = threshold / (2.0 - threshold)
@@ -136,7 +139,10 @@ def ratio_candidates(
 
     def keyed(df: DataFrame, p: str) -> DataFrame:
         size = F.length(f"{p}_{text}")
-        kept = F.greatest((size - F.ceil(size * F.lit(share) - F.lit(1e-9)) + 2).cast("int"), F.lit(2))
+        own = F.lit(share)
+        if floor is not None and p == "l":  # a row with a higher threshold of its own needs fewer keys
+            own = F.greatest(own, F.col(f"l_{floor}") / (F.lit(2.0) - F.col(f"l_{floor}")))
+        kept = F.greatest((size - F.ceil(size * own - F.lit(1e-9)) + 2).cast("int"), F.lit(2))
         return (
             prepare(df, p)
             .withColumn(f"{p}_prefix", F.slice(f"{p}_tokens", F.lit(1), kept))
@@ -149,23 +155,34 @@ def ratio_candidates(
     total = F.length(a) + F.length(b)
     common_prefix = F.array_intersect("l_prefix", "r_prefix")
     first_key = (F.get(common_prefix, 0) == F.col("_k1")) & (F.get(common_prefix, 1) == F.col("_k2"))
-    fits = F.least(F.length(a), F.length(b)) * 2 >= F.lit(threshold) * total - F.lit(1e-9)
+    least = F.lit(threshold) if floor is None else F.greatest(F.lit(threshold), F.col(f"l_{floor}"))
+    fits = F.least(F.length(a), F.length(b)) * 2 >= least * total - F.lit(1e-9)
     fits = fits if condition is None else fits & condition
     shared = F.size(F.array_intersect("l_tokens", "r_tokens")) - 1
-    enough = shared * 2 >= F.lit(threshold) * total - F.lit(1e-9)
-    limit = F.floor(F.lit(1.0 - threshold) * total + F.lit(1e-9)).cast("int")
-    near = F.call_function("levenshtein", a, b, limit) >= 0
+    enough = shared * 2 >= least * total - F.lit(1e-9)
+    limit = F.floor((F.lit(1.0) - least) * total + F.lit(1e-9)).cast("int")
+    edits = F.call_function("levenshtein", a, b, limit)
+
+    # a case keeps its order, so that the cheap tests spare the others
+    close = F.when(~fits, False).when(edits < 0, False).otherwise(enough)
+    met = fits & first_key if floor is None else F.when(~fits, False).when(~first_key, False).otherwise(close)
 
     def through_keys(l: DataFrame, r: DataFrame) -> DataFrame:
-        pairs = _grid_join(keyed(l, "l"), keyed(r, "r"), [*on, "_k1", "_k2"], fits & first_key, hot)
+        pairs = _grid_join(keyed(l, "l"), keyed(r, "r"), [*on, "_k1", "_k2"], met, hot)
         return pairs.drop("_k1", "_k2", "l_prefix", "r_prefix")
 
     if on:
         small_l, small_r, large_l, large_r = _by_group_size(left, right, on)
-        pairs = prepare(small_l, "l").join(prepare(small_r, "r"), on).filter(fits).unionByName(through_keys(large_l, large_r))
+        direct = prepare(small_l, "l").join(prepare(small_r, "r"), on).filter(fits if floor is None else close)
+        pairs = direct.unionByName(through_keys(large_l, large_r))
     else:
         pairs = through_keys(left, right)
-    pairs = pairs.filter(enough).filter(near) if word_order else pairs.filter(enough)
+    if floor is not None:
+        pairs = pairs.withColumn("bound", F.least(shared * 2 / total, F.lit(1.0) - edits / total))
+    elif word_order:
+        pairs = pairs.filter(enough).filter(edits >= 0)
+    else:
+        pairs = pairs.filter(enough)
     return pairs.drop("l_tokens", "r_tokens", "l_uid", "r_uid")
 
 

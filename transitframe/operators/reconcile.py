@@ -138,7 +138,7 @@ def inventory_coverage(active: DataFrame, first: DataFrame, second: DataFrame) -
 
 def neighbourhood_issues(listed: DataFrame, itinerary: DataFrame) -> DataFrame:
     """RC7: listed streets with an accent-only hit or no hit, itinerary streets never listed, and streets in
-    several neighbourhoods. Best candidates for the no-hit rows come from ``resolve.closest``."""
+    several neighbourhoods. Best candidates for the no-hit rows come from ``nearest.no_match_candidates``."""
     rows = listed.select("neighbourhood", tx.strip("street").alias("street")).filter(F.col("street") != "")
     used = itinerary.select(tx.strip("street").alias("street")).filter(F.col("street") != "").distinct()
     used_keys = used.select(tx.norm_key("street").alias("key"), F.col("street").alias("other")).groupBy("key").agg(

@@ -138,34 +138,6 @@ def duplicate_candidates(spellings: DataFrame) -> DataFrame:
     return pairs.select(F.col("l_street").alias("street_a"), F.col("r_street").alias("street_b"), "score")
 
 
-def closest(names: DataFrame, candidates: DataFrame, levels: tuple[float, ...] = (0.85, 0.7, 0.5, 0.3, 1e-6)) -> DataFrame:
-    """ER5: the most similar candidate of every name, without a cut-off and without a cross join.
-
-    Each level finds all pairs at or above its score; a name with any is finished, since nothing below
-    the level can beat it. Only names unlike every candidate reach the last level (any common character).
-    """
-    rest = names.select("name").distinct().withColumn("text", tx.norm_key("name"))
-    pool = candidates.select("candidate").distinct().withColumn("text", tx.norm_key("candidate"))
-    pool = cut_lineage(pool.groupBy("text").agg(F.min("candidate").alias("candidate")))
-    found = [pool.sparkSession.createDataFrame([], "name string, candidate string, score double")]
-    for level in levels:
-        rest = cut_lineage(rest)
-        if not rest.take(1):
-            break
-        pairs = ratio_join(rest, pool, "text", level)
-        best = cut_lineage(
-            pairs.groupBy(F.col("l_name").alias("name")).agg(
-                F.min_by(F.struct(F.col("r_candidate").alias("candidate"), "score"), F.struct(-F.col("score"), "r_candidate")).alias("_b")
-            ).select("name", "_b.*")
-        )
-        found.append(best)
-        rest = rest.join(best, "name", "left_anti")
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return names.select("name").distinct().join(out, "name", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-
-
 def close_matches(names: DataFrame, candidates: DataFrame, cutoff: float = rules.CLOSE_MATCH_CUTOFF) -> DataFrame:
     """ER5 with cut-off: best candidate at or above it; the candidate is the first argument of the ratio and
     the greatest text wins a tie."""

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from transitframe import rules
 from transitframe.functions import text as tx
 from transitframe.operators import addresses as address_names
-from transitframe.operators import aggregates, numbering, resolve
+from transitframe.operators import aggregates, nearest, numbering, resolve
 from transitframe.operators.candidates import containment_join
 from transitframe.plans import domain as d
 from transitframe.plans import oracles as o
@@ -89,7 +89,13 @@ def er4(spark, sf):
 def er5(spark, sf):
     used = d.manual_copy(spark, sf).select(F.col("street").alias("candidate"))
     wrong = d.streets(spark, sf).select(F.concat("street", F.lit(" NORTE")).alias("name"))
-    return resolve.closest(wrong, used).withColumn("score", F.round("score", 6))
+    return nearest.closest(wrong, used).withColumn("score", F.round("score", 6))
+
+
+@query("RC7_no_match_candidates")
+def rc7_candidates(spark, sf):
+    found = nearest.no_match_candidates(d.neighbourhood_streets(spark, sf), d.manual_copy(spark, sf))
+    return found.withColumn("score", F.round("score", 6))
 
 
 @query("ER5_close_matches")
