@@ -31,49 +31,25 @@ def lat_of(y: Column) -> Column:
     return F.degrees(F.atan(F.exp(y / MERCATOR_RADIUS_M)) * 2 - F.lit(1.5707963267948966))
 
 
-def ring_contains(lon: Column, lat: Column, ring: Column) -> Column:
-    """GE5: crossing parity, half-open in y and inclusive in x; a vertical edge always counts."""
-
-    def crosses(edge: Column) -> Column:
-        x1, y1, x2, y2 = edge["0"]["lon"], edge["0"]["lat"], edge["1"]["lon"], edge["1"]["lat"]
-        at = (lat - y1) * (x2 - x1) / F.nullif(y2 - y1, F.lit(0.0)) + x1
-        return (
-            (lat > F.least(y1, y2))
-            & (lat <= F.greatest(y1, y2))
-            & (lon <= F.greatest(x1, x2))
-            & ((x1 == x2) | (lon <= at))
-        )
-
-    edges = F.zip_with(
-        ring, F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1)), lambda a, b: F.struct(a.alias("0"), b.alias("1"))
-    )
-    return F.size(F.filter(edges, crosses)) % 2 == 1
-
+def crosses(lon: Column, lat: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """GE5: whether the ray east of the point meets an edge: half-open in y, inclusive in x; a vertical edge always counts."""
+    at = (lat - y1) * (x2 - x1) / F.nullif(y2 - y1, F.lit(0.0)) + x1
+    return (lat > F.least(y1, y2)) & (lat <= F.greatest(y1, y2)) & (lon <= F.greatest(x1, x2)) & ((x1 == x2) | (lon <= at))
 
-def ring_contains_strict(lon: Column, lat: Column, ring: Column) -> Column:
-    """GE7: crossing parity with the strict rule used for shapes with holes."""
 
-    def crosses(edge: Column) -> Column:
-        xi, yi, xj, yj = edge["0"]["lon"], edge["0"]["lat"], edge["1"]["lon"], edge["1"]["lat"]
-        at = (xj - xi) * (lat - yi) / F.nullif(yj - yi, F.lit(0.0)) + xi
-        return ((yi > lat) != (yj > lat)) & (lon < at)
+def crosses_strict(lon: Column, lat: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """GE7: the rule of shapes with holes: half-open at the other end, strict in x."""
+    at = (x1 - x2) * (lat - y2) / F.nullif(y1 - y2, F.lit(0.0)) + x2
+    return ((y2 > lat) != (y1 > lat)) & (lon < at)
 
-    shifted = F.concat(F.slice(ring, F.size(ring), 1), F.slice(ring, 1, F.size(ring) - 1))
-    edges = F.zip_with(ring, shifted, lambda a, b: F.struct(a.alias("0"), b.alias("1")))
-    return F.size(F.filter(edges, crosses)) % 2 == 1
 
-
-def polygon_contains(lon: Column, lat: Column, rings: Column) -> Column:
-    """GE7: inside the outer ring and in no hole."""
-    holes = F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0)))
-    return ring_contains_strict(lon, lat, F.element_at(rings, 1)) & ~F.exists(
-        holes, lambda hole: ring_contains_strict(lon, lat, hole)
+def ring_contains(lon: Column, lat: Column, ring: Column) -> Column:
+    """GE5: whether a ring, closed or not, holds the point; for many rings or points see ``operators.cells``."""
+    edges = F.zip_with(
+        ring, F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b"))
     )
-
-
-def multipolygon_contains(lon: Column, lat: Column, parts: Column) -> Column:
-    """GE7: inside any part."""
-    return F.exists(parts, lambda rings: polygon_contains(lon, lat, rings))
+    odd = lambda e: crosses(lon, lat, e["a"]["lon"], e["a"]["lat"], e["b"]["lon"], e["b"]["lat"])
+    return F.size(F.filter(edges, odd)) % 2 == 1
 
 
 def ring_area(ring: Column) -> Column:

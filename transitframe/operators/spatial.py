@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transitframe import rules
 from transitframe.functions import geo
+from transitframe.operators import cells
 from transitframe.operators.ordered import neighbour, running_sum
 
 _SEQ_BLOCK = 10_000
@@ -84,37 +85,35 @@ def resample(points: DataFrame, keys: list[str], spacing_m: float = 25.0) -> Dat
     return samples.unionByName(ends).unionByName(still)
 
 
-def _cell(value: Column, size: float) -> Column:
-    return F.floor(value / F.lit(size)).cast("long")
-
-
-def zone_cells(zones: DataFrame, cell: float) -> DataFrame:
-    """Grid index of zones: per cell, the zones whose bounding box touches it, in list order.
-
-    Bounded by the zones over one cell; choose ``cell`` near the size of a small zone.
-    """
-    lon, lat = F.transform("ring", lambda p: p["lon"]), F.transform("ring", lambda p: p["lat"])
-    boxed = zones.withColumns({
-        "cx": F.explode(F.sequence(_cell(F.array_min(lon), cell), _cell(F.array_max(lon), cell))),
-    }).withColumn("cy", F.explode(F.sequence(_cell(F.array_min(lat), cell), _cell(F.array_max(lat), cell))))
-    return boxed.groupBy("cx", "cy").agg(F.array_sort(F.collect_list(F.struct("zone_ord", "zone_name", "ring"))).alias("zones"))
-
-
 def zone_of_points(points: DataFrame, zones: DataFrame, cell: float) -> DataFrame:
-    """GE5/GE6/JN10: first zone in list order that contains the point, else the outside label.
+    """GE5/GE6: first zone in list order that contains the point, else the outside label.
 
-    One left equi-join on the grid cell; the polygon test runs inside the row, so points are never
-    regrouped. Spark broadcasts the cell table only while its measured size is below its threshold.
+    One left equi-join with the leaf cells of the zones (``cells.polygon_index``); points are never regrouped. ``cell`` is
+    the side of the largest cells, near the size of a small zone. Spark broadcasts the cells only while their measured size
+    is below its threshold. Points without coordinates lie outside.
     """
-    inside = F.filter("zones", lambda z: geo.ring_contains(F.col("lon"), F.col("lat"), z["ring"]))
-    located = points.withColumns({"cx": _cell(F.col("lon"), cell), "cy": _cell(F.col("lat"), cell)})
+    index = cells.polygon_index(zones.select("zone_ord", "zone_name", F.array(F.array("ring")).alias("parts")), cell, first_only=True)
+    held = F.transform(cells.shapes_at(F.col("lon"), F.col("lat"), strict=False), lambda z: F.struct(z["zone_ord"], z["zone_name"]))
     return (
-        located.join(zone_cells(zones, cell), ["cx", "cy"], "left")
-        .withColumn("zone_name", F.coalesce(F.get(F.transform(inside, lambda z: z["zone_name"]), 0), F.lit(rules.OUTSIDE_ZONES)))
-        .drop("cx", "cy", "zones")
+        cells.with_entries(points, index)
+        .withColumn("zone_name", F.coalesce(F.array_min(held)["zone_name"], F.lit(rules.OUTSIDE_ZONES)))
+        .drop("_entries")
     )
 
 
+def boxes_of_points(points: DataFrame, zones: DataFrame, cell: float) -> DataFrame:
+    """JN10: ``boxes``, the number of zones whose bounding box holds the point, edges included."""
+    lon, lat = F.transform("ring", lambda p: p["lon"]), F.transform("ring", lambda p: p["lat"])
+    boxed = zones.select(F.array_min(lon).alias("w"), F.array_max(lon).alias("e"), F.array_min(lat).alias("s"), F.array_max(lat).alias("n"))
+    boxed = boxed.withColumn("_cx", F.explode(F.sequence(cells.cell_of(F.col("w"), cell), cells.cell_of(F.col("e"), cell))))
+    boxed = boxed.withColumn("_cy", F.explode(F.sequence(cells.cell_of(F.col("s"), cell), cells.cell_of(F.col("n"), cell))))
+    index = boxed.groupBy("_cx", "_cy").agg(F.collect_list(F.struct("w", "e", "s", "n")).alias("_boxes"))
+    holding = F.filter("_boxes", lambda b: F.col("lon").between(b["w"], b["e"]) & F.col("lat").between(b["s"], b["n"]))
+    placed = points.withColumns({"_cx": cells.cell_of(F.col("lon"), cell), "_cy": cells.cell_of(F.col("lat"), cell)})
+    counted = F.when(F.col("_boxes").isNull(), 0).otherwise(F.size(holding)).cast("long")
+    return placed.join(index, ["_cx", "_cy"], "left").withColumn("boxes", counted).drop("_cx", "_cy", "_boxes")
+
+
 def zone_share(points: DataFrame, zones: DataFrame, cell: float, line_key: str = "line_id") -> DataFrame:
     """GE8/AG6/WN10: points per line and zone and their percent of the line total."""
     counts = zone_of_points(points, zones, cell).groupBy(line_key, "zone_name").agg(F.count(F.lit(1)).alias("points"))
@@ -125,48 +124,29 @@ def zone_share(points: DataFrame, zones: DataFrame, cell: float, line_key: str =
 def shapes_containing(points: DataFrame, shapes: DataFrame, cell: float) -> DataFrame:
     """GE7: every (point, shape) hit for shapes with holes and several parts.
 
-    ``shapes(zone_ord, zone_name, parts array<array<array<struct<lon,lat>>>>)``.
+    ``shapes(zone_ord, zone_name, parts array<array<array<struct<lon,lat>>>>)``. A point is in a shape if it is inside the
+    outer ring and in no hole of some part.
     """
-    outer = F.flatten(F.transform("parts", lambda rings: F.element_at(rings, 1)))
-    lon, lat = F.transform(outer, lambda p: p["lon"]), F.transform(outer, lambda p: p["lat"])
-    cells = shapes.withColumn(
-        "cx", F.explode(F.sequence(_cell(F.array_min(lon), cell), _cell(F.array_max(lon), cell)))
-    ).withColumn("cy", F.explode(F.sequence(_cell(F.array_min(lat), cell), _cell(F.array_max(lat), cell))))
-    located = points.withColumns({"cx": _cell(F.col("lon"), cell), "cy": _cell(F.col("lat"), cell)})
-    return (
-        located.join(cells, ["cx", "cy"])
-        .filter(geo.multipolygon_contains(F.col("lon"), F.col("lat"), F.col("parts")))
-        .drop("cx", "cy", "parts")
-    )
+    index = cells.polygon_index(shapes, cell)
+    held = cells.shapes_at(F.col("lon"), F.col("lat"), strict=True)
+    hits = cells.with_entries(points, index).withColumn("_hit", F.explode(held)).drop("_entries")
+    return hits.withColumns({"zone_ord": F.col("_hit.zone_ord"), "zone_name": F.col("_hit.zone_name")}).drop("_hit")
 
 
-def nearest_terminal(points: DataFrame, terminals: DataFrame, radius_m: float, point_id: list[str]) -> DataFrame:
-    """GE9: nearest terminal within ``radius_m`` (ground metres) of each point, null when there is none.
-
-    Terminals are replicated to the grid cells within reach, points look in their own cell only.
-    """
-    reach_lat = radius_m / 110_000.0
-    reach_lon = F.lit(reach_lat) / F.cos(F.radians(F.least(F.abs("t_lat") + reach_lat, F.lit(89.0))))
-    sites = terminals.select(F.col("name").alias("terminal"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"))
-    size = max(reach_lat * 2, 1e-4)
-    sites = sites.withColumn(
-        "cx", F.explode(F.sequence(_cell(F.col("t_lon") - reach_lon, size), _cell(F.col("t_lon") + reach_lon, size)))
-    ).withColumn("cy", F.explode(F.sequence(_cell(F.col("t_lat") - reach_lat, size), _cell(F.col("t_lat") + reach_lat, size))))
-    metres = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("t_lat"), F.col("t_lon")) * 1000
-    near = (
-        points.withColumns({"cx": _cell(F.col("lon"), size), "cy": _cell(F.col("lat"), size)})
-        .join(sites, ["cx", "cy"])
-        .withColumn("metres", metres)
-        .filter(F.col("metres") < radius_m)
-        .groupBy(*point_id)
-        .agg(F.min_by("terminal", F.struct("metres", "terminal")).alias("terminal"), F.min("metres").alias("metres"))
-    )
-    return points.join(near, point_id, "left")
+def nearest_terminal(points: DataFrame, terminals: DataFrame, radius_m: float) -> DataFrame:
+    """GE9: nearest terminal within ``radius_m`` (ground metres) of each point, null when there is none; the least name
+    among equals. Points meet the few terminals of their leaf cell (``cells.site_index``) in one join."""
+    index = cells.site_index(terminals, radius_m, max(radius_m / 55_000.0, 1e-4))
+    metres = lambda t: geo.haversine_km(F.col("lat"), F.col("lon"), t["lat"], t["lon"]) * 1000
+    nearest = F.array_min(F.transform("_entries", lambda t: F.struct(metres(t).alias("metres"), t["name"].alias("terminal"))))
+    found = cells.with_entries(points, index).withColumn("_near", nearest).drop("_entries")
+    within = F.col("_near.metres") < radius_m
+    return found.withColumns({"terminal": F.when(within, F.col("_near.terminal")), "metres": F.when(within, F.col("_near.metres"))}).drop("_near")
 
 
-def terminal_or_zone(points: DataFrame, terminals: DataFrame, zones: DataFrame, radius_m: float, cell: float, point_id: list[str]) -> DataFrame:
+def terminal_or_zone(points: DataFrame, terminals: DataFrame, zones: DataFrame, radius_m: float, cell: float) -> DataFrame:
     """GE9: the nearest terminal, else the zone, else nothing."""
-    placed = zone_of_points(nearest_terminal(points, terminals, radius_m, point_id), zones, cell)
+    placed = zone_of_points(nearest_terminal(points, terminals, radius_m), zones, cell)
     outside = F.col("zone_name") == rules.OUTSIDE_ZONES
     return placed.withColumn(
         "kind", F.when(F.col("terminal").isNotNull(), "terminal").when(~outside, "zone")

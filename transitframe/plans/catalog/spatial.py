@@ -71,12 +71,7 @@ def ge6(spark, sf):
 AND_WITH b AS (SELECT zone_ord, min(x1) AS w, max(x1) AS e, min(y1) AS s, max(y1) AS n FROM zone_edges GROUP BY 1) SELECT event_id, count(zone_ord) AS boxes FROM raw_points LEFT JOIN b ON lon BETWEEN w AND e AND lat BETWEEN s AND n GROUP BY 1""",
        "raw_points", "zone_edges"))
 def jn10(spark, sf):
-    cells = spatial.zone_cells(d.zones(spark, sf), CELL)
-    lons, lats = (lambda z: F.transform(z["ring"], lambda p: p["lon"])), (lambda z: F.transform(z["ring"], lambda p: p["lat"]))
-    inside = F.filter("zones", lambda z: F.col("lon").between(F.array_min(lons(z)), F.array_max(lons(z))) & F.col("lat").between(F.array_min(lats(z)), F.array_max(lats(z))))
-    cell = lambda c: F.floor(F.col(c) / F.lit(CELL)).cast("long")
-    located = d.raw_points(spark, sf).withColumns({"cx": cell("lon"), "cy": cell("lat")}).join(cells, ["cx", "cy"], "left")
-    return located.select("event_id", F.coalesce(F.size(inside), F.lit(0)).cast("long").alias("boxes")).withColumn("boxes", F.greatest("boxes", F.lit(0)))
+    return spatial.boxes_of_points(d.raw_points(spark, sf), d.zones(spark, sf), CELL).select("event_id", "boxes")
 
 
 @query("GE7_shapes_with_holes", o.sql("""
@@ -110,7 +105,7 @@ AND_WITH {_ZONED}, dist AS (SELECT event_id, name, {o.haversine('p.lat', 'p.lon'
 SELECT event_id, CASE WHEN terminal IS NOT NULL THEN 'terminal' WHEN zone_name <> 'FORA DAS ZONAS' THEN 'zone' END AS kind, COALESCE(terminal, nullif(zone_name, 'FORA DAS ZONAS')) AS place FROM zoned LEFT JOIN n USING (event_id)""",
        "raw_points", "zone_edges", "terminals"))
 def ge9(spark, sf):
-    placed = spatial.terminal_or_zone(d.raw_points(spark, sf), d.terminals(spark, sf), d.zones(spark, sf), 300.0, CELL, ["event_id"])
+    placed = spatial.terminal_or_zone(d.raw_points(spark, sf), d.terminals(spark, sf), d.zones(spark, sf), 300.0, CELL)
     return placed.select("event_id", "kind", "place")
 
 
