@@ -389,8 +389,12 @@ def listing_words(spark, sf):
     coordinate = lambda c: F.replace(F.format_string("%.6f", F.col(c)), F.lit("."), F.lit(","))
     cells = [(10.0, F.lit("PONTO")), (40.0, F.col("position").cast("string")), (110.0, F.lit("ABR")), (230.0, F.lit("RUA")), (260.0, F.col("position").cast("string")),
              (605.0, F.col("position").cast("string")), (655.0, F.lit("40")), (715.0, coordinate("lat")), (775.0, coordinate("lon"))]
-    word = F.explode(F.array(*[F.struct(F.lit(x).alias("x0"), t.alias("text")) for x, t in cells]))
-    stop_words = s.select(F.col("line_key").cast("string").alias("doc"), page.alias("page"), top.alias("top"), word.alias("w"))
+    # the coordinates stand two points lower, still in the row; every fifth address goes on in a row of its own
+    word = lambda x, down, t: F.struct(F.lit(x).alias("x0"), F.lit(down).alias("down"), t.alias("text"))
+    row = F.array(*[word(x, 2.0 if x > 700 else 0.0, t) for x, t in cells])
+    more = F.when(F.col("position") % 5 == 1, F.array(word(240.0, 5.0, F.lit("FUNDOS")))).otherwise(F.slice(row, 1, 0))
+    placed = s.select(F.col("line_key").cast("string").alias("doc"), page.alias("page"), top.alias("top"), F.explode(F.concat(row, more)).alias("w"))
+    stop_words = placed.withColumn("top", F.col("top") + F.col("w.down"))
     active = F.when(F.col("line_key") % 3 == 0, "Não").otherwise("Sim")
     head = [(10.0, F.lit("Atendimento Principal: Sim Linha:")), (10.5, F.col("line_name"))], [(10.0, F.concat(F.lit("Nome Ida: IDA "), F.col("line_key").cast("string")))], \
         [(10.0, F.concat(F.lit("Ativo: "), active))], [(10.0, F.lit("Nome Volta: VOLTA"))], [(10.0, F.lit("Nome Nome Abrev. Endereço Ordem"))]
@@ -399,9 +403,9 @@ def listing_words(spark, sf):
     return stop_words.select("doc", "page", "top", "w.x0", "w.text").unionByName(docs.select("doc", "page", "h.top", "h.x0", "h.text"))
 
 
-_STOPS_SQL = o.sql("""
-SELECT line_key::VARCHAR AS doc, line_name AS line, 'IDA ' || line_key AS name_ida, 'VOLTA' AS name_volta, stop_name AS name, 'ABR' AS abbreviation, 'RUA ' || position AS address, position::INTEGER AS position, 40 AS speed_limit, round(lat, 6) AS lat, round(lon, 6) AS lon
-FROM stops JOIN lines USING (line_key) WHERE lat IS NOT NULL AND lat <> 0 AND line_key % 3 <> 0""", "stops", "lines")
+_STOPS_SQL = """
+SELECT line_key::VARCHAR AS doc, line_name AS line, 'IDA ' || line_key AS name_ida, 'VOLTA' AS name_volta, stop_name AS name, 'ABR' AS abbreviation, 'RUA ' || position{} AS address, position::INTEGER AS position, 40 AS speed_limit, round(lat, 6) AS lat, round(lon, 6) AS lon
+FROM stops JOIN lines USING (line_key) WHERE lat IS NOT NULL AND lat <> 0 AND line_key % 3 <> 0"""
 
 
 def _stop_rows(df):
@@ -410,12 +414,12 @@ def _stop_rows(df):
     )
 
 
-@query("SC21_stop_listing_rounded_rows", _STOPS_SQL)
+@query("SC21_stop_listing_rounded_rows", o.sql(_STOPS_SQL.format(""), "stops", "lines"))
 def sc21a(spark, sf):
     return _stop_rows(words.stop_listing(listing_words(spark, sf), "A"))
 
 
-@query("SC21_stop_listing_gap_rows", _STOPS_SQL)
+@query("SC21_stop_listing_gap_rows", o.sql(_STOPS_SQL.format(" || CASE WHEN position % 5 = 1 THEN ' FUNDOS' ELSE '' END"), "stops", "lines"))
 def sc21b(spark, sf):
     return _stop_rows(words.stop_listing(listing_words(spark, sf), "B"))
 

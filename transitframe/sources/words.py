@@ -6,12 +6,13 @@ header state is carried from page to page by ``ordered.carry_forward``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transitframe.functions import values
 from transitframe.operators.ordered import carry_forward
 from transitframe.rules import STOP_COLUMNS
+from transitframe.session import cut_lineage
 
 
 def _page_rows(words: DataFrame) -> DataFrame:
@@ -21,21 +22,50 @@ def _page_rows(words: DataFrame) -> DataFrame:
     )
 
 
+def _row_starts(heights: DataFrame, tolerance: float) -> DataFrame:
+    """(doc, page, top) of the words that open a row, of ``heights(doc, page, top, _run)``.
+
+    A gap above the tolerance always opens a row, so every run of heights without such a gap stands for itself; most runs are
+    one row. In longer runs each height points to the first one beyond its reach, and the rows are the chain of pointers from
+    the run's first height: it is marked in as many rounds as the longest chain's length has binary digits.
+    """
+    run = ["doc", "page", "_run"]
+    starts = heights.filter(F.col("top") == F.col("_run")).select("doc", "page", "top")
+    tall = heights.groupBy(*run).agg((F.max("top") - F.col("_run")).alias("_high")).filter(F.col("_high") > tolerance).select(*run)
+    chained = heights.join(tall, run, "left_semi")
+    # heights and limits in one descending sequence: a limit sees the heights above it, the nearest last
+    ahead = F.struct(F.col("top").alias("first"), F.lead("top").over(Window.partitionBy(*run).orderBy("top")).alias("second"))
+    limit = F.struct(F.lit(0).alias("kind"), (F.col("top") + tolerance - 1e-9).alias("value"), F.lit(None).cast("struct<first:double,second:double>").alias("ahead"))
+    both = chained.withColumn("_ahead", ahead).select(
+        *run, "top", F.explode(F.array(limit, F.struct(F.lit(1).alias("kind"), F.col("top").alias("value"), F.col("_ahead").alias("ahead")))).alias("e")
+    )
+    above = Window.partitionBy(*run).orderBy(F.col("e.value").desc(), F.col("e.kind")).rowsBetween(Window.unboundedPreceding, -1)
+    seen = both.withColumn("_seen", F.last("e.ahead", ignorenulls=True).over(above)).filter("e.kind = 0")
+    # the limit is a hair low, so that the exact comparison decides
+    beyond = F.when(F.col("_seen.first") - F.col("top") > tolerance, F.col("_seen.first")).otherwise(F.col("_seen.second"))
+    pointers = cut_lineage(seen.select("doc", "page", "top", beyond.alias("_next")).filter("_next is not null"))
+    marked = cut_lineage(starts)
+    while not pointers.isEmpty():
+        reached = pointers.join(marked, ["doc", "page", "top"], "left_semi").select("doc", "page", F.col("_next").alias("top"))
+        marked = cut_lineage(marked.unionByName(reached).distinct())
+        after = pointers.select("doc", "page", F.col("top").alias("_next"), F.col("_next").alias("_after"))
+        pointers = cut_lineage(pointers.join(after, ["doc", "page", "_next"]).select("doc", "page", "top", F.col("_after").alias("_next")))
+    return marked
+
+
 def _gap_rows(words: DataFrame, tolerance: float = 2.5) -> DataFrame:
-    """Profile B: a row takes every following word within ``tolerance`` of the row's first word."""
-    ordered = words.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("top", "x0", "text"))).alias("w"))
-    start = F.struct(F.lit(-1e9).alias("row"), F.array().cast("array<struct<row:double,x0:double,text:string>>").alias("out"))
-
-    def place(acc: Column, word: Column) -> Column:
-        row = F.when(F.abs(word["top"] - acc["row"]) <= tolerance, acc["row"]).otherwise(word["top"].cast("double"))
-        return F.struct(
-            row.alias("row"),
-            F.concat(acc["out"], F.array(F.struct(row.alias("row"), word["x0"].cast("double").alias("x0"), word["text"].alias("text")))).alias("out"),
-        )
-
-    placed = ordered.select("doc", "page", F.explode(F.aggregate("w", start, place)["out"]).alias("c"))
-    return placed.groupBy("doc", "page", F.col("c.row").alias("row")).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("c.x0").alias("x0"), F.col("c.text").alias("text")))).alias("cells")
+    """Profile B: a row takes every following word within ``tolerance`` of the row's first word. Words without a height are
+    left out; different heights are at least 1e-9 apart."""
+    placed = words.withColumn("top", F.col("top").cast("double")).filter("top is not null")
+    page = Window.partitionBy("doc", "page").orderBy("top")
+    gap = F.col("top") - F.lag("top").over(page)
+    upto = page.rowsBetween(Window.unboundedPreceding, 0)
+    heights = placed.select("doc", "page", "top").distinct().withColumn("_opens", F.when(gap.isNull() | (gap > tolerance), F.col("top")))
+    heights = cut_lineage(heights.withColumn("_run", F.last("_opens", ignorenulls=True).over(upto)).drop("_opens"))
+    starts = _row_starts(heights, tolerance).withColumn("_start", F.col("top"))
+    rows = heights.join(starts, ["doc", "page", "top"], "left").select("doc", "page", "top", F.last("_start", ignorenulls=True).over(upto).alias("row"))
+    return placed.join(rows, ["doc", "page", "top"]).groupBy("doc", "page", "row").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("x0").cast("double").alias("x0"), "text"))).alias("cells")
     )
 
 
