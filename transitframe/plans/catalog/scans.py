@@ -1,6 +1,5 @@
 """Readers and report parsers (SC) over documents that Spark derives from the tables."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from transitframe.functions import codes
@@ -10,7 +9,7 @@ from transitframe.plans import publish
 from transitframe.plans.catalog import query
 from transitframe.plans.catalog.merging import scratch
 from transitframe.plans.catalog.texts import _STREET_RULES, _replace_chain
-from transitframe.operators import spatial
+from transitframe.operators.ordered import number_rows
 from transitframe.sources import files, kml, reports, words, writers
 
 _CODE = "CASE WHEN length(part_key::VARCHAR) < 5 THEN lpad(part_key::VARCHAR, 5, '0') ELSE part_key::VARCHAR END"
@@ -28,10 +27,10 @@ def noise(spark, sf):
 # --- line documents -----------------------------------------------------------------------------------
 
 
-def _maps(spark, name, lines, lists, closing):
-    """One JSON text per line, ``{name: {"ida": …, "volta": …}}``, written as fragments and read back as rows ``value``."""
+def _maps(spark, name, lines, lists, closing, first='{"ida":'):
+    """One JSON text per line, ``{name: {"ida": …, "volta": …}}`` (or what ``first`` opens), written as fragments and read back as rows ``value``."""
     quoted = F.regexp_extract(F.to_json(F.struct(F.col("line_name").alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)
-    opening = F.concat(F.lit("{"), quoted, F.lit(':{"ida":' + lists[0][0]))
+    opening = F.concat(F.lit("{"), quoted, F.lit(":" + first + lists[0][0]))
     skeleton = [opening, *[F.lit(before) for before, _ in lists[1:]], F.lit(closing + "\n")]
     path = scratch(spark, name)
     writers.write_line_documents(publish.fragments(lines, skeleton, [entries for _, entries in lists]), path)
@@ -60,9 +59,9 @@ def sc1(spark, sf):
 def sc3(spark, sf):
     manual = d.manual_copy(spark, sf)
     # positions are renumbered by the arrays, so keep the original ones in the text; lists start where their first entry is
-    first = Window.partitionBy("line_name", "direction").orderBy("seq")
     entry = F.regexp_extract(F.to_json(F.struct(F.concat_ws("|", "seq", "street").alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)
-    rows = manual.select(F.col("line_key").cast("string").alias("line_id"), "direction", (F.row_number().over(first) - 1).alias("seq"), entry.alias("entry"))
+    entries = manual.select(F.col("line_key").cast("string").alias("line_id"), "direction", F.col("seq").alias("place"), entry.alias("entry"))
+    rows = number_rows(entries, ["line_id", "direction"], ["place"], F.floor(F.col("place") / 10_000), start=0)
     lines = manual.select(F.col("line_key").cast("string").alias("line_id"), "line_name").distinct()
     side = lambda x: rows.filter(F.col("direction") == x).select("line_id", "seq", "entry")
     documents = _maps(spark, "manual-maps", lines, [("[", side("ida")), ('],"volta":[', side("volta"))], "]}}")
@@ -73,15 +72,16 @@ def sc3(spark, sf):
 
 @query("SC4_timetable_map", o.sql("SELECT line_code, day_type, direction, hhmm, minute_of_day, count(*) AS departures FROM timetable GROUP BY ALL", "timetable"))
 def sc4(spark, sf):
-    t = d.timetable(spark, sf)
-    # departures of one line: a short list
-    sides = t.groupBy("line_code").agg(*[
-        F.collect_list(F.when((F.col("day_type") == day) & (F.col("direction") == x), F.col("hhmm"))).alias(f"{day}_{x}")
-        for day in ("dia_util", "sabado", "domingo") for x in ("ida", "volta")
-    ])
-    day = lambda n: F.struct(F.col(f"{n}_ida").alias("ida"), F.col(f"{n}_volta").alias("volta")).alias(n)
-    body = F.struct(F.col("line_code").alias("nome"), day("dia_util"), day("sabado"), day("domingo"))
-    documents = sides.select(F.to_json(F.map_from_arrays(F.array("line_code"), F.array(body))).alias("value"))
+    t = d.timetable(spark, sf).withColumnsRenamed({"line_code": "line_name"}).withColumn("line_id", F.col("line_name"))
+    entries = number_rows(
+        t.select("line_id", "line_name", "day_type", "direction", "event_id", F.to_json(F.array("hhmm")).alias("entry")),
+        ["line_id", "day_type", "direction"], ["event_id"], F.floor(F.col("event_id") / 100_000), start=0,
+    ).withColumn("entry", F.regexp_extract("entry", r"^\[(.*)\]$", 1))
+    of = lambda day, x: entries.filter((F.col("day_type") == day) & (F.col("direction") == x)).select("line_id", "seq", "entry")
+    texts = ['{"dia_util":{"ida":[', '],"volta":[', ']},"sabado":{"ida":[', '],"volta":[', ']},"domingo":{"ida":[', '],"volta":[']
+    sides = [(day, x) for day in ("dia_util", "sabado", "domingo") for x in ("ida", "volta")]
+    lists = [(text, of(*side)) for text, side in zip(texts, sides, strict=True)]
+    documents = _maps(spark, "timetables", t.select("line_id", "line_name").distinct(), lists, "]}}}", "")
     return files.read_timetable(documents).groupBy("line_code", "day_type", "direction", "hhmm", "minute_of_day").agg(F.count(F.lit(1)).alias("departures"))
 
 
@@ -150,9 +150,9 @@ def _write_xml(spark, name, rows):
 
 
 def _path_texts(spark, sf):
-    """Coordinate text per line and direction (parts of bounded size)."""
+    """Coordinate text per line and direction: a placemark holds its whole path."""
     vertex = F.struct("seq", F.concat_ws(",", F.col("lon").cast("string"), F.col("lat").cast("string"), F.lit("0")).alias("t"))
-    paths = d.route_points(spark, sf).groupBy("line_key", "direction", F.floor(F.col("seq") / 100_000).alias("part")).agg(
+    paths = d.route_points(spark, sf).groupBy("line_key", "direction").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(vertex)), lambda v: v["t"]), " ").alias("coords")
     )
     return paths.join(d.lines(spark, sf).select("line_key", "line_name", "line_code"), "line_key")
@@ -172,7 +172,7 @@ _PATH_SQL = "SELECT line_name, direction, count(*)::INTEGER AS n_points, round(a
 @query("SC8_line_folders", o.sql(_PATH_SQL.format(""), "named_points"))
 def sc8(spark, sf):
     side = F.concat(F.lit("<Folder><name>"), F.upper("direction"), F.lit("</name>"), _placemark(F.lit("x")), F.lit("</Folder>"))
-    folders = _path_texts(spark, sf).groupBy("line_key", "line_name", "part").agg(F.array_join(F.sort_array(F.collect_list(side)), "").alias("sides"))
+    folders = _path_texts(spark, sf).groupBy("line_key", "line_name").agg(F.array_join(F.sort_array(F.collect_list(side)), "").alias("sides"))
     text = F.concat(F.lit("<Folder><name> "), "line_name", F.lit("</name>"), "sides", F.lit("</Folder>"))
     path = _write_xml(spark, "kml-a", folders.select(F.floor(F.col("line_key") / 100).alias("k"), text.alias("text")))
     return _path_summary(kml.read_line_folders(spark, path))
@@ -180,7 +180,7 @@ def sc8(spark, sf):
 
 def _direction_folders(spark, sf):
     # folders of at most 200 lines
-    marks = _path_texts(spark, sf).groupBy("direction", F.floor(F.col("line_key") / 100).alias("k"), "part").agg(
+    marks = _path_texts(spark, sf).groupBy("direction", F.floor(F.col("line_key") / 100).alias("k")).agg(
         F.array_join(F.collect_list(_placemark(F.col("line_name"))), "").alias("marks")
     )
     return _write_xml(spark, "kml-b", marks.select("k", F.concat(F.lit("<Folder><name>"), F.upper("direction"), F.lit("</name>"), "marks", F.lit("</Folder>")).alias("text")))
@@ -217,7 +217,7 @@ def sc10(spark, sf):
 
 @query("SC11_terminal_folder", o.sql("SELECT name, lat, lon FROM terminals", "terminals"))
 def sc11(spark, sf):
-    marks = d.terminals(spark, sf).groupBy(F.pmod(F.xxhash64("name"), F.lit(16)).alias("k")).agg(F.array_join(F.collect_list(_point_mark(F.col("name"))), "").alias("m"))
+    marks = d.terminals(spark, sf).groupBy(F.floor(F.regexp_extract("name", r"(\d+)", 1).cast("long") / 1000).alias("k")).agg(F.array_join(F.collect_list(_point_mark(F.col("name"))), "").alias("m"))
     path = _write_xml(spark, "kml-terminals", marks.select("k", F.concat(F.lit("<Folder><name>Terminal</name>"), "m", F.lit("</Folder>")).alias("text")))
     return kml.read_terminal_folder(spark, path)
 
@@ -444,10 +444,12 @@ def sc23(spark, sf):
 
 
 @query("SC24_passenger_codes", """
-SELECT DISTINCT CASE WHEN user_id % 7 = 0 THEN 'M' || lpad((user_id % 1000)::VARCHAR, 3, '0') ELSE lpad((user_id % 1000)::VARCHAR, 4, '0') END AS line_code FROM events WHERE event_type <> 'error'""")
+SELECT DISTINCT CASE WHEN user_id % 7 = 0 THEN 'M' || CASE WHEN user_id < 1000 THEN lpad(user_id::VARCHAR, 3, '0') ELSE user_id::VARCHAR END ELSE lpad(user_id::VARCHAR, 4, '0') END AS line_code
+FROM events WHERE event_type <> 'error' AND user_id < 10000""")
 def sc24(spark, sf):
-    u = F.col("user_id") % 1000
-    cell = F.when(F.col("event_type") == "error", "total").when(F.col("user_id") % 7 == 0, F.concat(F.lit(" M"), F.lpad(u.cast("string"), 3, "0"))).otherwise(F.lpad(u.cast("string"), 3, "0"))
+    # longer numbers are no line codes
+    number = codes.zero_padded(F.col("user_id"), 3)
+    cell = F.when(F.col("event_type") == "error", "total").when(F.col("user_id") % 7 == 0, F.concat(F.lit(" M"), number)).otherwise(number)
     return files.passenger_line_codes(d.table(spark, sf, "events").select(cell.alias("value")))
 
 

@@ -17,11 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# codes have four digits and a letter: the series of keys from 10,000 on, without the letters of the first series
+SERIES = "BCDEFGHIJKLNOPQRSTUVWXYZ"
+
+
+def _series(key: Column) -> Column:
+    return F.substring(F.lit(SERIES), ((F.floor(key / 10000) - 1) % len(SERIES) + 1).cast("int"), F.lit(1))
+
+
+def _number(key: Column) -> Column:
+    return F.lpad((key % 10000).cast("string"), 4, "0")
+
+
 def _code_head(key: Column) -> Column:
-    number = F.lpad((key % 10000).cast("string"), 4, "0")
-    letter = F.char(((F.floor(key / 10000) - 1) % 26 + 65).cast("int"))
+    number = _number(key)
     return (
-        F.when(key >= 10000, F.concat(number, F.lit(" "), letter))
+        F.when(key >= 10000, F.concat(number, F.lit(" "), _series(key)))
         .when(key % 10 == 3, F.concat(number, F.lit(" A")))
         .when(key % 11 == 5, F.concat(F.lit("M"), codes.zero_padded(key, 3)))
         .otherwise(number)
@@ -37,8 +48,8 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
     tail = (
         F.when(key % 13 == 0, F.lit(" (DESATIVADO)")).when(key % 4 == 0, F.lit(" (Via Norte)")).otherwise(F.lit(""))
     )
-    # codes have four digits and a letter; further series are told apart by name, so names stay one-to-one with keys
-    series = F.when(key >= 270_000, F.concat(F.lit(" SERIE "), F.floor((key - 10_000) / 260_000).cast("string"))).otherwise(F.lit(""))
+    # codes repeat from 250,000 lines on; those are told apart by name, so names stay one-to-one with keys
+    series = F.when(key >= 250_000, F.concat(F.lit(" SERIE "), F.floor((key - 10_000) / 240_000).cast("string"))).otherwise(F.lit(""))
     named = (
         table(spark, sf, "customer")
         .select("c_custkey", "c_nationkey", "c_mktsegment")
@@ -157,10 +168,10 @@ def _hand_made(source: DataFrame) -> DataFrame:
 
 
 def timetable(spark: SparkSession, sf: str) -> DataFrame:
-    """line_code (four digits), day_type, direction, hhmm, minute_of_day; one row per departure."""
-    day = F.dayofweek("ts")
+    """line_code (four digits, from 10,000 lines on with the series), day_type, direction, hhmm, minute_of_day; one row per departure."""
+    day, key = F.dayofweek("ts"), F.col("user_id")
     return table(spark, sf, "events").select(
-        F.lpad((F.col("user_id") % 10000).cast("string"), 4, "0").alias("line_code"),
+        F.concat(_number(key), F.when(key >= 10000, _series(key)).otherwise("")).alias("line_code"),
         F.when(day == 1, "domingo").when(day == 7, "sabado").otherwise("dia_util").alias("day_type"),
         F.when(F.col("event_id") % 2 == 0, "ida").otherwise("volta").alias("direction"),
         F.date_format("ts", "HH:mm").alias("hhmm"),
@@ -222,9 +233,10 @@ SEGMENT_SERVICE = {
 def active_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Official list: code spelled with hyphens, service type, company."""
     key = F.col("line_key")
-    number = F.lpad((key % 10000).cast("string"), 4, "0")
+    number = _number(key)
     code = (
-        F.when(key % 11 == 5, F.concat(number, F.lit("-M")))
+        F.when(key >= 10000, F.concat(number, F.lit("-"), _series(key)))
+        .when(key % 11 == 5, F.concat(number, F.lit("-M")))
         .when(key % 10 == 3, F.concat(number, F.lit("-A")))
         .otherwise(number)
     )

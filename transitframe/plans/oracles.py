@@ -96,12 +96,12 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "lines": ((), f"""
 SELECT *, {line_id('line_name')} AS line_id, {line_code('line_name')} AS line_code, line_key AS ord FROM (
   SELECT c_custkey AS line_key, c_mktsegment AS segment, r_name AS region,
-    CASE WHEN c_custkey >= 10000 THEN lpad((c_custkey % 10000)::VARCHAR, 4, '0') || ' ' || chr((65 + (c_custkey // 10000 - 1) % 26)::INTEGER)
+    CASE WHEN c_custkey >= 10000 THEN lpad((c_custkey % 10000)::VARCHAR, 4, '0') || ' ' || substr('BCDEFGHIJKLNOPQRSTUVWXYZ', ((c_custkey // 10000 - 1) % 24 + 1)::INTEGER, 1)
          WHEN c_custkey % 10 = 3 THEN lpad((c_custkey % 10000)::VARCHAR, 4, '0') || ' A'
          WHEN c_custkey % 11 = 5 THEN 'M' || CASE WHEN length(c_custkey::VARCHAR) < 3 THEN lpad(c_custkey::VARCHAR, 3, '0') ELSE c_custkey::VARCHAR END
          ELSE lpad((c_custkey % 10000)::VARCHAR, 4, '0') END
     || ' - ' || r_name || ' / ' || replace(n_name, '_', ' ')
-    || CASE WHEN c_custkey >= 270000 THEN ' SERIE ' || ((c_custkey - 10000) // 260000)::VARCHAR ELSE '' END
+    || CASE WHEN c_custkey >= 250000 THEN ' SERIE ' || ((c_custkey - 10000) // 240000)::VARCHAR ELSE '' END
     || CASE WHEN c_custkey % 13 = 0 THEN ' (DESATIVADO)' WHEN c_custkey % 4 = 0 THEN ' (Via Norte)' ELSE '' END AS line_name
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""),
     "raw_points": ((), """
@@ -133,7 +133,7 @@ SELECT line_key, line_name, line_code, direction, seq, ord, d, CASE WHEN line_ke
 FROM named_itinerary WHERE line_key % 9 <> 0 AND (line_key % 4 = 1 OR l_linenumber <= 5)"""),
     "timetable": ((), f"""
 SELECT *, {minutes('hhmm')} AS minute_of_day FROM (
-  SELECT lpad((user_id % 10000)::VARCHAR, 4, '0') AS line_code,
+  SELECT lpad((user_id % 10000)::VARCHAR, 4, '0') || CASE WHEN user_id >= 10000 THEN substr('BCDEFGHIJKLNOPQRSTUVWXYZ', ((user_id // 10000 - 1) % 24 + 1)::INTEGER, 1) ELSE '' END AS line_code,
     CASE dayofweek(ts) WHEN 0 THEN 'domingo' WHEN 6 THEN 'sabado' ELSE 'dia_util' END AS day_type,
     CASE WHEN event_id % 2 = 0 THEN 'ida' ELSE 'volta' END AS direction, strftime(ts, '%H:%M') AS hhmm, event_id FROM events)"""),
     "registry": (("streets",), """
@@ -151,7 +151,7 @@ SELECT s_name AS name, round(-9.5e0 - (s_suppkey * 7 % 1000) / 10000.0e0, 7) AS
 SELECT line_key, event_id AS position, 'PONTO ' || event_id AS stop_name,
   CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_id % 14 = 0 THEN 0.0e0 ELSE lat END AS lat, lon FROM raw_points"""),
     "active_lines": (("lines",), f"""
-SELECT lpad((line_key % 10000)::VARCHAR, 4, '0') || CASE WHEN line_key % 11 = 5 THEN '-M' WHEN line_key % 10 = 3 THEN '-A' ELSE '' END AS code,
+SELECT lpad((line_key % 10000)::VARCHAR, 4, '0') || CASE WHEN line_key >= 10000 THEN '-' || substr('BCDEFGHIJKLNOPQRSTUVWXYZ', ((line_key // 10000 - 1) % 24 + 1)::INTEGER, 1) WHEN line_key % 11 = 5 THEN '-M' WHEN line_key % 10 = 3 THEN '-A' ELSE '' END AS code,
   upper(line_name) AS name, {service(_SEGMENT)} AS service, 'EMPRESA ' || region AS company, line_key, line_key AS ord
 FROM lines"""),
     "neighbourhood_streets": (("streets",), """
