@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from transitframe.functions import codes
-from transitframe.operators import lookup, merge, resolve, spatial
+from transitframe.operators import lookup, merge, ordered, resolve, spatial
 from transitframe.plans import domain as d
 from transitframe.plans import oracles as o
 from transitframe.plans import publish
@@ -252,11 +252,41 @@ def sk5_fragments(spark, sf):
     return writers.geojson_fragments(points).agg(F.count("fragment").alias("fragments"))
 
 
-@query("SK6_SK7_kml_fragments", o.sql("SELECT line_name, direction, count(*) AS n_points FROM named_points GROUP BY ALL", "named_points"))
+_KML_ORDER = ["folder", "sort_number", "sort_suffix", "line_name", "line_id", "seq"]
+_SORTED = """s AS (SELECT *, CAST(regexp_extract(upper(line_name), '^(M)?0*(\\d+)\\s*-?\\s*([A-Z])?\\b', 2) AS BIGINT) + CASE WHEN line_name LIKE 'M%' THEN 1000000 ELSE 0 END AS n,
+  CASE regexp_extract(upper(line_name), '^(M)?0*(\\d+)\\s*-?\\s*([A-Z])?\\b', 3) WHEN '' THEN 0 WHEN 'A' THEN 1 WHEN 'B' THEN 2 ELSE 3 END AS x FROM lines)"""
+
+
+def _kml_back(spark, name, fragments):
+    """The document written, read again and numbered in the order of the file."""
+    path = scratch(spark, name)
+    writers.write_fragments(fragments, _KML_ORDER, path)
+    rows = ordered.global_ordinal(writers.kml_rows(writers.read_fragments(spark, path)), ["ordinal"], "place", 1)
+    micro = lambda c: F.round(F.col(c) * 1_000_000).cast("long")
+    return rows.select("place", "folder", "name", micro("lat").alias("lat"), micro("lon").alias("lon"), "n_points")
+
+
+@query("SK6_SK7_kml_fragments", o.sql(f"""
+AND_WITH {_SORTED} SELECT row_number() OVER (ORDER BY direction, n, x, line_name, line_id, seq) AS place, CASE direction WHEN 'ida' THEN 'IDA' ELSE 'VOLTA' END AS folder, line_name AS name,
+  round(lat * 1000000)::BIGINT AS lat, round(lon * 1000000)::BIGINT AS lon, 1 AS n_points FROM route_points JOIN s USING (line_key)""", "route_points", "lines"))
 def sk6(spark, sf):
     points = d.named_points(spark, sf).select("line_id", "line_name", "direction", "seq", "lat", "lon")
-    rows = writers.kml_fragments(points).filter("folder in (1, 3)")
-    return rows.groupBy("line_name", F.when(F.col("folder") == 1, "ida").otherwise("volta").alias("direction")).agg(F.count(F.lit(1)).alias("n_points"))
+    return _kml_back(spark, "kml-lines", writers.kml_fragments(points))
+
+
+@query("SK6_kml_points_and_zones", o.sql(f"""
+AND_WITH {_SORTED}, i AS (SELECT *, max(seq) OVER (PARTITION BY line_key) - seq AS back FROM route_points WHERE direction = 'ida'),
+u AS (SELECT 1 AS f, 'IDA' AS folder, n, x, line_name AS name, line_id, seq, lat, lon, 1 AS n_points FROM i JOIN s USING (line_key)
+  UNION ALL SELECT 3, 'VOLTA', n, x, line_name, line_id, back, lat, lon, 1 FROM i JOIN s USING (line_key)
+  UNION ALL SELECT 6, 'PONTOS', 0, 0, stop_name, '', 0, lat, lon, 1 FROM stops WHERE lat IS NOT NULL
+  UNION ALL SELECT 8, 'ZONAS', zone_ord, 0, zone_name, '', 0, NULL, NULL, 7 FROM zone_edges GROUP BY ALL)
+SELECT row_number() OVER (ORDER BY f, n, x, name, line_id, seq) AS place, folder, name, round(lat * 1000000)::BIGINT AS lat, round(lon * 1000000)::BIGINT AS lon, n_points FROM u""",
+       "route_points", "lines", "stops", "zone_edges"))
+def sk6_points(spark, sf):
+    out = d.named_points(spark, sf).filter("direction = 'ida'").select("line_id", "line_name", "direction", "seq", "lat", "lon")
+    back = spatial.reversed_paths(out, ["line_id", "line_name"]).withColumn("direction", F.lit("volta"))
+    stops = d.stops(spark, sf).filter("lat is not null").select(F.col("stop_name").alias("name"), "lat", "lon")
+    return _kml_back(spark, "kml-all", writers.kml_fragments(out.unionByName(back), stops, zones=d.zones(spark, sf)))
 
 
 @query("SK8_workbooks", o.sql("SELECT company, sheet, count(*) AS stops FROM (SELECT 'EMPRESA ' || region AS company, substr(replace(line_name, '/', '-'), 1, 31) AS sheet FROM stops JOIN lines USING (line_key)) GROUP BY ALL", "stops", "lines"))

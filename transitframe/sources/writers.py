@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transitframe import rules
 from transitframe.functions import codes
-from transitframe.operators.ordered import neighbour
+from transitframe.operators.ordered import carry_forward, global_ordinal, neighbour
 
 
 def _write_texts(fragments: DataFrame, keys: list[str], path: str) -> None:
@@ -95,16 +95,43 @@ def write_fragments(fragments: DataFrame, order: list[str], path: str) -> None:
     ordered.select("fragment").write.mode("errorifexists").text(path)
 
 
+def read_fragments(spark: SparkSession, path: str, out: str = "ordinal") -> DataFrame:
+    """The fragments of a written document with their place in it: part files in name order, lines in file order."""
+    line = spark.read.text(path).select(
+        "value", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line")
+    )
+    return global_ordinal(line, ["_file", "_block", "_line"], out).select(out, "value")
+
+
+def kml_rows(fragments: DataFrame) -> DataFrame:
+    """Content of a KML document read by ``read_fragments``: (ordinal, folder, name, lat, lon, n_points), one row per vertex of
+    a path, per point and per polygon (its number of corners, no place), each with the folder and name carried to it."""
+    value = F.col("value")
+    folder = F.regexp_extract_all(value, F.lit("<Folder><name>([^<]*)</name>"))
+    # a title stands in the opening line too, so names are those of placemarks
+    name = F.regexp_extract(value, "<Placemark><name>([^<]*)</name>", 1)
+    plain = F.replace(F.replace(F.replace(name, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
+    carried = carry_forward(fragments, [], ["ordinal"], {
+        "folder": F.when(F.size(folder) > 0, F.element_at(folder, -1)), "name": F.when(value.contains("<Placemark>"), plain),
+    })
+    number = r"(-?[0-9][0-9.eE+-]*)"
+    pairs = F.regexp_extract_all(value, F.lit(rf"{number},{number},0\b"), F.lit(0))
+    polygon = value.contains("<Polygon>")
+    place = lambda i: F.when(~polygon, F.get(F.split(F.get(pairs, 0), ","), i).cast("double"))
+    found = carried.withColumns({"n_points": F.size(pairs), "lon": place(0), "lat": place(1)})
+    return found.filter("n_points > 0").select("ordinal", "folder", "name", "lat", "lon", "n_points")
+
+
 def _style(style_id: str, colour: str, size: float, kind: str) -> str:
     if kind == "point":
         return f'<Style id="{style_id}"><IconStyle><color>{colour}</color><scale>{size}</scale></IconStyle></Style>'
     return f'<Style id="{style_id}"><LineStyle><color>{colour}</color><width>{size}</width></LineStyle></Style>'
 
 
-def kml_fragments(points: DataFrame, stops: DataFrame | None = None, title: str = "Mapa") -> DataFrame:
-    """SK6/SK7: KML with one folder per direction, placemarks in line order (SO2), optional point folder.
+def kml_fragments(points: DataFrame, stops: DataFrame | None = None, title: str = "Mapa", zones: DataFrame | None = None) -> DataFrame:
+    """SK6/SK7: KML with one folder per direction, placemarks in line order (SO2), optional folders of points and zones.
 
-    ``points(line_id, line_name, direction, seq, lat, lon)``; ``stops(name, lat, lon)``. Fragments are ordered
+    ``points(line_id, line_name, direction, seq, lat, lon)``; ``stops(name, lat, lon)``, ``zones(zone_ord, zone_name, ring)``. Fragments are ordered
     by (folder, sort_number, sort_suffix, line_name, line_id, seq); styles come from the direction.
     """
     order = ["folder", "sort_number", "sort_suffix", "line_name", "line_id", "seq"]
@@ -131,18 +158,25 @@ def kml_fragments(points: DataFrame, stops: DataFrame | None = None, title: str
     parts = spark.createDataFrame([(f, 0, 0, "", "", 0, text) for f, text in frame], schema).unionByName(
         body.withColumn("seq", F.col("seq").cast("long"))
     )
-    if stops is None:
-        return parts
-    mark = F.concat(
-        F.lit("<Placemark><name>"), _escape(F.col("name")), F.lit(f"</name><styleUrl>#{rules.MAP_STYLES['points'][0]}</styleUrl><Point><coordinates>"),
-        F.col("lon").cast("string"), F.lit(","), F.col("lat").cast("string"), F.lit(",0</coordinates></Point></Placemark>\n"),
-    )
-    rows = stops.select(
-        F.lit(6).alias("folder"), F.lit(0).cast("long").alias("sort_number"), F.lit(0).alias("sort_suffix"),
-        F.col("name").alias("line_name"), F.lit("").alias("line_id"), F.lit(0).cast("long").alias("seq"), mark.alias("fragment"),
-    )
-    folder = spark.createDataFrame([(5, 0, 0, "", "", 0, "<Folder><name>PONTOS</name>\n"), (7, 0, 0, "", "", 0, "</Folder>\n")], schema)
-    return parts.unionByName(rows).unionByName(folder)
+    if stops is not None:
+        mark = F.concat(
+            F.lit("<Placemark><name>"), _escape(F.col("name")), F.lit(f"</name><styleUrl>#{rules.MAP_STYLES['points'][0]}</styleUrl><Point><coordinates>"),
+            F.col("lon").cast("string"), F.lit(","), F.col("lat").cast("string"), F.lit(",0</coordinates></Point></Placemark>\n"),
+        )
+        rows = stops.select(
+            F.lit(6).alias("folder"), F.lit(0).cast("long").alias("sort_number"), F.lit(0).alias("sort_suffix"),
+            F.col("name").alias("line_name"), F.lit("").alias("line_id"), F.lit(0).cast("long").alias("seq"), mark.alias("fragment"),
+        )
+        frame = [(5, 0, 0, "", "", 0, "<Folder><name>PONTOS</name>\n"), (7, 0, 0, "", "", 0, "</Folder>\n")]
+        parts = parts.unionByName(rows).unionByName(spark.createDataFrame(frame, schema))
+    if zones is not None:
+        rows = zone_placemarks(zones).select(
+            F.lit(8).alias("folder"), F.col("zone_ord").cast("long").alias("sort_number"), F.lit(0).alias("sort_suffix"),
+            F.col("zone_name").alias("line_name"), F.lit("").alias("line_id"), F.lit(0).cast("long").alias("seq"), "fragment",
+        )
+        frame = [(8, -(1 << 62), 0, "", "", 0, "<Folder><name>ZONAS</name>\n"), (8, 1 << 62, 0, "", "", 0, "</Folder>\n")]
+        parts = parts.unionByName(rows).unionByName(spark.createDataFrame(frame, schema))
+    return parts
 
 
 def zone_placemarks(zones: DataFrame) -> DataFrame:
