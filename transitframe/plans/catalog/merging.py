@@ -236,20 +236,31 @@ def sk4(spark, sf):
     return spark.read.parquet(path).groupBy("line_id", "day_type").agg(F.count(F.lit(1)).alias("departures"))
 
 
-@query("SK5_geojson_lines", o.sql("SELECT line_id, direction, count(*)::INTEGER AS n_points FROM named_points GROUP BY ALL", "named_points"))
+_MICRO = "round(lat * 1000000)::BIGINT AS lat, round(lon * 1000000)::BIGINT AS lon"
+
+
+@query("SK5_geojson_lines", o.sql(f"SELECT line_id, direction, seq, {_MICRO} FROM named_points", "named_points"))
 def sk5(spark, sf):
     path = scratch(spark, "features")
     writers.write_feature_lines(lookup.geojson_features(d.named_points(spark, sf)), path)
     back = spark.read.schema(
         "geometry struct<coordinates:array<array<double>>>, properties struct<linha_id:string,sentido:string>"
     ).json(path)
-    return back.select(F.col("properties.linha_id").alias("line_id"), F.col("properties.sentido").alias("direction"), F.size("geometry.coordinates").alias("n_points"))
+    vertices = back.select(F.col("properties.linha_id").alias("line_id"), F.col("properties.sentido").alias("direction"), F.posexplode("geometry.coordinates").alias("seq", "p"))
+    micro = lambda c: F.round(c * 1_000_000).cast("long")
+    return vertices.select("line_id", "direction", F.col("seq").cast("long").alias("seq"), micro(F.get("p", 1)).alias("lat"), micro(F.get("p", 0)).alias("lon"))
 
 
-@query("SK5_geojson_fragments", o.sql("SELECT count(*) + 2 AS fragments FROM named_points", "named_points"))
+@query("SK5_geojson_fragments", o.sql(f"SELECT row_number() OVER (ORDER BY line_name, line_id, direction, seq) AS place, seq = 0 AS opens, {_MICRO} FROM named_points", "named_points"))
 def sk5_fragments(spark, sf):
+    # one collection over many part files, read back in the order of the file
     points = d.named_points(spark, sf).select("line_id", "line_name", "direction", "seq", "lat", "lon")
-    return writers.geojson_fragments(points).agg(F.count("fragment").alias("fragments"))
+    path = scratch(spark, "collection")
+    writers.write_fragments(writers.geojson_fragments(points), ["line_name", "line_id", "direction", "seq"], path)
+    vertex = writers.read_fragments(spark, path).withColumn("pair", F.regexp_extract("value", r"\[(-?[0-9][^\[\]]*)\]", 1)).filter("pair <> ''")
+    numbered = ordered.global_ordinal(vertex, ["ordinal"], "place", 1)
+    micro = lambda i: F.round(F.get(F.split("pair", ","), i).cast("double") * 1_000_000).cast("long")
+    return numbered.select("place", F.col("value").contains('"Feature"').alias("opens"), micro(1).alias("lat"), micro(0).alias("lon"))
 
 
 _KML_ORDER = ["folder", "sort_number", "sort_suffix", "line_name", "line_id", "seq"]

@@ -122,7 +122,21 @@ def er6(spark, sf):
     return resolve.match_company_lines(listed, active).withColumn("score", F.round("score", 6))
 
 
-@query("ER7_name_clusters")
+#: greedy clusters in order of first appearance: one step a key, with the list of leaders so far
+_ER7 = f"""s AS MATERIALIZED (SELECT street, {o.n2('street')} AS key, min((line_key, CASE direction WHEN 'ida' THEN 0 ELSE 1 END, seq)) AS pos, count(*) AS occurrences FROM manual_copy GROUP BY ALL),
+k AS MATERIALIZED (SELECT key, row_number() OVER (ORDER BY min(pos)) AS i, any_value({o.words3('street')}) AS w FROM s GROUP BY 1),
+e AS MATERIALIZED (SELECT b.i, list(a.i ORDER BY a.i) AS earlier FROM k a JOIN k b ON a.i < b.i AND list_has_any(a.w, b.w) AND {o.jaccard('a.w', 'b.w')} >= {rules.CLUSTER_JACCARD} GROUP BY 1),
+r(i, leaders) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+  SELECT r.i + 1, CASE WHEN list_has_any(COALESCE(earlier, []), leaders) THEN leaders ELSE list_append(leaders, r.i + 1) END FROM r LEFT JOIN e ON e.i = r.i + 1 WHERE r.i < (SELECT max(i) FROM k)),
+l AS MATERIALIZED (SELECT unnest(leaders) AS i FROM (SELECT leaders FROM r ORDER BY i DESC LIMIT 1)),
+j AS (SELECT i, i AS leader FROM l UNION ALL SELECT i, min(x) FROM (SELECT i, unnest(earlier) AS x FROM e WHERE i NOT IN (SELECT i FROM l)) WHERE x IN (SELECT i FROM l) GROUP BY 1),
+m AS (SELECT b.key AS leader, s.street, s.occurrences, count(*) OVER (PARTITION BY j.leader) AS variants, sum(s.occurrences) OVER (PARTITION BY j.leader)::BIGINT AS total_occurrences
+  FROM s JOIN k USING (key) JOIN j USING (i) JOIN k b ON b.i = j.leader),
+clusters AS (SELECT * FROM m WHERE variants > 1)"""
+_RECURSIVE = lambda body, *tables: o.sql(body, *tables).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("ER7_name_clusters", _RECURSIVE(f"AND_WITH {_ER7} SELECT * FROM clusters", "manual_copy"))
 def er7(spark, sf):
     return resolve.similar_name_clusters(d.manual_copy(spark, sf).withColumnRenamed("line_key", "ord"))
 
@@ -289,13 +303,24 @@ def qr5(spark, sf):
     return quality.same_code_different_names(shared_codes(spark, sf))
 
 
-@query("QR6_abbreviation_usage", o.sql("""
-AND_WITH l AS (SELECT street, count(*) AS n, CASE WHEN street LIKE 'R. %' THEN 'R.' WHEN street LIKE 'AV. %' THEN 'AV.' WHEN street LIKE 'TRAV. %' THEN 'TRAV.' WHEN street LIKE 'PÇA. %' THEN 'PÇA.' WHEN street LIKE 'LAD. %' THEN 'LAD.' END AS label FROM manual_copy GROUP BY ALL)
-SELECT label, sum(n)::BIGINT AS occurrences, count(*) AS spellings, array_to_string(list(street ORDER BY street)[1:15], ' | ') AS examples FROM l WHERE label IS NOT NULL GROUP BY 1""", "manual_copy"))
+_USED = """u AS (SELECT street, count(*) AS n, CASE WHEN street LIKE 'R. %' THEN 'R.' WHEN street LIKE 'AV. %' THEN 'AV.' WHEN street LIKE 'TRAV. %' THEN 'TRAV.' WHEN street LIKE 'PÇA. %' THEN 'PÇA.' WHEN street LIKE 'LAD. %' THEN 'LAD.' END AS label FROM manual_copy GROUP BY ALL),
+a AS (SELECT label, sum(n)::BIGINT AS occurrences, count(*) AS spellings, array_to_string(list(street ORDER BY street)[1:15], ' | ') AS examples FROM u WHERE label IS NOT NULL GROUP BY 1)"""
+
+
+@query("QR6_abbreviation_usage", o.sql(f"AND_WITH {_USED} SELECT * FROM a", "manual_copy"))
 def qr6(spark, sf):
     return quality.abbreviation_usage(d.manual_copy(spark, sf))
 
 
+@query("QR6_duplicates_report", _RECURSIVE(f"""
+AND_WITH {_ER7}, {_USED}, p AS (SELECT line_name, direction, {o.n2('street')} AS key, street, seq, seq - lag(seq) OVER (PARTITION BY line_name, direction, {o.n2('street')} ORDER BY seq) = 1 AS adj FROM manual_copy),
+t AS (SELECT line_name, direction, arg_min(street, seq) AS street, count(*) AS times, COALESCE(bool_or(adj), FALSE) AS adjacent FROM p WHERE key <> '' GROUP BY line_name, direction, key HAVING count(*) > 1)
+SELECT 'repeat' AS part, street AS name, line_name || ' (' || direction || ')' AS detail, times AS amount, adjacent AS flag FROM t
+UNION ALL SELECT 'abbreviation', label, examples, occurrences, NULL FROM a UNION ALL SELECT 'cluster', street, leader, occurrences, NULL FROM clusters""", "manual_copy"))
+def qr6_report(spark, sf):
+    return quality.duplicates_report(d.manual_copy(spark, sf).withColumn("ord", F.col("line_key")))
+
+
 @query("QR7_review_sheet", o.sql(f"""
 AND_WITH {_LISTED}, dup AS (SELECT street_code FROM listed WHERE street_code IS NOT NULL GROUP BY 1 HAVING count(DISTINCT street) > 1),
 u AS (SELECT street, count(*) AS n, array_to_string(list(line ORDER BY line)[1:5], ' · ') AS lines FROM (SELECT DISTINCT street, split_part(line_name, ' - ', 1) AS line FROM named_itinerary) GROUP BY 1)
