@@ -178,6 +178,34 @@ def mg8(spark, sf):
     return tables["summary"]
 
 
+@query("MG8_second_publish", o.sql(f"""
+AND_WITH v AS (SELECT DISTINCT line_id, CASE WHEN line_key % 10 = 3 THEN 'v2' ELSE 'v1' END AS version FROM named_itinerary),
+p AS (SELECT line_id, count(*) AS n FROM named_points GROUP BY 1), i AS (SELECT line_id, count(*) AS n FROM named_itinerary GROUP BY 1),
+x AS (SELECT *, min(occ_ord) FILTER (version = 'v1') OVER (PARTITION BY norm_street) AS later FROM street_index JOIN v USING (line_id))
+SELECT 'summary' AS part, line_id, 'v1' AS version, 1 AS amount, 0 AS renamed FROM lines
+UNION ALL SELECT 'documents', line_id, COALESCE(version, 'v1'), COALESCE(p.n, 0) + COALESCE(i.n, 0), CASE WHEN version = 'v2' THEN i.n ELSE 0 END FROM lines LEFT JOIN v USING (line_id) LEFT JOIN p USING (line_id) LEFT JOIN i USING (line_id)
+UNION ALL SELECT 'street_index', line_id, CASE WHEN bool_or(version = 'v2' OR key_ord <> later) THEN 'v2' ELSE 'v1' END, count(*), count(*) FILTER (version = 'v2') FROM x GROUP BY line_id
+UNION ALL SELECT 'timetable', line_id, 'v1', count(*), 0 FROM lines JOIN timetable t ON t.line_code = {o.line_code('line_name')} GROUP BY ALL
+UNION ALL SELECT 'features', line_id, 'v1', n, 0 FROM p""", _N, "named_points", "lines", "timetable", "street_index"))
+def mg8_again(spark, sf):
+    """All five tables after a second publish in which the streets of a tenth of the lines have new names. The index row of a
+    street also changes on the lines that keep it, where its first occurrence was on a renamed line."""
+    root = scratch(spark, "published")
+    lines, points, timetable, streets = d.lines(spark, sf), d.named_points(spark, sf), d.timetable(spark, sf), d.named_itinerary(spark, sf)
+    renamed = streets.withColumn("street", F.when(F.col("line_key") % 10 == 3, F.concat("street", F.lit(" NOVA"))).otherwise(F.col("street")))
+    writers.publish_tables(publish.publish(lines, points, streets, timetable), root, "v1")
+    writers.publish_tables(publish.publish(lines, points, renamed, timetable), root, "v2")
+    held = spark.read.parquet(f"{root}/manifest/v2").select("part", "line_id", "version")
+    is_new = {"documents": F.col("fragment").contains(' NOVA"'), "street_index": F.col("norm_street").endswith(" NOVA")}
+    entries = {"documents": F.col("place") % 2 == 1, "features": F.col("fragment").rlike(r"^,?\[-?[0-9]")}
+    out = None
+    for part in ("summary", "documents", "street_index", "timetable", "features"):
+        rows = writers.read_published(spark, root, part).filter(entries.get(part, F.lit(True)))
+        counted = rows.groupBy("line_id").agg(F.count(F.lit(1)).alias("amount"), F.sum(is_new.get(part, F.lit(False)).cast("long")).alias("renamed")).withColumn("part", F.lit(part))
+        out = counted if out is None else out.unionByName(counted)
+    return held.join(out, ["part", "line_id"], "left").na.fill(0, ["amount", "renamed"])
+
+
 @query("MG9_merge_by_code", o.sql("""
 AND_WITH s AS (SELECT line_code, arg_max(line_id, ord) AS line_id FROM lines WHERE line_code IS NOT NULL GROUP BY 1)
 SELECT m.line_code, m.line_name, COALESCE(s.line_id, '') AS line_id, count(*) AS streets FROM manual_itinerary m LEFT JOIN s USING (line_code) WHERE m.line_code IS NOT NULL GROUP BY ALL""", "manual_itinerary", "lines"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from transitframe import rules
 from transitframe.functions import codes
 from transitframe.operators.ordered import carry_forward, global_ordinal, neighbour
+from transitframe.session import cut_lineage
 
 
 def _write_texts(fragments: DataFrame, keys: list[str], path: str) -> None:
@@ -216,6 +217,66 @@ def read_current(spark, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{pointer['version']}")
 
 
+def _digests(table: DataFrame) -> DataFrame:
+    """(line_id, rows, digest) of a table: equal for equal rows in any order; combined before the shuffle."""
+    columns = [F.col(c) for c in sorted(table.columns)]
+    total = F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).cast("string")
+    mixed = F.bit_xor(F.xxhash64(F.lit("x"), *columns)).cast("string")
+    return table.groupBy("line_id").agg(F.count(F.lit(1)).alias("rows"), F.concat_ws(":", total, mixed).alias("digest"))
+
+
+def _manifest(spark: SparkSession, root: str) -> DataFrame | None:
+    pointer = current_version(spark, root)
+    return None if pointer is None else spark.read.parquet(f"{root}/manifest/{pointer}")
+
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    """The version that ``root`` points to, None before the first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return json.loads(spark.read.text(f"{root}/CURRENT").first()["value"])["version"]
+
+
+def publish_tables(tables: dict[str, DataFrame], root: str, version: str) -> None:
+    """MG8/SK9: several tables keyed by ``line_id`` published together as one version.
+
+    The manifest names, for every table and line, the version that holds its rows. A line whose digest equals the published
+    one keeps its entry and is not written again; a line that is gone loses its entry. The pointer moves last, so readers see
+    all tables of one version, and an attempt that failed half-way is never seen. A null ``line_id`` counts as one line.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    before = _manifest(spark, root)
+    stored = {name: cut_lineage(table) for name, table in tables.items()}  # read for the digests and again for the rows
+    entries = None
+    for name, table in stored.items():
+        own = _digests(table).withColumn("part", F.lit(name))
+        entries = own if entries is None else entries.unionByName(own)
+    if before is None:
+        entries = entries.withColumn("version", F.lit(version))
+    else:
+        old = before.select(F.col("part").alias("_part"), F.col("line_id").alias("_line"), F.col("digest").alias("_digest"), F.col("version").alias("_version"), F.col("rows").alias("_rows"))
+        same = (F.col("part") == F.col("_part")) & F.col("line_id").eqNullSafe(F.col("_line")) & (F.col("digest") == F.col("_digest")) & (F.col("rows") == F.col("_rows"))
+        entries = entries.join(old, same, "left").withColumn("version", F.coalesce("_version", F.lit(version))).select("part", "line_id", "rows", "digest", "version")
+    entries.write.mode("errorifexists").parquet(f"{root}/manifest/{version}")
+    fresh = spark.read.parquet(f"{root}/manifest/{version}").filter(F.col("version") == version)
+    for name, table in stored.items():
+        lines = fresh.filter(F.col("part") == name).select(F.col("line_id").alias("_line"))
+        changed = table.join(lines, F.col("line_id").eqNullSafe(F.col("_line")), "left_semi")
+        changed.write.mode("errorifexists").parquet(f"{root}/{name}/version={version}")
+    pointer = spark.createDataFrame([(json.dumps({"version": version}),)], "value string")
+    pointer.coalesce(1).write.mode("overwrite").text(f"{root}/CURRENT")
+
+
+def read_published(spark: SparkSession, root: str, name: str, version: str | None = None) -> DataFrame:
+    """A table of ``publish_tables`` as of a version (the current one by default): the rows the manifest points to."""
+    manifest = spark.read.parquet(f"{root}/manifest/{version or current_version(spark, root)}").filter(F.col("part") == name)
+    lines = manifest.select(F.col("line_id").alias("_line"), F.col("version").alias("_version"))
+    rows = spark.read.option("basePath", f"{root}/{name}").parquet(f"{root}/{name}").withColumn("version", F.col("version").cast("string"))
+    held = rows.join(lines, F.col("line_id").eqNullSafe(F.col("_line")) & (F.col("version") == F.col("_version")), "left_semi")
+    return held.drop("version")
+
+
 def report_rows(df: DataFrame, widths: dict[str, int]) -> DataFrame:
     """SK10: fixed-width text rows of a report table."""
     cells = [F.rpad(F.coalesce(F.col(c).cast("string"), F.lit("")), w, " ") for c, w in widths.items()]
