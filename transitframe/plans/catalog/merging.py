@@ -328,7 +328,7 @@ def sk6_points(spark, sf):
     return _kml_back(spark, "kml-all", writers.kml_fragments(out.unionByName(back), stops, zones=d.zones(spark, sf)))
 
 
-@query("SK8_workbooks", o.sql("SELECT company, sheet, count(*) AS stops FROM (SELECT 'EMPRESA ' || region AS company, substr(replace(line_name, '/', '-'), 1, 31) AS sheet FROM stops JOIN lines USING (line_key)) GROUP BY ALL", "stops", "lines"))
+@query("SK8_workbooks", o.sql(f"SELECT 'EMPRESA ' || region AS company, substr(replace(line_name, '/', '-'), 1, 31) AS sheet, position, stop_name, {_MICRO} FROM stops JOIN lines USING (line_key)", "stops", "lines"))
 def sk8(spark, sf):
     from transitframe.operators.numbering import unique_sheet_names
 
@@ -337,8 +337,9 @@ def sk8(spark, sf):
     sheets = d.stops(spark, sf).join(unique_sheet_names(entries, ["company"]).select("company", "line_key", "sheet"), "line_key")
     path = scratch(spark, "workbooks")
     writers.write_workbooks(sheets.select("company", "sheet", "position", "stop_name", "lat", "lon"), path)
-    back = spark.read.schema("position long, stop_name string, lat double, lon double, company string, sheet string").option("header", True).csv(path)
-    return back.groupBy("company", "sheet").agg(F.count(F.lit(1)).alias("stops"))
+    back = spark.read.schema("sheet string, position long, stop_name string, lat double, lon double, company string").option("header", True).csv(path)
+    micro = lambda c: F.round(F.col(c) * 1_000_000).cast("long")
+    return back.select("company", "sheet", "position", "stop_name", micro("lat").alias("lat"), micro("lon").alias("lon"))
 
 
 @query("SK9_versions", o.sql("SELECT line_code, count(*) AS departures FROM timetable WHERE event_id % 2 = 0 GROUP BY 1", "timetable"))

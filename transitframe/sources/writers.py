@@ -194,10 +194,13 @@ def zone_placemarks(zones: DataFrame) -> DataFrame:
 
 
 def write_workbooks(sheets: DataFrame, path: str) -> None:
-    """SK8: stops as CSV, a folder per company and sheet name (from ``numbering.unique_sheet_names``)."""
-    sheets.repartition("company", "sheet").sortWithinPartitions("company", "sheet", "position").write.mode("errorifexists").partitionBy(
-        "company", "sheet"
-    ).option("header", True).csv(path)
+    """SK8: stops as CSV, a folder per company; rows in order of sheet name (from ``numbering.unique_sheet_names``) and position
+    across its files, so that a company or sheet of any size is written by many tasks and small sheets share files."""
+    order = ["company", "sheet", "position"]
+    ordered = sheets.select("sheet", "position", *[c for c in sheets.columns if c not in ("sheet", "position")])
+    written = ordered.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("errorifexists").partitionBy("company")
+    # a cut name may end in a blank
+    written.options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def publish_version(df: DataFrame, root: str, version: str) -> str:
