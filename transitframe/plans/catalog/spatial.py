@@ -56,7 +56,20 @@ def ge3(spark, sf):
     return sampled.groupBy("line_key", "direction").agg(F.count(F.lit(1)).alias("n_points"))
 
 
-@query("GE4_resample_collection")
+_LAT, _LON = "degrees(atan(exp(({0}) / 6378137.0e0)) * 2 - 1.5707963267948966e0)", "degrees(({0}) / 6378137.0e0)"
+
+
+@query("GE4_resample_collection", o.sql(f"""
+AND_WITH m AS (SELECT *, {_X.format('lon')} AS x, {_Y.format('lat')} AS y FROM route_points),
+s AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM m WINDOW w AS (PARTITION BY line_key, direction ORDER BY seq)),
+g AS (SELECT *, sqrt(pow(x2 - x, 2) + pow(y2 - y, 2)) AS metres FROM s WHERE x2 IS NOT NULL),
+a AS (SELECT *, sum(metres) OVER (PARTITION BY line_key, direction ORDER BY seq ROWS UNBOUNDED PRECEDING) AS upto FROM g),
+t AS (SELECT line_key, direction, max(upto) AS len, arg_max(lat2, seq) AS end_lat, arg_max(lon2, seq) AS end_lon FROM a GROUP BY ALL HAVING max(upto) > 0),
+p AS (SELECT a.*, len, unnest(generate_series(ceil((upto - metres) / 500 - 1e-12)::BIGINT, ceil(upto / 500 - 1e-12)::BIGINT - 1)) AS step FROM a JOIN t USING (line_key, direction) WHERE metres > 0),
+f AS (SELECT *, (step * 500.0e0 - (upto - metres)) / metres AS share FROM p WHERE step * 500 < len)
+SELECT line_key, direction, step AS seq, round({_LAT.format('y + (y2 - y) * share')}, 7) AS lat, round({_LON.format('x + (x2 - x) * share')}, 7) AS lon FROM f
+UNION ALL SELECT line_key, direction, ceil(len / 500 - 1e-12)::BIGINT, round(end_lat, 7), round(end_lon, 7) FROM t
+UNION ALL SELECT line_key, direction, seq, round(lat, 7), round(lon, 7) FROM route_points r WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.line_key = r.line_key AND t.direction = r.direction)""", "route_points"))
 def ge4(spark, sf):
     sampled = spatial.resample(d.route_points(spark, sf), ["line_key", "direction"], 500.0)
     return sampled.select("line_key", "direction", "seq", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"))
