@@ -10,6 +10,7 @@ from transitframe.plans import domain as d
 from transitframe.plans import oracles as o
 from transitframe.plans import publish
 from transitframe.plans.catalog import query
+from transitframe.plans.catalog.resolution import _ER11
 from transitframe.plans.catalog.spatial import _LENGTHS
 from transitframe.session import shared_folder
 from transitframe.sources import files, writers
@@ -206,17 +207,30 @@ def mg8_again(spark, sf):
     return held.join(out, ["part", "line_id"], "left").na.fill(0, ["amount", "renamed"])
 
 
-@query("MG9_merge_by_code", o.sql("""
-AND_WITH s AS (SELECT line_code, arg_max(line_id, ord) AS line_id FROM lines WHERE line_code IS NOT NULL GROUP BY 1)
-SELECT m.line_code, m.line_name, COALESCE(s.line_id, '') AS line_id, count(*) AS streets FROM manual_itinerary m LEFT JOIN s USING (line_code) WHERE m.line_code IS NOT NULL GROUP BY ALL""", "manual_itinerary", "lines"))
+_MG9 = "last AS (SELECT line_code, arg_max(line_id, ord) AS line_id FROM lines WHERE line_code IS NOT NULL GROUP BY 1),\n" + _ER11.replace(
+    "FROM named_itinerary) s", "FROM named_itinerary WHERE line_id IN (SELECT line_id FROM last)) s")
+
+
+@query("MG9_merge_by_code", o.sql(f"""
+AND_WITH {_MG9}, p AS (SELECT a.line_code, a.line_name, a.direction, a.seq, a.street AS manual, b.street AS system, b.seq AS bs, {o.jaccard('a.w', 'b.w')} AS score FROM mk a JOIN so b ON a.line_name = b.line_name AND a.direction = b.direction
+  WHERE NOT EXISTS (SELECT 1 FROM sk WHERE sk.line_name = a.line_name AND sk.direction = a.direction AND sk.key = a.key)),
+u AS (SELECT 'merged' AS kind, line_code, line_name, direction, seq, street, NULL AS system, NULL AS score FROM m
+UNION ALL SELECT 'pair', line_code, line_name, direction, seq, arg_min(manual, (-score, bs)), arg_min(system, (-score, bs)), round(max(score), 6) FROM p WHERE score >= 0.4 GROUP BY line_code, line_name, direction, seq
+UNION ALL SELECT DISTINCT 'extra', c.line_code, e.line_name, e.direction, e.seq, e.street, NULL, NULL FROM sk e JOIN (SELECT DISTINCT line_code, line_name FROM m) c USING (line_name)
+  WHERE NOT EXISTS (SELECT 1 FROM mk WHERE mk.line_name = e.line_name AND mk.direction = e.direction AND (mk.key = e.key OR {o.jaccard('mk.w', 'e.w')} >= 0.4)))
+SELECT u.*, COALESCE(line_id, '') AS line_id FROM u LEFT JOIN last USING (line_code)""", "manual_itinerary", _N, "lines"))
 def mg9(spark, sf):
+    """The project's three outputs: merged streets, fuzzy pairs, streets of the system alone; the last line of a code stands for it."""
     manual = d.manual_itinerary(spark, sf).select("line_code", "line_name", "direction", "seq", "street").filter("line_code is not null")
     last = merge.last_line_per_code(d.lines(spark, sf))
     system = d.named_itinerary(spark, sf).join(last.select("line_id"), "line_id", "left_semi").select("line_code", "direction", "seq", "street")
-    merged, _, _ = resolve.merge_with_system(manual, system)
-    return merged.groupBy("line_code", "line_name").agg(F.count(F.lit(1)).alias("streets")).join(last, "line_code", "left").select(
-        "line_code", "line_name", F.coalesce("line_id", F.lit("")).alias("line_id"), "streets"
-    )
+    merged, pairs, extras = resolve.merge_with_system(manual, system)
+    columns = ["line_code", "line_name", "direction", "seq", "street"]
+    none = {"system": F.lit(None).cast("string"), "score": F.lit(None).cast("double")}
+    rows = merged.select(F.lit("merged").alias("kind"), *columns).withColumns(none)
+    rows = rows.unionByName(extras.select(F.lit("extra").alias("kind"), *columns).withColumns(none))
+    rows = rows.unionByName(pairs.withColumnRenamed("manual", "street").select(F.lit("pair").alias("kind"), *columns, "system", F.round("score", 6).alias("score")))
+    return rows.join(last.select("line_code", "line_id"), "line_code", "left").withColumn("line_id", F.coalesce("line_id", F.lit("")))
 
 
 @query("SK1_SC2_line_documents", o.sql("""
