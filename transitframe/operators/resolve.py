@@ -354,6 +354,7 @@ def suggest_neighbourhoods(streets: DataFrame, geocoded: DataFrame, zones: DataF
     return joined.select("street", F.col("zone_name").alias("suggested"), status.alias("confidence"))
 
 
-def middle_vertex(points):
-    """ER12: vertex at half the length of a coordinate list."""
-    return F.element_at(points, (F.size(points) / 2).cast("int") + 1)
+def middle_vertices(points: DataFrame, keys: list[str]) -> DataFrame:
+    """ER12: the vertex at half the number of vertices of each path; ``seq`` is dense from 0."""
+    half = points.groupBy(*keys).agg(F.floor(F.count(F.lit(1)) / 2).alias("seq"))
+    return points.join(half, [*keys, "seq"], "left_semi").select(*keys, "seq", "lat", "lon")

@@ -258,6 +258,13 @@ def er12(spark, sf):
     return resolve.suggest_neighbourhoods(s.select("street"), points, d.zones(spark, sf), 0.02)
 
 
+@query("ER12_middle_vertices", o.sql("""
+SELECT line_key, direction, seq, round(lat, 6) AS lat, round(lon, 6) AS lon FROM (SELECT *, count(*) OVER (PARTITION BY line_key, direction) AS n FROM route_points) WHERE seq = n // 2""", "route_points"))
+def er12_middle(spark, sf):
+    middle = resolve.middle_vertices(d.route_points(spark, sf), ["line_key", "direction"])
+    return middle.select("line_key", "direction", "seq", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
 @query("QR1_streets_without_code", o.sql(f"AND_WITH {_STATUS} SELECT key, street, occurrences, status FROM st WHERE street_code IS NULL", "distinct_streets", "dictionary"))
 def qr1(spark, sf):
     return quality.streets_without_code(d.named_itinerary(spark, sf), d.dictionary(spark, sf))

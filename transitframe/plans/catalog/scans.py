@@ -95,6 +95,27 @@ def sc5(spark, sf):
     return files.read_catalogue(spark, f"{path}/*")
 
 
+def _arrays(spark, name, rows, key):
+    """JSON arrays of about a thousand records each, one per file."""
+    path = scratch(spark, name)
+    columns = [c for c in rows.columns if c != key]
+    arrays = rows.groupBy(F.floor(F.col(key) / 1000).alias("k")).agg(F.to_json(F.collect_list(F.struct(*columns))).alias("value"))
+    arrays.repartition("k").write.partitionBy("k").text(path)
+    return f"{path}/*"
+
+
+@query("SC5_dictionary_array", o.sql("SELECT id, name FROM dictionary", "dictionary"))
+def sc5_dictionary(spark, sf):
+    rows = d.dictionary(spark, sf).withColumn("key", F.col("id"))
+    return files.read_dictionary(spark, _arrays(spark, "dictionary", rows, "key"))
+
+
+@query("SC5_terminals_array", o.sql("SELECT name, lat, lon FROM terminals", "terminals"))
+def sc5_terminals(spark, sf):
+    rows = d.terminals(spark, sf).select(F.col("name").alias("nome"), "lat", "lon", F.regexp_extract("name", r"(\d+)", 1).cast("long").alias("key"))
+    return files.read_terminals(spark, _arrays(spark, "terminals", rows, "key"))
+
+
 def _zone_features(spark, sf):
     ring = F.array(F.transform("ring", lambda p: F.array(p["lon"], p["lat"])))
     return d.zones(spark, sf).select("zone_ord", F.struct(
@@ -437,6 +458,12 @@ def sc22(spark, sf):
     return files.inventory_codes(file_names(spark, sf))
 
 
+@query("SC22_list_files", "SELECT n_nationkey::VARCHAR AS zone, 1 AS files FROM nation")
+def sc22_files(spark, sf):
+    found = files.list_files(spark, _zone_files(spark, sf))
+    return found.groupBy(F.regexp_extract("path", "zone_ord=([0-9]+)/", 1).alias("zone")).agg(F.count(F.lit(1)).alias("files"))
+
+
 @query("SC23_latest_file", "SELECT code, '/data/horario_' || code || '_' || day || '.pdf' AS path FROM (SELECT CASE WHEN length(user_id::VARCHAR) < 4 THEN lpad(user_id::VARCHAR, 4, '0') ELSE user_id::VARCHAR END AS code, max(strftime(ts, '%Y%m%d')) AS day FROM events GROUP BY 1)")
 def sc23(spark, sf):
     path = F.concat(F.lit("/data/horario_"), codes.zero_padded(F.col("user_id"), 4), F.lit("_"), F.date_format("ts", "yyyyMMdd"), F.lit(".pdf"))

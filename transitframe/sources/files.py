@@ -126,6 +126,10 @@ def read_terminals(spark: SparkSession, path: str) -> DataFrame:
     return read_json_array(spark, path, "nome string, lat double, lon double").withColumnRenamed("nome", "name")
 
 
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    return read_json_array(spark, path, "id long, name string")
+
+
 def _ring(points: Column) -> Column:
     return F.transform(points, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))
 
