@@ -159,3 +159,12 @@ def test_components_of_chains_and_stars(spark):
     assert len({got[100 + i] for i in range(50)}) == 1
     assert got[199] == got[200] and len(set(got.values())) == 3
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_keys_per_shingle():
+    """A set's tile keys follow from its own size: fewer than 0.55 keys a shingle."""
+    rng = np.random.RandomState(2)
+    borders = jaccard._bands(80, 4000)
+    sizes = np.unique(np.geomspace(300, 2700, 60).astype(int))
+    keys = sum(len(jaccard.tile_keys(np.unique(rng.randint(0, 2**63, n).astype(np.uint64)), borders, 80)) for n in sizes)
+    assert keys < 0.55 * sizes.sum()

@@ -5,8 +5,9 @@ Texts become sets of word shingles (64-bit hashes). Two sets link when ``100 * i
 1. Equal sets form one class; only classes are compared.
 2. Classes are banded by set size. A linked pair lies in one band or across one border, where at most H elements
    differ. A set is cut by hash range into P > H parts; at least P - H parts of a linked pair are equal, so both
-   sets hold a common (band, part, content) tile key. Keys are ordered by part size, and a prefix of them is enough,
-   which leaves out nearly empty parts. No pair is lost, and texts that share only a passage rarely meet.
+   sets hold a common (band, part, content) tile key. Keys are ordered by part size. If a set differs from any partner
+   in at most d elements, at most d of its parts come before the first one that both hold, so its d + 1 first keys are
+   enough; nearly empty parts are left out. No pair is lost, and texts that share only a passage rarely meet.
 3. Each class is checked with one class of its tiles, the one that shares most tiles with others; links found so are
    contracted to components. A large group of copies mostly ends here.
 4. Tiles whose members still lie in several components are compared in blocks: XOR bitmaps bound the intersection
@@ -71,27 +72,33 @@ def _class_of(own: np.ndarray) -> int:
 
 
 def _bands(percent: int, largest: int) -> list[int]:
-    """Band borders, each half as large again as the one before or more: a link crosses one border at most."""
+    """Band borders, each three times the one before or more: a link crosses one border at most.
+
+    Wide bands have few borders, and a set's keys in its own band depend on its own size, not on the band's width.
+    """
     borders = [1]
     while borders[-1] <= largest:
         at = borders[-1]
-        borders.append(at + max(1, at // 2, -(-at * (100 - percent) // percent)))
+        borders.append(at + max(2 * at, -(-at * (100 - percent) // percent)))
     return borders
 
 
-def _places(n: int, borders: list[int], percent: int) -> list[tuple[int, int]]:
-    """(band id, H) of the places where a set of ``n`` elements meets its partners: its band, and borders in reach.
+def _places(n: int, borders: list[int], percent: int) -> list[tuple[int, int, int]]:
+    """(band id, H, own) of the places where a set of ``n`` elements meets its partners: its band, and borders in reach.
 
-    A linked pair differs in at most (100 - percent) * (n1 + n2) / (100 + percent) elements.
+    A linked pair differs in at most (100 - percent) * (n1 + n2) / (100 + percent) elements: H bounds that for all pairs
+    of the place, ``own`` for this set and the largest partner it can have there.
     """
     band = int(np.searchsorted(borders, n, "right")) - 1
     off, whole = 100 - percent, 100 + percent
-    places = [(2 * band, off * 2 * (borders[band + 1] - 1) // whole)]
+    largest = n * 100 // percent
+    last = borders[band + 1] - 1
+    places = [(2 * band, off * 2 * last // whole, off * (n + min(last, largest)) // whole)]
     for at in (band, band + 1):  # the border below and the one above
         border = borders[at]
         below = border - 1
         if border > 1 and n * 100 >= percent * border and n * percent <= below * 100:
-            places.append((2 * at + 1, off * (below * (100 + percent) // percent) // whole))
+            places.append((2 * at + 1, off * (below * (100 + percent) // percent) // whole, off * (n + (below if n > below else largest)) // whole))
     return places
 
 
@@ -102,7 +109,7 @@ def tile_keys(own: np.ndarray, borders: list[int], percent: int) -> np.ndarray:
     np.cumsum(mixed, out=sums[1:], dtype=np.uint64)
     top = own >> np.uint64(32)
     keys = []
-    for place, most in _places(len(own), borders, percent):
+    for place, most, differ in _places(len(own), borders, percent):
         spare = most // 4
         parts = most + 1 + spare
         part = (top * np.uint64(parts)) >> np.uint64(32)  # the set is sorted, so parts are runs
@@ -110,11 +117,11 @@ def tile_keys(own: np.ndarray, borders: list[int], percent: int) -> np.ndarray:
         band = np.array([place], np.uint64) * _MULTIPLIERS[3]
         label = part[cut[:-1]] * _MULTIPLIERS[2] + band
         key = mix(sums[cut[1:]] - sums[cut[:-1]] + mix(label))
-        if len(key) > most + 1:  # the largest parts, ties by content
+        if len(key) > differ + 1:  # the largest parts, ties by content
             count = np.diff(cut).astype(np.uint64)
             order = np.argsort((np.minimum(count, np.uint64(255)) << np.uint64(56)) | (key >> np.uint64(8)), kind="stable")
-            key = key[order[len(key) - most - 1 :]]
-        elif len(key) < most + 1:
+            key = key[order[len(key) - differ - 1 :]]
+        elif len(key) < differ + 1:
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[cut[:-1]])
             key = np.concatenate([key, mix(mix(empty * _MULTIPLIERS[2] + band) + np.uint64(3))])
         keys.append(key)
