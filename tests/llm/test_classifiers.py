@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +129,19 @@ def test_toxicity(spark):
         assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, part), {"doc_id": F.col("doc_id")}).collect()} == {0.0}
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """A word that stands in four of 9,000 labelled rows is in the counts, whatever parts the rows are dealt into."""
+    monkeypatch.setattr(toxicity, "PART_ROWS", 2500)
+    rows = [(i, f"plain words of row {'zyx' if i % 2250 == 7 else 'abc'} {'scum' if i % 3 == 0 else 'fine'}", "en", int(i % 3 == 0)) for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int").repartition(4)
+    model = toxicity.fit(docs, docs, epochs=1)
+    hashes, _ = next(toxicity.hashed_words(pa.array(["zyx row"])))
+    counts = np.exp(model.words_by_language[toxicity._rows(hashes)[0], 0])
+    assert np.isclose(counts[1] / counts[0], 9000.1 / 4.1, rtol=1e-3)
+    got = toxicity.score(docs, model, {"y": F.col("toxic")}).collect()
+    assert sum((r.score >= 0.5) == (r.y == 1) for r in got) == len(got)
+
+
 def test_scores_do_not_depend_on_neighbours():
     """Texts scored together and alone agree: filters never cross a text's end."""
     rng = random.Random(4)
