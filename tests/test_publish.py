@@ -31,3 +31,17 @@ def test_versions_read_back_and_unchanged_lines_are_not_written_again(spark, tmp
     with pytest.raises(Exception):  # noqa: B017 - a version is never overwritten
         writers.publish_tables({"streets": spark.createDataFrame(second, schema)}, root, "v2")
     assert read("streets") == sorted(second, key=repr)
+
+
+def test_a_publish_writes_no_checkpoints_and_reads_unchanged_tables_without_a_join(spark, tmp_path, monkeypatch):
+    root, schema = str(tmp_path / "published"), "line_id string, seq int, street string"
+    monkeypatch.setattr(type(spark.range(0)), "checkpoint", None)
+    first = spark.createDataFrame([(f"l{i % 50}", i, "x") for i in range(500)], schema)
+    kept = first.drop("street")
+    writers.publish_tables({"streets": first, "kept": kept}, root, "2024.10")
+    writers.publish_tables({"streets": first.filter("line_id <> 'l7'").replace("x", "y", "street").filter("line_id <> 'l8'").union(first.filter("line_id = 'l8'")), "kept": kept}, root, "2024.11")
+    streets = rows(writers.read_published(spark, root, "streets"))
+    assert streets == sorted([(f"l{i % 50}", i, "x" if i % 50 == 8 else "y") for i in range(500) if i % 50 != 7], key=repr)
+    assert rows(writers.read_published(spark, root, "streets", "2024.10")) == rows(first)
+    same = writers.read_published(spark, root, "kept")
+    assert rows(same) == rows(kept) and "Join" not in same._jdf.queryExecution().executedPlan().toString()
