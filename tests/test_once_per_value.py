@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from transitframe.operators import addresses
+from transitframe.operators import addresses, resolve
 from transitframe.plans import domain
 from transitframe.plans.catalog import texts
 from transitframe.session import once_per_value
@@ -39,3 +39,13 @@ def test_rules_run_once_per_spelling(spark, monkeypatch):
     addresses.resolve_addresses(texts.addresses(spark, sf).select("address"), domain.registry(spark, sf))
     assert [column for column, _, _ in seen] == ["street", "street", "part", "street"]
     assert all(values <= rows for _, rows, values in seen) and seen[2][2] < seen[2][1]
+
+
+def test_variants_of_repeated_reference_names(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(resolve, "once_per_value", lambda df, c, x: seen.append(once_per_value(df, c, x).count()) or once_per_value(df, c, x))
+    new = spark.createDataFrame([(" RUA SANTA LUSIA ",), ("RUA SANTA LUSIA",), ("R. DO SOL",)] * 20, "street string")
+    reference = spark.createDataFrame([("RUA SANTA LUCIA", 1), ("Rua Santa Lúcia", 3), ("RUA SANTA LUCIA", 2)], "street string, ord int")
+    got = {(r.street, r.rank, r.reference) for r in resolve.variant_candidates(new, reference).collect()}
+    assert got == {("RUA SANTA LUSIA", 1, "Rua Santa Lúcia"), ("R. DO SOL", None, None)}
+    assert seen == [2, 2]
