@@ -49,3 +49,9 @@ def test_few_pairs_are_left_where_all_names_share_their_characters(spark):
     df = spark.createDataFrame([(x,) for x in names], "t string")
     exact = sum(SequenceMatcher(None, a, b).ratio() >= 0.82 for a in names for b in names)
     assert exact <= ratio_candidates(df, df, "t", 0.82).count() < 3 * exact + 100
+
+
+def test_pairs_are_scored_once(spark):
+    df = spark.createDataFrame([("RUA A",), ("RUA B",)], "t string")
+    plan = ratio_join(df, df, "t", 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
