@@ -133,3 +133,12 @@ def test_pieces_of_long_rows_keep_letters_whole(monkeypatch, spark):
 def test_no_texts_no_words(spark):
     assert spelling.variants(spark.createDataFrame([], SCHEMA)).collect() == []
     assert spelling.variants(spark.createDataFrame([(1, None, None, None, None)], SCHEMA)).collect() == []
+
+
+def test_keys_are_not_broadcast(spark, tmp_path):
+    rows = [(i, w, 5) for i, w in enumerate(["abcdefgh", "abcdefgi", "zyxwvuts"])]
+    spark.createDataFrame(rows, "id long, word string, n long").write.parquet(f"{tmp_path}/words")
+    pairs = spelling.near_pairs(spark.read.parquet(f"{tmp_path}/words"))
+    assert {(r.id, r.near) for r in pairs.collect()} == {(0, "abcdefgi"), (1, "abcdefgh")}
+    plan = pairs._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in next(line for line in plan.splitlines() if "Join [key#" in line)

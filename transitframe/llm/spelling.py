@@ -161,10 +161,13 @@ def _keys(symbols: int, neighbours: bool):
 
 
 def near_pairs(words: DataFrame, symbols: int = 8) -> DataFrame:
-    """(id, near, near_n): every ordered pair of words exactly one edit apart. ``words``: id, word, n."""
+    """(id, near, near_n): every ordered pair of words exactly one edit apart. ``words``: id, word, n.
+
+    Spark takes the keys to be as many as the words, though they are 20 a letter; the hint keeps it from broadcasting them.
+    """
     keys = lambda every: words.select("id", "word").mapInArrow(_keys(symbols, every), "key long, id long")
     own = keys(False).join(words.select("id", F.col("word").alias("near"), F.col("n").alias("near_n")), "id").withColumnRenamed("id", "near_id")
-    met = keys(True).join(own, "key").where("id <> near_id").select("id", "near", "near_n")
+    met = keys(True).hint("merge").join(own, "key").where("id <> near_id").select("id", "near", "near_n")
     return met.join(words.select("id", "word"), "id").where(F.levenshtein("word", "near", 1) == 1).select("id", "near", "near_n")
 
 
