@@ -125,3 +125,14 @@ def test_nearest_of_many_sites_in_one_cell(spark):
     assert (got[300], got[301], got[302]) == ("twin1", None, None)
     sizes = cells.site_index(table, 300.0, 300 / 55_000).leaves.filter("_entries is not null").agg(F.max(F.size("_entries"))).first()[0]
     assert sizes <= 2 * cells.ENTRIES
+
+
+def test_sites_of_one_place_do_not_cut_cells(spark):
+    """Of 200 terminals at each of four places one stays, so no cell is cut for them."""
+    sites = [(f"t{i:03d}", -9.5 + i % 2 * 0.002, -35.7 + i // 2 % 2 * 0.002) for i in range(800)]
+    table = spark.createDataFrame(sites, "name string, lat double, lon double")
+    index = cells.site_index(table, 300.0, 300 / 55_000)
+    assert index.depths is None
+    points = [(-35.7 + x * 0.0005, -9.5 + y * 0.0005) for x in range(5) for y in range(5)]
+    got = {r.id: r.terminal for r in spatial.nearest_terminal(frame(spark, points), table, 300.0).collect()}
+    assert (got[0], got[4], got[20], got[24]) == ("t000", "t001", "t002", "t003") and set(got.values()) <= {"t000", "t001", "t002", "t003"}

@@ -190,9 +190,11 @@ def site_index(sites: DataFrame, radius_m: float, cell: float) -> Index:
 
     A site stays in a cell only if it can be nearest to, and within reach of, some point of the cell: with the distances d to
     the middle of the cell and h from there to a corner, d <= radius + h and d <= least d + 2h. Cutting a cell shrinks h, so
-    what stays is bounded by the geometry, not by the number of sites. Sites without coordinates are never found.
+    what stays is bounded by the geometry, not by the number of sites. Of the sites of one place only the least name can be
+    found; the others would fill its cells at every level. Sites without coordinates are never found.
     """
-    located = sites.filter("lat is not null and lon is not null").select("name", "lat", "lon").distinct()
+    located = sites.filter("lat is not null and lon is not null").groupBy("lat", "lon").agg(F.min(F.struct("name")).alias("_s"))
+    located = located.select("_s.name", "lat", "lon")
     reach = radius_m / 110_000.0
     reach_lon = F.lit(reach) / F.cos(F.radians(F.least(F.abs("lat") + reach, F.lit(89.0))))
 
