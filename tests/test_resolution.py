@@ -145,3 +145,20 @@ def test_street_cascade_against_loops(spark):
     ).collect()
     assert {(r.line_num, r.direction, r.street): (r.street_code, r.match) for r in got} == {q: resolve_one(*q) for q in asked}
     assert len({r.match for r in got}) >= 4
+
+
+def test_merge_with_system_names_sharing_a_code(spark):
+    """Lines of one code list the same streets at the same places: they count once for each line name."""
+    system = [("1A", "ida", i, s) for i, s in enumerate(["RUA DO SOL", "R. DAS FLORES NOVAS", "AV. MONTE CASTELO", "RUA B"])]
+    system = system * 2 + [("1A", "ida", 1, "RUA DAS FLORES NOVAS"), ("2", "ida", 0, "RUA DO SOL"), ("2", "volta", 0, None), ("9", "ida", 0, "RUA X")]
+    manual = [("1A", "1 A - X", "ida", 0, "RUA DO SOL"), ("1A", "1 A - X", "ida", 1, "RUA FLORES NOVAS"), ("1A", "1 A - Y", "ida", 0, "RUA B"), ("2", "2 - Z", "ida", 0, None)]
+    merged, pairs, extras = resolve.merge_with_system(
+        spark.createDataFrame(manual, "line_code string, line_name string, direction string, seq long, street string"),
+        spark.createDataFrame(system, "line_code string, direction string, seq long, street string"),
+    )
+    assert sorted((tuple(r) for r in merged.collect()), key=repr) == sorted(manual, key=repr)
+    assert [tuple(r) for r in pairs.collect()] == [("1A", "1 A - X", "ida", 1, "RUA FLORES NOVAS", "RUA DAS FLORES NOVAS", 0.75)]
+    assert sorted((tuple(r) for r in extras.collect()), key=repr) == sorted([
+        ("1A", "1 A - X", "ida", 2, "AVENIDA MONTE CASTELO"), ("1A", "1 A - Y", "ida", 1, "RUA DAS FLORES NOVAS"), ("1A", "1 A - Y", "ida", 2, "AVENIDA MONTE CASTELO"),
+        ("2", "2 - Z", "ida", 0, "RUA DO SOL"), ("2", "2 - Z", "volta", 0, None),
+    ], key=repr)
