@@ -162,3 +162,26 @@ def test_merge_with_system_names_sharing_a_code(spark):
         ("1A", "1 A - X", "ida", 2, "AVENIDA MONTE CASTELO"), ("1A", "1 A - Y", "ida", 1, "RUA DAS FLORES NOVAS"), ("1A", "1 A - Y", "ida", 2, "AVENIDA MONTE CASTELO"),
         ("2", "2 - Z", "ida", 0, "RUA DO SOL"), ("2", "2 - Z", "volta", 0, None),
     ], key=repr)
+
+
+def test_street_cascade_compares_a_key_once_per_line(spark, monkeypatch):
+    """A street of both directions is one candidate of its line, and candidates carry no hits through the comparison."""
+    compared, plain = [], resolve.ratio_join
+
+    def counted(left, right, *rest, **more):
+        if more.get("on"):
+            compared.append((right.count(), sorted(right.columns)))
+        return plain(left, right, *rest, **more)
+
+    monkeypatch.setattr(resolve, "ratio_join", counted)
+    lined = [("0001", way, "RUA JOSE DA SILVA", code, i) for i, (way, code) in enumerate([("volta", "00002"), ("ida", "00001"), (None, "00003")])]
+    lined = spark.createDataFrame(lined, "line_num string, direction string, street string, street_code string, ord long")
+    queries = [("0001", "volta", "RUA JOSE DA SILVA"), ("0001", None, "RUA JOSE DA SILVA"), ("0001", "volta", "RUA JOAO DA SILVA"), ("0001", "ida", None)]
+    queries = spark.createDataFrame(queries, "line_num string, direction string, street string")
+    registry = spark.createDataFrame([("00009", "LADEIRA DO SOL", 1)], "street_code string, street string, ord long")
+    rows = {(r.direction, r.street): (r.street_code, r.match) for r in resolve.resolve_streets(queries, lined, registry).collect()}
+    assert rows == {
+        ("volta", "RUA JOSE DA SILVA"): ("00002", "exato"), (None, "RUA JOSE DA SILVA"): ("00001", "exato"),
+        ("volta", "RUA JOAO DA SILVA"): ("00001", "fuzzy"), ("ida", None): (None, "nao_encontrado"),
+    }
+    assert compared == [(1, ["line_num", "norm", "pos"])]
